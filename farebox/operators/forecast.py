@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farebox.constants import FORECAST_WEEKS, INTERVAL_Z
-from farebox.functions.measures import percent_change
+from farebox.functions.measures import percent_change, ratio
 from farebox.operators.rows import members_only, not_null
 
 DIGITS = 4
@@ -123,6 +123,19 @@ def forecast_by_carrier(src: DataFrame, weeks: int = FORECAST_WEEKS, own_horizon
 
 
 # ---- roll-ups --------------------------------------------------------------------------
+# Rounded values add up as decimals: sums and means are exact whatever the order of arrival.
+
+def _exact(column: str) -> Column:
+    return F.col(column).cast(f"decimal(18,{DIGITS})")
+
+
+def _sum(column: str) -> Column:
+    return F.sum(_exact(column)).cast("double")
+
+
+def _mean(column: str) -> Column:
+    return ratio(F.sum(_exact(column)), F.count(column).cast("decimal(10,0)"), DIGITS).cast("double")
+
 
 def _is_full_year() -> Column:
     """The year holds its first and its last Sunday."""
@@ -134,13 +147,13 @@ def _is_full_year() -> Column:
 def forecast_annual(forecast: DataFrame) -> DataFrame:
     """Yearly sums. `Lower_Bound` and `Upper_Bound` add the weekly bounds up; the RSS pair
     treats weekly errors as independent."""
-    total = F.sum("yhat")
+    total = _sum("yhat")
     low = F.sqrt(F.sum((F.col("yhat") - F.col("yhat_lower")) ** 2))
     high = F.sqrt(F.sum((F.col("yhat_upper") - F.col("yhat")) ** 2))
     return forecast.groupBy("Year").agg(
-        F.round(total, DIGITS).alias("Projected_Passengers"),
-        F.round(F.sum("yhat_lower"), DIGITS).alias("Lower_Bound"),
-        F.round(F.sum("yhat_upper"), DIGITS).alias("Upper_Bound"),
+        total.alias("Projected_Passengers"),
+        _sum("yhat_lower").alias("Lower_Bound"),
+        _sum("yhat_upper").alias("Upper_Bound"),
         F.round(total - low, DIGITS).alias("Lower_Bound_RSS"),
         F.round(total + high, DIGITS).alias("Upper_Bound_RSS"),
         _is_full_year().alias("Is_Full_Year"))
@@ -148,7 +161,7 @@ def forecast_annual(forecast: DataFrame) -> DataFrame:
 
 def carrier_forecast_annual(forecast: DataFrame) -> DataFrame:
     return forecast.groupBy("Carrier", "Year").agg(
-        F.round(F.sum("yhat"), DIGITS).alias("Projected_Passengers"),
+        _sum("yhat").alias("Projected_Passengers"),
         _is_full_year().alias("Is_Full_Year"))
 
 
@@ -159,19 +172,19 @@ def full_years(annual: DataFrame, only: bool = True) -> DataFrame:
 def carrier_forecast_summary(annual: DataFrame, full_years_only: bool = True) -> DataFrame:
     """Mean yearly volume per carrier, highest first."""
     return (full_years(annual, full_years_only).groupBy("Carrier")
-            .agg(F.round(F.avg("Projected_Passengers"), DIGITS).alias("Avg_Annual_Passengers"))
+            .agg(_mean("Projected_Passengers").alias("Avg_Annual_Passengers"))
             .orderBy(F.desc("Avg_Annual_Passengers"), "Carrier"))
 
 
 def busiest_weeks(forecast: DataFrame) -> DataFrame:
     return (forecast.groupBy(F.col("Week").alias("Week_of_Year"))
-            .agg(F.round(F.avg("yhat"), DIGITS).alias("Avg_Passengers"))
+            .agg(_mean("yhat").alias("Avg_Passengers"))
             .orderBy(F.desc("Avg_Passengers"), "Week_of_Year"))
 
 
 def busiest_months(forecast: DataFrame) -> DataFrame:
     return (forecast.groupBy("Month")
-            .agg(F.round(F.avg("yhat"), DIGITS).alias("Avg_Passengers"))
+            .agg(_mean("yhat").alias("Avg_Passengers"))
             .withColumn("Month_Name", F.date_format(
                 F.make_date(F.lit(2000), F.col("Month"), F.lit(1)), "MMMM"))
             .orderBy(F.desc("Avg_Passengers"), "Month"))
@@ -186,7 +199,7 @@ def monthly_series(src: DataFrame, forecast: DataFrame, include_rollup_rows: boo
         .withColumn("Series", F.lit("Historical")))
     future = (
         forecast.groupBy(F.trunc("ds", "month").alias("Month_Start"))
-        .agg(F.round(F.sum("yhat"), DIGITS).alias("Passengers"))
+        .agg(_sum("yhat").alias("Passengers"))
         .withColumn("Series", F.lit("Forecast")))
     return history.unionByName(future).orderBy("Month_Start", "Series")
 
@@ -230,7 +243,7 @@ def forecast_findings(annual: DataFrame, weeks: DataFrame, months: DataFrame, sr
     """One row of headline figures."""
     value, year = F.col("Projected_Passengers"), F.col("Year")
     top = full_years(annual, full_years_only).agg(
-        F.round(F.avg(value), DIGITS).alias("Avg_Annual_Passengers"),
+        _mean("Projected_Passengers").alias("Avg_Annual_Passengers"),
         F.min_by(year, F.struct(-value, year)).alias("Peak_Year"),
         F.max(value).alias("Peak_Volume"))
     load = F.col("Avg_Passengers")
