@@ -62,6 +62,12 @@ def _scratch(spark: SparkSession, folder: str, name: str) -> str:
     return f"{shared}/farebox/{spark.sparkContext.applicationId}/sinks/{leaf}/{name}"
 
 
+def _grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The landed cells of one sheet per week."""
+    return landing.land(spark, folder, "sheet_grid",
+                        lambda: weekly_feed.sheet_grid(_src(spark, folder)))
+
+
 def _overall(spark: SparkSession, folder: str) -> DataFrame:
     return landing.land(spark, folder, "forecast_overall",
                         lambda: forecast.forecast_overall(_src(spark, folder)))
@@ -82,7 +88,7 @@ def weekly_source(spark, folder):
 
 @query
 def sheet_extract(spark, folder):
-    grid = weekly_feed.sheet_grid(_src(spark, folder))
+    grid = _grid(spark, folder)
     names = [*FIXTURE_CARRIERS, ROLLUP_CARRIER]
     extracted = sheets.extract_sheets(grid, names, names)
     lookup = _src(spark, folder).select("Carrier_Name", "Carrier_Full_Name", "Service_Type").distinct()
@@ -289,7 +295,7 @@ def period_classify(spark, folder):
 @query
 def numeric_coerce(spark, folder):
     """Every grid cell as a number, NULL where it is text; counted per column."""
-    grid = weekly_feed.sheet_grid(_src(spark, folder))
+    grid = _grid(spark, folder)
     number = measures.to_number("value")
     return grid.groupBy("col_idx").agg(
         F.count(F.lit(1)).alias("Cells"), F.count(number).alias("Numbers"),
