@@ -34,7 +34,7 @@ def main() -> None:
     QUERIES["weekly_source"](spark, folder).write.format("noop").mode("overwrite").save()
     run("landing", lambda: landing.warehouse(spark, folder))
     for name in names:
-        for _ in range(2 if name != "feature_importance" else 1):
+        for _ in range(2):
             run(name, lambda: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save())
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",

@@ -37,8 +37,9 @@ def date_key_from_parts(year: Column | str, month: Column | str, day: Column | s
 
 
 def week_friday(moment: Column | str) -> Column:
-    """Friday of the ISO week."""
-    return F.date_add(F.date_trunc("week", _c(moment)).cast("date"), 4)
+    """Friday of the ISO week, by day arithmetic alone."""
+    day = _c(moment).cast("date")
+    return F.date_add(day, 4 - F.weekday(day))
 
 
 def days_since(day: Column | str, reference: date) -> Column:
@@ -131,9 +132,9 @@ def with_week_ending(df: DataFrame, label: str = "Week_Label", year: str = "Labe
     shift = F.when(rolls, 1).otherwise(0) if fix_year_rollover else F.lit(0)
     parsed = F.when(
         F.contains(text, F.lit("-")) & (word != ""),
-        F.concat_ws("-", F.lpad((F.col(year) + shift).cast("string"), 4, "0"),
-                    F.lpad(end_month.cast("string"), 2, "0"),
-                    day.try_cast("int").cast("string")).try_cast("date"))
+        F.concat(F.lpad((F.col(year) + shift).cast("string"), 4, "0"), F.lit("-"),
+                 F.lpad(end_month.cast("string"), 2, "0"), F.lit("-"),
+                 day.try_cast("int").cast("string")).try_cast("date"))
     return (
         df.withColumn("_parsed", parsed)
         .withColumns({

@@ -2,21 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from farebox.constants import BASELINE_YEAR, FORECAST_WEEKS
+from farebox.functions.calendar import days_since
+from farebox.functions.measures import classify
 from farebox.operators import features, forecast, summaries
 from farebox.operators.dims import load_dimensions
 from farebox.operators.fact import load_fact, star_read, with_load_stamp
-from farebox.schemas import STAGING, conform
+from farebox.operators.trends import with_trends
+from farebox.schemas import STAGING, as_text_flag, conform
 from farebox.sources.sheets import consolidate, extract_sheets
 from farebox.sources.sinks import write_and_read, write_csv
 
 
-def stage(rows: DataFrame) -> DataFrame:
-    """Staging columns in order, stamped with the load time."""
-    return with_load_stamp(conform(rows, STAGING))
+Periods = list[tuple[str, str | None]]
+
+
+def stage(rows: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Staging columns in order, stamped with the load time.
+
+    The observation, if given, counts the rows as they are written, without another pass.
+    """
+    staged = with_load_stamp(conform(rows, STAGING))
+    return staged.observe(observation, F.count(F.lit(1)).alias("rows")) if observation else staged
+
+
+def derive_staging(consolidated: DataFrame, periods: Periods, period_before: str | None,
+                   inflation: Periods, inflation_before: str | None, reference_date: date,
+                   covid_periods: list[str], high_inflation: list[str],
+                   baseline_year: int = BASELINE_YEAR, calendar: bool = False) -> DataFrame:
+    """Staging rows of the consolidated table.
+
+    Period, baseline, recovery, trend and tourism columns have no source of their own and are
+    derived here: periods by their first days, the tourism peak as July, August and December,
+    the rest as in `operators.trends`.
+    """
+    period = classify("Week_Date", periods, period_before)
+    economic = classify("Week_Date", inflation, inflation_before)
+    rows = consolidated.withColumns({
+        "COVID_Period": period,
+        "Economic_Period": economic,
+        "Is_COVID_Period": as_text_flag(period.isin(covid_periods)),
+        "Is_High_Inflation": as_text_flag(economic.isin(high_inflation)),
+        "Days_Since_Pandemic_Start": days_since("Week_Date", reference_date),
+        "Is_Holiday": as_text_flag(F.col("Is_Holiday")),
+        "Is_Severe_Weather": as_text_flag(F.col("Is_Severe_Weather")),
+        "Is_Tourism_Peak": as_text_flag(F.col("Is_Summer_Peak") | F.col("Is_Holiday_Season")),
+        "NYC_Event": F.lit(None).cast("string"),
+        "Bus_Departures": F.col("Bus_Departures").cast("bigint"),
+        "Passenger_Departures": F.col("Passenger_Departures").cast("bigint"),
+    })
+    return conform(with_trends(rows, baseline_year, calendar), STAGING)
 
 
 def consolidate_job(grid: DataFrame, out: str, fix_year_rollover: bool = True) -> DataFrame:

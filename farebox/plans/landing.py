@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from farebox.operators.dims import DIMENSIONS
 from farebox.operators.fact import load_fact
@@ -21,8 +24,8 @@ from farebox.session import shared_dir
 from farebox.sources.sinks import write_and_read
 from farebox.sources.weekly_feed import staging_rows, weekly_departures
 
-_landed: dict[tuple[str, str, str], tuple[str, object]] = {}
-_lock = threading.RLock()
+_landed: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+_locks: dict[tuple[str, str, str], threading.Lock] = defaultdict(threading.Lock)
 
 
 def land(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame],
@@ -32,9 +35,9 @@ def land(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFr
     Without a shared folder the plan itself is returned and nothing is written.
     `refresh` rebuilds after the input has changed.
     """
-    with _lock:
-        app = spark.sparkContext.applicationId
-        key = (app, folder, name)
+    app = spark.sparkContext.applicationId
+    key = (app, folder, name)
+    with _locks[key]:
         if key in _landed and not refresh:
             path, schema = _landed[key]
             try:
@@ -57,9 +60,12 @@ def staging(spark: SparkSession, folder: str, refresh: bool = False) -> DataFram
 
 
 def dimensions(spark: SparkSession, folder: str, refresh: bool = False) -> dict[str, DataFrame]:
+    """The six dimensions, built side by side: they depend on the staging table alone."""
     src = staging(spark, folder, refresh)
-    return {name: land(spark, folder, name, lambda build=build: build(src), refresh)
-            for name, build in DIMENSIONS.items()}
+    with ThreadPoolExecutor(len(DIMENSIONS)) as pool:
+        jobs = {name: pool.submit(land, spark, folder, name, lambda build=build: build(src), refresh)
+                for name, build in DIMENSIONS.items()}
+        return {name: job.result() for name, job in jobs.items()}
 
 
 def warehouse(spark: SparkSession, folder: str,

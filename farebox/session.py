@@ -11,6 +11,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Hash instead of sort-merge join once all shuffled partitions measure below this size.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.ui.enabled": "false",
 }
 
@@ -26,17 +28,21 @@ def build_session(master: str | None = None, name: str = "farebox", **conf: str)
     return builder.getOrCreate()
 
 
+_scratch: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str | None:
     """The folder all executors share, as the session names it.
 
-    A scratch folder stands in only on a local master; on a cluster without the setting
-    the answer is None and callers keep their plans unlanded.
+    A scratch folder, one per application, stands in only on a local master; on a cluster
+    without the setting the answer is None and callers keep their plans unlanded.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        folder = tempfile.mkdtemp(prefix="farebox-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    return None
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        return None
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="farebox-")
+    return _scratch[app]
