@@ -15,13 +15,16 @@ from farebox.schemas import FACT, conform
 
 
 def _lookup(rows: DataFrame, dim: DataFrame, key: str, natural: list[str], how: str,
-            null_safe: bool = False) -> DataFrame:
+            null_safe: bool = False, one_each: bool = False) -> DataFrame:
     """Attach a dimension's surrogate key by its natural key.
 
     No hint: Spark broadcasts the dimension when its measured size is under the broadcast
-    threshold; otherwise the join shuffles and the runtime splits skewed keys.
+    threshold; otherwise the join shuffles and the runtime splits skewed keys. `one_each`
+    takes the lowest key of members that share the natural key but differ elsewhere.
     """
     d = dim.select(F.col(key), *[F.col(c).alias(f"_d_{c}") for c in natural])
+    if one_each:
+        d = d.groupBy(*[f"_d_{c}" for c in natural]).agg(F.min(key).alias(key))
     pairs = [(F.col(c).eqNullSafe(F.col(f"_d_{c}")) if null_safe else F.col(c) == F.col(f"_d_{c}"))
              for c in natural]
     return rows.join(d, reduce(Column.__and__, pairs), how).drop(*[f"_d_{c}" for c in natural])
@@ -31,12 +34,13 @@ def load_fact(src: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Measures of the staging rows with the keys of all six dimensions.
 
     Date and carrier are required; the other four are optional. Every optional lookup uses
-    the whole natural key of its dimension, so a fact never multiplies.
+    the whole natural key of its dimension and the required ones a single member per key, so a
+    fact never multiplies.
     """
     rows = event_attributes(status_attributes(weather_attributes(
         not_null(src, "Week_Date", "Carrier_Name"))))
-    rows = _lookup(rows, dims["dim_date"], "Date_Key", ["Week_Date"], "inner")
-    rows = _lookup(rows, dims["dim_carrier"], "Carrier_Key", ["Carrier_Name"], "inner")
+    rows = _lookup(rows, dims["dim_date"], "Date_Key", ["Week_Date"], "inner", one_each=True)
+    rows = _lookup(rows, dims["dim_carrier"], "Carrier_Key", ["Carrier_Name"], "inner", one_each=True)
     rows = _lookup(rows, dims["dim_weather"], "Weather_Key", WEATHER_KEY, "left", null_safe=True)
     rows = _lookup(rows, dims["dim_status"], "COVID_Key", STATUS_KEY, "left", null_safe=True)
     rows = _lookup(rows, dims["dim_event"], "Event_Key", EVENT_KEY, "left")

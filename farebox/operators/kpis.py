@@ -108,10 +108,11 @@ def carrier_recovery_speed(src: DataFrame, baseline_year: int, since: date,
 
 
 def carrier_leaders(performance: DataFrame) -> DataFrame:
-    """The carrier with the highest mean load and the one with the most passengers."""
+    """The carrier with the highest mean load and the one with the most passengers; equal
+    values go to the first name, carriers without a value to nobody."""
     def lead(column: str) -> Column:
-        return F.min_by(F.struct("Carrier_Name", F.col(column).alias("v")),
-                        F.struct(-F.col(column), F.col("Carrier_Name")))
+        order = F.when(F.col(column).isNotNull(), F.struct(-F.col(column), F.col("Carrier_Name")))
+        return F.min_by(F.struct("Carrier_Name", F.col(column).alias("v")), order)
 
     top = performance.agg(lead("Avg_Passengers_Per_Bus").alias("e"), lead("Total_Passengers").alias("t"))
     return top.select(

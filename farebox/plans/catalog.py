@@ -110,8 +110,7 @@ def consolidate_union(spark, folder):
 def source_load(spark, folder):
     path = _scratch(spark, folder, "source_csv")
     out = _consolidated(spark, folder)
-    dated = out.withColumn("Week_Date", F.date_format("Week_Date", "MM/dd/yyyy"))
-    sinks.write_csv(dated, path)
+    sinks.write_csv(out, path, "MM/dd/yyyy")
     return readers.read_weekly_csv(spark, path).select(
         *SERIES, "Year", "Bus_Departures", "Passenger_Departures", "Season", "Is_Summer_Peak")
 
@@ -608,6 +607,11 @@ def busiest_months(spark, folder):
     return forecast.busiest_months(_overall(spark, folder))
 
 
+@query
+def top_weeks(spark, folder):
+    return forecast.busiest_weeks(_overall(spark, folder)).limit(10)
+
+
 @query
 def monthly_series(spark, folder):
     return forecast.monthly_series(_src(spark, folder), _overall(spark, folder))
@@ -619,6 +623,12 @@ def carrier_forecast_summary(spark, folder):
     return forecast.carrier_forecast_summary(annual)
 
 
+@query
+def top_carriers(spark, folder):
+    annual = forecast.carrier_forecast_annual(_by_carrier(spark, folder))
+    return forecast.carrier_forecast_summary(annual).limit(3)
+
+
 @query
 def carrier_forecast_annual(spark, folder):
     return forecast.carrier_forecast_annual(_by_carrier(spark, folder))

@@ -62,7 +62,7 @@ def derive_staging(consolidated: DataFrame, periods: Periods, period_before: str
 def consolidate_job(grid: DataFrame, out: str, fix_year_rollover: bool = True) -> DataFrame:
     """Sheets to the consolidated CSV, sorted by date and carrier."""
     rows = consolidate(extract_sheets(grid), fix_year_rollover=fix_year_rollover)
-    write_csv(rows.orderBy("Week_Date", "Carrier_Name"), out)
+    write_csv(rows.orderBy("Week_Date", "Carrier_Name"), out, "MM/dd/yyyy")
     return rows
 
 

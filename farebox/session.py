@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Hash instead of sort-merge join once all shuffled partitions measure below this size.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     "spark.ui.enabled": "false",
 }
 

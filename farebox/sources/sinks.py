@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 from farebox.schemas import conform, rename
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Header row, no index; dates as ISO text."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, date_format: str = "yyyy-MM-dd") -> None:
+    """Header row, no index; dates stay dates until they are formatted here."""
+    df.write.mode("overwrite").option("header", True).option("dateFormat", date_format).csv(path)
 
 
 def write_table(df: DataFrame, path: str, mapping: dict[str, str] | None = None,

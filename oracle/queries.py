@@ -277,11 +277,14 @@ _BODIES: dict[str, str] = {
     "forecast_annual": "SELECT * FROM ann",
     "busiest_weeks": "SELECT * FROM bw",
     "busiest_months": "SELECT * FROM bm",
+    "top_weeks": "SELECT * FROM bw ORDER BY Avg_Passengers DESC, Week_of_Year LIMIT 10",
     "monthly_series": f"""SELECT CAST(date_trunc('month', Week_Date) AS DATE) AS Month_Start,
         CAST(sum(Passenger_Departures) AS DOUBLE) AS Passengers, 'Historical' AS Series FROM cal GROUP BY 1
       UNION ALL SELECT CAST(date_trunc('month', ds) AS DATE), {sum4("yhat")}, 'Forecast' FROM fo GROUP BY 1""",
     "carrier_forecast_summary": f"""SELECT Carrier, {mean4("Projected_Passengers")} AS Avg_Annual_Passengers
         FROM annc WHERE Is_Full_Year GROUP BY Carrier""",
+    "top_carriers": f"""SELECT Carrier, {mean4("Projected_Passengers")} AS Avg_Annual_Passengers
+        FROM annc WHERE Is_Full_Year GROUP BY Carrier ORDER BY Avg_Annual_Passengers DESC, Carrier LIMIT 3""",
     "carrier_forecast_annual": "SELECT * FROM annc",
     "forecast_findings": f"""SELECT a AS Avg_Annual_Passengers,
         (SELECT Year FROM ann WHERE Is_Full_Year ORDER BY Projected_Passengers DESC, Year LIMIT 1) AS Peak_Year,

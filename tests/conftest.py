@@ -12,7 +12,7 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", "tests", spark__sql__shuffle__partitions="4",
+    session = build_session("local[8]", "tests", spark__sql__shuffle__partitions="2",
                             spark__driver__memory="6g", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session

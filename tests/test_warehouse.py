@@ -12,8 +12,8 @@ from tests.helpers import rows, staging, week
 
 def load(spark, data):
     src = staging(spark, data)
-    tables = dims.load_dimensions(src)
-    return src, tables, fact.load_fact(src, tables)
+    tables = {name: df.cache() for name, df in dims.load_dimensions(src).items()}
+    return src, tables, fact.load_fact(src, tables).cache()
 
 
 def test_dense_key_equals_global_row_number(spark):
@@ -56,6 +56,20 @@ def test_no_fan_out_where_the_narrow_weather_key_has_one(spark):
     assert (check.Source_Rows, check.Joined_Rows, check.Extra_Rows) == (2, 4, 2)
 
 
+def test_conflicting_attributes_do_not_multiply_facts(spark):
+    data = [{"Week_Date": week(0), "Carrier_Full_Name": n, "Is_Holiday": h} for n, h in (("x", "True"), ("y", "False"))]
+    _, tables, facts = load(spark, data)
+    assert tables["dim_date"].count() == 2 and tables["dim_carrier"].count() == 2
+    assert facts.count() == 2 and {r.Carrier_Key for r in facts.collect()} == {1}
+
+
+def test_leaders_skip_carriers_without_a_value(spark):
+    from farebox.operators.kpis import carrier_leaders
+    perf = spark.createDataFrame([("A", None, 5), ("C", 2.0, 5), ("B", 2.0, 4)],
+                                 "Carrier_Name string, Avg_Passengers_Per_Bus double, Total_Passengers bigint")
+    assert tuple(carrier_leaders(perf).first()) == ("B", 2.0, "A", 5)
+
+
 def test_service_description_suffixes(spark):
     src = staging(spark, [{"Week_Date": week(0)}])
     assert dims.dim_service_type(src).first().Service_Description == "Regional transportation service"
