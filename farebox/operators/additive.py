@@ -8,6 +8,7 @@ from other fitters of the same model family; columns and bounds have the same me
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -63,29 +64,36 @@ def forecast_overall_additive(src: DataFrame, weeks: int = FORECAST_WEEKS,
         "ds", "yhat", (F.col("yhat") - band).alias("yhat_lower"), (F.col("yhat") + band).alias("yhat_upper")))
 
 
-def _design(days: np.ndarray, first: int, last: int) -> np.ndarray:
-    t = (days - first) / max(last - first, 1)
-    angle = days * (2 * math.pi / YEAR_DAYS)
-    hinges = [np.maximum(t - knot, 0.0) for knot in _KNOTS]
-    waves = [f(angle * k) for k in range(1, FOURIER_ORDER + 1) for f in (np.sin, np.cos)]
-    return np.column_stack([np.ones_like(t), t, *hinges, *waves])
+def _series_fitter(weeks: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Ridge fit of one carrier's weekly series and its values on the forecast days.
 
+    Both helpers are nested, so that they travel to the executors with their constants and
+    the package need not be installed there.
+    """
+    knots, order, ridge, z = _KNOTS, FOURIER_ORDER, RIDGE, INTERVAL_Z
+    per_day = 2 * math.pi / YEAR_DAYS
 
-def _fit_one(pdf: pd.DataFrame, weeks: int) -> pd.DataFrame:
-    """Ridge fit of one carrier's weekly series and its values on the forecast days."""
-    days = pdf["day"].to_numpy(float)
-    y = pdf["y"].to_numpy(float)
-    future = pdf["first_sunday"].iloc[0] + 7.0 * np.arange(weeks)
-    first, last = days.min(), days.max()
-    x = _design(days, first, last)
-    penalty = np.eye(x.shape[1]) * RIDGE * len(y)
-    penalty[0, 0] = 0.0
-    beta = np.linalg.solve(x.T @ x + penalty, x.T @ y)
-    sigma = float(np.sqrt(np.mean((y - x @ beta) ** 2)))
-    yhat = _design(future, first, last) @ beta
-    return pd.DataFrame({
-        "Carrier": pdf["Carrier"].iloc[0], "day": future.astype("int32"), "yhat": yhat,
-        "yhat_lower": yhat - INTERVAL_Z * sigma, "yhat_upper": yhat + INTERVAL_Z * sigma})
+    def design(days: np.ndarray, first: float, last: float) -> np.ndarray:
+        t = (days - first) / max(last - first, 1)
+        hinges = [np.maximum(t - knot, 0.0) for knot in knots]
+        waves = [f(days * per_day * k) for k in range(1, order + 1) for f in (np.sin, np.cos)]
+        return np.column_stack([np.ones_like(t), t, *hinges, *waves])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        days, y = pdf["day"].to_numpy(float), pdf["y"].to_numpy(float)
+        future = pdf["first_sunday"].iloc[0] + 7.0 * np.arange(weeks)
+        first, last = days.min(), days.max()
+        x = design(days, first, last)
+        penalty = np.eye(x.shape[1]) * ridge * len(y)
+        penalty[0, 0] = 0.0
+        beta = np.linalg.solve(x.T @ x + penalty, x.T @ y)
+        band = z * float(np.sqrt(np.mean((y - x @ beta) ** 2)))
+        yhat = design(future, first, last) @ beta
+        return pd.DataFrame({
+            "Carrier": pdf["Carrier"].iloc[0], "day": future.astype("int32"),
+            "yhat": yhat, "yhat_lower": yhat - band, "yhat_upper": yhat + band})
+
+    return fit
 
 
 def forecast_by_carrier_additive(src: DataFrame, weeks: int = FORECAST_WEEKS,
@@ -98,6 +106,6 @@ def forecast_by_carrier_additive(src: DataFrame, weeks: int = FORECAST_WEEKS,
         F.col("Passenger_Departures").cast("double").alias("y"),
         F.unix_date(F.next_day(last, "SUN")).alias("first_sunday"))
     fitted = prepared.groupBy("Carrier").applyInPandas(
-        lambda pdf: _fit_one(pdf, weeks), "Carrier string, day int, yhat double, yhat_lower double, yhat_upper double")
+        _series_fitter(weeks), "Carrier string, day int, yhat double, yhat_lower double, yhat_upper double")
     return with_forecast_parts(fitted.select(
         "Carrier", F.date_from_unix_date("day").alias("ds"), "yhat", "yhat_lower", "yhat_upper"))

@@ -14,6 +14,7 @@ from collections import defaultdict
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -62,8 +63,9 @@ def staging(spark: SparkSession, folder: str, refresh: bool = False) -> DataFram
 def dimensions(spark: SparkSession, folder: str, refresh: bool = False) -> dict[str, DataFrame]:
     """The six dimensions, built side by side: they depend on the staging table alone."""
     src = staging(spark, folder, refresh)
+    run = inheritable_thread_target(spark)(land)
     with ThreadPoolExecutor(len(DIMENSIONS)) as pool:
-        jobs = {name: pool.submit(land, spark, folder, name, lambda build=build: build(src), refresh)
+        jobs = {name: pool.submit(run, spark, folder, name, lambda build=build: build(src), refresh)
                 for name, build in DIMENSIONS.items()}
         return {name: job.result() for name, job in jobs.items()}
 

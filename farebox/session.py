@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Hash instead of sort-merge join once all shuffled partitions measure below this size.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Few of the columns are read, so a split may span more of the file.
+    "spark.sql.files.maxPartitionBytes": "512m",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     "spark.ui.enabled": "false",
 }

@@ -66,8 +66,8 @@ def test_carriers_share_one_calendar(spark):
 def test_rollup_row_is_left_out(spark):
     data = history(60)
     doubled = data + [d | {"Carrier_Name": "Total"} for d in data]
-    plain = forecast.forecast_overall(staging(spark, data), 4).collect()
-    assert forecast.forecast_overall(staging(spark, doubled), 4).collect() == plain
+    plain = forecast_rows(forecast.forecast_overall(staging(spark, data), 4))
+    assert forecast_rows(forecast.forecast_overall(staging(spark, doubled), 4)) == plain
     both = forecast.weekly_totals(staging(spark, doubled), include_rollup_rows=True)
     assert both.where(F.col("Week_Date") == F.lit(week(0))).first().Passenger_Departures == 2 * data[0]["Passenger_Departures"]
 
@@ -145,6 +145,25 @@ def test_additive_by_carrier_equals_each_alone(spark):
     assert {r.ds: r.yhat for r in both if r.Carrier == "B"} == pytest.approx({r.ds: r.yhat for r in alone})
 
 
+def test_series_fitter_runs_without_the_package(tmp_path):
+    """The grouped map must work on executors that do not have the package."""
+    import subprocess
+    import sys
+    from pyspark import cloudpickle
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(additive._series_fitter(3)))
+    code = """
+import pickle, sys
+import pandas as pd
+fit = pickle.load(open(sys.argv[1], "rb"))
+out = fit(pd.DataFrame({"Carrier": "A", "day": range(0, 700, 7), "y": 5.0, "first_sunday": 703}))
+assert list(out["day"]) == [703, 710, 717] and abs(out["yhat"].iloc[0] - 5) < 1e-6
+assert "farebox" not in sys.modules
+"""
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "f.pkl")], cwd=tmp_path,
+                          capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def forecast_rows(df):
     return df.orderBy("ds").collect()
 
