@@ -41,11 +41,13 @@ def load_fact(src: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
         not_null(src, "Week_Date", "Carrier_Name"))))
     rows = _lookup(rows, dims["dim_date"], "Date_Key", ["Week_Date"], "inner", one_each=True)
     rows = _lookup(rows, dims["dim_carrier"], "Carrier_Key", ["Carrier_Name"], "inner", one_each=True)
+    required = rows  # the left joins below keep its rows
     rows = _lookup(rows, dims["dim_weather"], "Weather_Key", WEATHER_KEY, "left", null_safe=True)
     rows = _lookup(rows, dims["dim_status"], "COVID_Key", STATUS_KEY, "left", null_safe=True)
     rows = _lookup(rows, dims["dim_event"], "Event_Key", EVENT_KEY, "left")
     rows = _lookup(rows, dims["dim_service_type"], "Service_Type_Key", ["Service_Type"], "left")
-    keyed = dense_key(rows, "Fact_Key", F.col("Date_Key"), ["Carrier_Key"], kind="bigint")
+    keyed = dense_key(rows, "Fact_Key", F.col("Date_Key"), ["Carrier_Key"], kind="bigint",
+                      counted=required)
     return conform(keyed, FACT)
 
 

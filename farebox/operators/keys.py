@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 
 def dense_key(df: DataFrame, key: str, bucket: Column, order_by: list[str | Column],
-              descending: bool = False, kind: str = "int") -> DataFrame:
+              descending: bool = False, kind: str = "int",
+              counted: DataFrame | None = None) -> DataFrame:
     """Number rows 1..n by bucket, then by `order_by` inside the bucket.
 
     Rows are ranked per bucket in parallel; only the bucket counts, one row per distinct
     bucket, meet in one task for the running offset. `bucket` should be a coarse leading
     part of the ordering (a date, a rounded value, a prefix). The result equals a global
-    `row_number` over (bucket, order_by).
+    `row_number` over (bucket, order_by). `counted` may name a cheaper frame with the same
+    rows per bucket, to be counted in place of `df`.
     """
     side = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     keyed = df.withColumn("_bucket", bucket)
     before = Window.orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
+    counted = keyed if counted is None else counted.withColumn("_bucket", bucket)
     offsets = (
-        keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        counted.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
         .select(F.col("_bucket").alias("_b"),
                 F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
     ranked = keyed.withColumn(

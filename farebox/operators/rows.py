@@ -16,7 +16,10 @@ def members_only(df: DataFrame, include_rollup_rows: bool = False,
     return df if include_rollup_rows else df.where(~F.col(carrier).eqNullSafe(F.lit(ROLLUP_CARRIER)))
 
 
-def only_names(df: DataFrame, names: list[str], carrier: str = "Carrier_Name") -> DataFrame:
+def only_names(df: DataFrame, names: list[str] | DataFrame, carrier: str = "Carrier_Name") -> DataFrame:
+    """Rows whose carrier is listed exactly: a short list in place, a long one as a frame."""
+    if isinstance(names, DataFrame):
+        return df.join(names.select(carrier), carrier, "left_semi")
     return df.where(F.col(carrier).isin(names))
 
 

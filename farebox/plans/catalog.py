@@ -6,6 +6,7 @@ that Spark derives from them (`landing`). Decimals leave as doubles.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.constants import (
-    FIXTURE_BASELINE_YEAR, FIXTURE_CARRIERS, FIXTURE_REFERENCE_DATE, ROLLUP_CARRIER)
+    FIXTURE_BASELINE_YEAR, FIXTURE_CARRIERS, FIXTURE_REFERENCE_DATE, ROLLUP_CARRIER,
+    SERVICE_SUFFIX_SHORT)
 from farebox.functions import calendar, measures
 from farebox.operators import (
     additive, dims, fact, features, forecast, kpis, quality, rows, summaries, trends)
@@ -54,12 +56,12 @@ def _consolidated(spark: SparkSession, folder: str) -> DataFrame:
     return sheets.project_consolidated(labelled)
 
 
-def _scratch(spark: SparkSession, folder: str, name: str) -> str:
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a written result, so that frames read from an earlier one stay valid."""
     shared = shared_dir(spark)
     if shared is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    leaf = folder.strip("/").replace("/", "-")
-    return f"{shared}/farebox/{spark.sparkContext.applicationId}/sinks/{leaf}/{name}"
+    return f"{shared}/farebox/{spark.sparkContext.applicationId}/sinks/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +110,7 @@ def consolidate_union(spark, folder):
 
 @query
 def source_load(spark, folder):
-    path = _scratch(spark, folder, "source_csv")
+    path = _scratch(spark, "source_csv")
     out = _consolidated(spark, folder)
     sinks.write_csv(out, path, "MM/dd/yyyy")
     return readers.read_weekly_csv(spark, path).select(
@@ -117,7 +119,7 @@ def source_load(spark, folder):
 
 @query
 def sink_csv_roundtrip(spark, folder):
-    path = _scratch(spark, folder, "totals_csv")
+    path = _scratch(spark, "totals_csv")
     sinks.write_csv(forecast.weekly_totals(_src(spark, folder)), path)
     return spark.read.schema(
         "Week_Date date, Passenger_Departures bigint, Bus_Departures bigint"
@@ -126,7 +128,7 @@ def sink_csv_roundtrip(spark, folder):
 
 @query
 def sink_table_roundtrip(spark, folder):
-    path = _scratch(spark, folder, "monthly_table")
+    path = _scratch(spark, "monthly_table")
     monthly = summaries.monthly_carrier_summary(_star(spark, folder))
     upstream = monthly.select(
         "Year", "Month", "Carrier_Name", F.col("Total_Passengers").alias("Total Passengers"),
@@ -154,7 +156,9 @@ def project_consolidated(spark, folder):
 @query
 def filter_members(spark, folder):
     grown = weekly_feed.with_rollup_rows(_src(spark, folder))
-    return rows.only_names(rows.members_only(grown), FIXTURE_CARRIERS)
+    members = rows.only_names(rows.members_only(grown), FIXTURE_CARRIERS)
+    listed = weekly_feed.table(spark, folder, "nation").select(F.col("n_name").alias("Carrier_Name"))
+    return rows.only_names(members, listed)
 
 
 @query
@@ -319,7 +323,6 @@ def event_default(spark, folder):
 
 @query
 def service_description(spark, folder):
-    from farebox.constants import SERVICE_SUFFIX_SHORT
     types = _src(spark, folder).select("Service_Type").distinct()
     return types.select(
         "Service_Type", dims.service_description("Service_Type").alias("Description"),

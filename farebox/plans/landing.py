@@ -8,8 +8,8 @@ and a lost executor costs a re-read, not a re-scan of the order lines.
 
 from __future__ import annotations
 
-import hashlib
 import threading
+import uuid
 from collections import defaultdict
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -48,8 +48,8 @@ def land(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFr
         shared = shared_dir(spark)
         if shared is None:
             return build()
-        digest = hashlib.sha256(folder.encode()).hexdigest()[:12]
-        path = f"{shared}/farebox/{app}/{digest}/{name}"
+        # a new folder per build: frames read from an earlier one stay valid
+        path = f"{shared}/farebox/{app}/{name}-{uuid.uuid4().hex[:12]}"
         df = write_and_read(build(), path)
         _landed[key] = (path, df.schema)
         return df
