@@ -15,6 +15,7 @@ from farebox.schemas import (
 
 # Natural keys: every column of a dimension but its surrogate.
 WEATHER_KEY = DIM_WEATHER.names[1:]
+NARROW_WEATHER_KEY = ["Avg_Temp_F", "Precipitation_Inches", "Weather_Condition"]
 STATUS_KEY = DIM_STATUS.names[1:]
 EVENT_KEY = DIM_EVENT.names[1:]
 

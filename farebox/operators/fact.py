@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farebox.operators.dims import (
-    EVENT_KEY, STATUS_KEY, WEATHER_KEY, event_attributes, status_attributes, weather_attributes)
+    EVENT_KEY, NARROW_WEATHER_KEY, STATUS_KEY, WEATHER_KEY, event_attributes, status_attributes, weather_attributes)
 from farebox.operators.keys import dense_key
 from farebox.operators.rows import not_null
 from farebox.schemas import FACT, conform
@@ -30,19 +30,22 @@ def _lookup(rows: DataFrame, dim: DataFrame, key: str, natural: list[str], how:
     return rows.join(d, reduce(Column.__and__, pairs), how).drop(*[f"_d_{c}" for c in natural])
 
 
-def load_fact(src: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+def load_fact(src: DataFrame, dims: dict[str, DataFrame],
+              narrow_weather_key: bool = False) -> DataFrame:
     """Measures of the staging rows with the keys of all six dimensions.
 
     Date and carrier are required; the other four are optional. Every optional lookup uses
     the whole natural key of its dimension and the required ones a single member per key, so a
-    fact never multiplies.
+    fact never multiplies. `narrow_weather_key` joins weather on temperature, precipitation and
+    condition only and so repeats facts whose weather is told apart by snow.
     """
     rows = event_attributes(status_attributes(weather_attributes(
         not_null(src, "Week_Date", "Carrier_Name"))))
     rows = _lookup(rows, dims["dim_date"], "Date_Key", ["Week_Date"], "inner", one_each=True)
     rows = _lookup(rows, dims["dim_carrier"], "Carrier_Key", ["Carrier_Name"], "inner", one_each=True)
-    required = rows  # the left joins below keep its rows
-    rows = _lookup(rows, dims["dim_weather"], "Weather_Key", WEATHER_KEY, "left", null_safe=True)
+    required = None if narrow_weather_key else rows  # the left joins below keep its rows
+    weather = NARROW_WEATHER_KEY if narrow_weather_key else WEATHER_KEY
+    rows = _lookup(rows, dims["dim_weather"], "Weather_Key", weather, "left", null_safe=True)
     rows = _lookup(rows, dims["dim_status"], "COVID_Key", STATUS_KEY, "left", null_safe=True)
     rows = _lookup(rows, dims["dim_event"], "Event_Key", EVENT_KEY, "left")
     rows = _lookup(rows, dims["dim_service_type"], "Service_Type_Key", ["Service_Type"], "left")

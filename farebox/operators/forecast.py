@@ -214,9 +214,10 @@ def baseline_total(src: DataFrame, baseline_year: int, include_rollup_rows: bool
         .cast("bigint").alias("baseline"))
 
 
-def baseline_comparison(annual: DataFrame, src: DataFrame, baseline_year: int) -> DataFrame:
+def baseline_comparison(annual: DataFrame, src: DataFrame, baseline_year: int,
+                        include_rollup_rows: bool = False) -> DataFrame:
     """Forecast years against the baseline total; the percentage is NULL on a zero baseline."""
-    base = baseline_total(src, baseline_year).scalar().cast("double")
+    base = baseline_total(src, baseline_year, include_rollup_rows).scalar().cast("double")
     return annual.select(
         "Year", "Projected_Passengers", "Lower_Bound", "Upper_Bound", "Is_Full_Year",
         base.alias("Baseline_2019"),
@@ -239,7 +240,8 @@ def forecast_cagr(annual: DataFrame) -> DataFrame:
 
 
 def forecast_findings(annual: DataFrame, weeks: DataFrame, months: DataFrame, src: DataFrame,
-                      baseline_year: int, full_years_only: bool = True) -> DataFrame:
+                      baseline_year: int, full_years_only: bool = True,
+                      include_rollup_rows: bool = False) -> DataFrame:
     """One row of headline figures."""
     value, year = F.col("Projected_Passengers"), F.col("Year")
     top = full_years(annual, full_years_only).agg(
@@ -251,6 +253,6 @@ def forecast_findings(annual: DataFrame, weeks: DataFrame, months: DataFrame, sr
     return top.withColumns({
         "Busiest_Week": weeks.select(F.min_by(week, F.struct(-load, week))).scalar(),
         "Busiest_Month": months.select(F.min_by(F.col("Month_Name"), F.struct(-load, month))).scalar(),
-        "Baseline_2019": baseline_total(src, baseline_year).scalar(),
+        "Baseline_2019": baseline_total(src, baseline_year, include_rollup_rows).scalar(),
     }).withColumn("Change_Percent", F.round(
         percent_change("Avg_Annual_Passengers", "Baseline_2019"), DIGITS))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from farebox.constants import ROLLUP_CARRIER
 from farebox.functions.calendar import date_key, date_key_from_parts
 from farebox.functions.measures import mean_of_whole
-from farebox.operators.dims import weather_attributes
+from farebox.operators.dims import NARROW_WEATHER_KEY, weather_attributes
 from farebox.operators.rows import union_frames
 
 # Outcome texts of the checks.
@@ -156,7 +156,7 @@ def check_unique_keys(tables: dict[str, DataFrame]) -> DataFrame:
 def fact_fanout_check(src: DataFrame, dim_weather: DataFrame) -> DataFrame:
     """Rows a fact load would give when weather joins on temperature, precipitation and
     condition only. The dimension is counted per such key first, so nothing multiplies."""
-    narrow = ["Avg_Temp_F", "Precipitation_Inches", "Weather_Condition"]
+    narrow = NARROW_WEATHER_KEY
     matches = (dim_weather.groupBy(*[F.col(c).alias(f"_d_{c}") for c in narrow])
                .agg(F.count(F.lit(1)).alias("Matches")))
     on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in narrow])

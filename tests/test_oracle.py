@@ -18,16 +18,22 @@ def test_every_query_has_sql_or_is_listed():
     assert set(QUERIES) - set(SQL) == ROWS_ONLY and set(SQL) <= set(QUERIES)
 
 
+def assert_plan_is_clean(df):
+    """No product join and no row-at-a-time Python function."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert word not in plan, word
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, tiny, duck, name):
-    assert differences(QUERIES[name](spark, tiny), duck, SQL[name]) == []
+    df = QUERIES[name](spark, tiny)
+    assert differences(df, duck, SQL[name]) == []
+    assert_plan_is_clean(df)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"feature_importance", "forecast_overall_additive"}))
-def test_plan_has_no_product_join_or_row_udf(spark, tiny, name):
-    plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
-        assert word not in plan, word
+def test_grouped_map_plan(spark, tiny):
+    assert_plan_is_clean(QUERIES["forecast_by_carrier_additive"](spark, tiny))
 
 
 def test_entry(spark):

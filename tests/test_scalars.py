@@ -145,3 +145,39 @@ def test_big_counts_do_not_overflow(spark):
     got = one(spark, "p bigint, b bigint", (9_000_000_000_000, 7), measures.passengers_per_bus("p", "b"),
               measures.percent_of("p", "b"), F.lit(1))
     assert float(got[0]) == pytest.approx(9e12 / 7, abs=0.01) and got[1] is not None
+
+
+def test_ratio_equals_decimal_arithmetic(spark):
+    """Random whole numbers against Python's decimals, rounded half up."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+    draw = random.Random(5)
+    pairs = [(draw.randint(-10 ** draw.randint(1, 12), 10 ** draw.randint(1, 12)), draw.randint(0, 10 ** draw.randint(1, 9)))
+             for _ in range(2000)] + [(1, 8), (-1, 8), (201, 200), (5, 1000), (15, 1000)]
+    df = spark.createDataFrame(pairs, "n bigint, d bigint")
+    got = df.select("n", "d", measures.mean_of_whole(F.col("n"), F.col("d")).alias("q")).collect()
+    with localcontext() as context:
+        context.prec = 60
+        for n, d, q in got:
+            expected = None if d == 0 else (Decimal(n) / Decimal(d)).quantize(Decimal("0.01"), ROUND_HALF_UP)
+            assert q == expected, (n, d)
+
+
+def test_labels_built_from_parts(spark):
+    """Random labels in all spellings; the end day and month are known from how they were built."""
+    import random
+    from datetime import timedelta
+    draw = random.Random(11)
+    expected = {}
+    for _ in range(400):
+        monday = date(2015, 1, 5) + timedelta(weeks=draw.randint(0, 800))
+        friday = monday + timedelta(days=4)
+
+        def month(day):
+            return draw.choice([day.strftime("%b"), day.strftime("%B")] + (
+                [day.strftime("%b") + "."] if day.month in (1, 2, 3, 4, 10, 11, 12) else []))
+        dash = draw.choice(["-", " - "])
+        tail = f"{friday.day}" if monday.month == friday.month else f"{month(friday)} {friday.day}"
+        label = f"{month(monday)} {monday.day}{dash}{tail}" + draw.choice(["", f", {friday.year}"])
+        expected[(label, monday.year)] = (friday, False)
+    assert parse(spark, list(expected)) == expected

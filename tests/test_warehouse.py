@@ -54,6 +54,8 @@ def test_no_fan_out_where_the_narrow_weather_key_has_one(spark):
     assert facts.count() == 2
     check = quality.fact_fanout_check(src, tables["dim_weather"]).first()
     assert (check.Source_Rows, check.Joined_Rows, check.Extra_Rows) == (2, 4, 2)
+    literal = fact.load_fact(src, tables, narrow_weather_key=True)
+    assert sorted(r.Fact_Key for r in literal.collect()) == [1, 2, 3, 4]
 
 
 def test_conflicting_attributes_do_not_multiply_facts(spark):
