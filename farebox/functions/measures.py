@@ -97,7 +97,5 @@ def fill(column: Column | str, default: str) -> Column:
 
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles, for consumers without a decimal type."""
-    return df.select([
-        F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-        else F.col(f.name)
-        for f in df.schema])
+    decimals = [f.name for f in df.schema if isinstance(f.dataType, T.DecimalType)]
+    return df.withColumns({name: F.col(name).cast("double") for name in decimals}) if decimals else df

@@ -101,7 +101,8 @@ CARRIER_PERFORMANCE = _struct(
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly the declared columns, in order and cast; extra columns are dropped."""
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return df.selectExpr(*[
+        f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema])
 
 
 def ensure_column(df: DataFrame, name: str, kind: T.DataType | str) -> DataFrame:
