@@ -244,7 +244,7 @@ def _evidence(items: list[set[int]], label: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def fit(texts: list[str], label: list[int], rounds: int = 3, epochs: int = 4, per_text: int = 3,
-        seed: int = 7) -> Network:
+        least_steps: int = 100, seed: int = 7) -> Network:
     y = np.asarray(label, dtype=int)
     net = Network(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32))
     if len(y) == 0 or y.min() == y.max():
@@ -294,7 +294,7 @@ def fit(texts: list[str], label: list[int], rounds: int = 3, epochs: int = 4, pe
         pick = np.array(sorted(chosen))
         lab = y[owner[pick]].astype(np.float32)
         weight = np.where(lab > 0, 0.25 * len(lab) / max(lab.sum(), 1), 0.75 * len(lab) / max((1 - lab).sum(), 1))
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-least_steps // -(-len(pick) // 512)))):
             mixed = rng.permutation(len(pick))
             for b in range(0, len(mixed), 512):
                 rows = mixed[b:b + 512]
