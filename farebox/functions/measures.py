@@ -58,9 +58,10 @@ def mean_of_measure(total: Column, count: Column, scale: int = 2) -> Column:
 
 
 def to_number(text: Column | str) -> Column:
-    """Text to double; NULL when it is no number."""
-    number = _c(text).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    """Text to double; NULL when it is no plain decimal number, or none that is finite."""
+    text = F.trim(_c(text).cast("string"))
+    number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def flag(text: Column | str) -> Column:

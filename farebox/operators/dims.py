@@ -49,13 +49,36 @@ def service_description(service_type: Column | str, suffix: str = SERVICE_SUFFIX
 
 
 def dim_date(src: DataFrame) -> DataFrame:
-    """One row per week; the key is a function of the date."""
+    """One row per week; the key is a function of the date.
+
+    Where rows of one week disagree, a flag is set if any row sets it, and the other attributes
+    are the smallest; `dim_conflicts` lists such weeks.
+    """
     rows = not_null(src, "Week_Date", "Year").withColumns({
         "Date_Key": date_key("Week_Date"),
         "Is_Holiday": flag("Is_Holiday"),
         "Is_Tourism_Peak": flag("Is_Tourism_Peak"),
     })
-    return conform(rows, DIM_DATE).distinct()
+    rows = conform(rows, DIM_DATE)
+    keys = ["Date_Key", "Week_Date"]
+    pick = {c: F.max if c.startswith("Is_") else F.min for c in rows.columns if c not in keys}
+    return conform(rows.groupBy(*keys).agg(*[f(c).alias(c) for c, f in pick.items()]), DIM_DATE)
+
+
+def dim_conflicts(src: DataFrame) -> DataFrame:
+    """Weeks and carriers whose rows disagree: dimension, member, attribute and number of values."""
+    def count(df: DataFrame, name: str, key: str, columns: list[str]) -> DataFrame:
+        counted = df.groupBy(F.col(key).cast("string").alias("member")).agg(
+            *[F.countDistinct(c).alias(c) for c in columns])
+        return counted.select(F.lit(name).alias("dimension"), "member", F.explode(F.array(*[
+            F.struct(F.lit(c).alias("attribute"), F.col(c).alias("n_values")) for c in columns])).alias("x")).select(
+                "dimension", "member", "x.*").where("n_values > 1")
+
+    weeks = not_null(src, "Week_Date", "Year").withColumns({
+        "Is_Holiday": flag("Is_Holiday"), "Is_Tourism_Peak": flag("Is_Tourism_Peak")})
+    attributes = [f.name for f in DIM_DATE if f.name not in ("Date_Key", "Week_Date")]
+    return count(weeks, "dim_date", "Week_Date", attributes).union(
+        count(not_null(src, "Carrier_Name"), "dim_carrier", "Carrier_Name", ["Carrier_Full_Name"]))
 
 
 def dim_carrier(src: DataFrame) -> DataFrame:

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farebox.constants import (
-    FEATURE_COLUMNS, FEATURE_TARGET, FOREST_DEPTH, FOREST_SEED, FOREST_TREES)
+    FEATURE_COLUMNS, FEATURE_TARGET, FOREST_DEPTH, FOREST_SEED, FOREST_TASKS,
+    FOREST_TREES)
 from farebox.functions.measures import flag
 from farebox.operators.rows import complete_rows, members_only
 
-ROWS_PER_TASK = 1000
-
 
 def _known_flag(column: str) -> Column:
     return F.when(F.col(column).isNotNull(), flag(column))
@@ -44,14 +41,12 @@ def feature_rows_complete(src: DataFrame, include_rollup_rows: bool = False) ->
 
 
 def fit_forest(rows: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
-               seed: int = FOREST_SEED) -> RandomForestRegressionModel:
+               seed: int = FOREST_SEED, tasks: int = FOREST_TASKS) -> RandomForestRegressionModel:
     """Forest over all features at every split.
 
-    Rows are placed by their key, so that a rerun draws the same bootstrap samples. Every task
-    sends statistics of all open tree nodes, so the number of tasks follows the number of rows.
+    Bootstrap samples follow the partitions. Rows are placed by their key into `tasks`
+    partitions, so reruns draw the same samples, whatever the number of rows or cores.
     """
-    parallel = rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(parallel, math.ceil(rows.count() / ROWS_PER_TASK)))
     assembled = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features").transform(rows)
     training = (
         assembled.select("features", F.col(FEATURE_TARGET).cast("double").alias("label"),

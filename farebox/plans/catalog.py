@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.constants import (
-    FIXTURE_BASELINE_YEAR, FIXTURE_CARRIERS, FIXTURE_REFERENCE_DATE, ROLLUP_CARRIER,
+    FIXTURE_BASELINE_YEAR, FIXTURE_REFERENCE_DATE, ROLLUP_CARRIER,
     SERVICE_SUFFIX_SHORT)
 from farebox.functions import calendar, measures
 from farebox.operators import (
@@ -64,6 +64,12 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared}/farebox/{spark.sparkContext.applicationId}/sinks/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """The carriers' names, one per nation: column names and search words have to be known ahead."""
+    listed = weekly_feed.table(spark, folder, "nation").select("n_name").where("n_name is not null").distinct()
+    return sorted(r[0] for r in listed.collect())
+
+
 def _grid(spark: SparkSession, folder: str) -> DataFrame:
     """The landed cells of one sheet per week."""
     return landing.land(spark, folder, "sheet_grid",
@@ -91,7 +97,7 @@ def weekly_source(spark, folder):
 @query
 def sheet_extract(spark, folder):
     grid = _grid(spark, folder)
-    names = [*FIXTURE_CARRIERS, ROLLUP_CARRIER]
+    names = [*_names(spark, folder), ROLLUP_CARRIER]
     extracted = sheets.extract_sheets(grid, names, names)
     lookup = _src(spark, folder).select("Carrier_Name", "Carrier_Full_Name", "Service_Type").distinct()
     return sheets.consolidate(extracted, lookup).select(
@@ -156,7 +162,7 @@ def project_consolidated(spark, folder):
 @query
 def filter_members(spark, folder):
     grown = weekly_feed.with_rollup_rows(_src(spark, folder))
-    members = rows.only_names(rows.members_only(grown), FIXTURE_CARRIERS)
+    members = rows.only_names(rows.members_only(grown), _names(spark, folder))
     listed = weekly_feed.table(spark, folder, "nation").select(F.col("n_name").alias("Carrier_Name"))
     return rows.only_names(members, listed)
 
@@ -462,7 +468,7 @@ def recovery_status(spark, folder):
 @query
 def carrier_year_pivot(spark, folder):
     annual = forecast.carrier_forecast_annual(_by_carrier(spark, folder))
-    return summaries.carrier_year_pivot(annual, FIXTURE_CARRIERS)
+    return summaries.carrier_year_pivot(annual, _names(spark, folder))
 
 
 # ---- windows -------------------------------------------------------------------------------------

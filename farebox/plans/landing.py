@@ -25,8 +25,24 @@ from farebox.session import shared_dir
 from farebox.sources.sinks import write_and_read
 from farebox.sources.weekly_feed import staging_rows, weekly_departures
 
-_landed: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
-_locks: dict[tuple[str, str, str], threading.Lock] = defaultdict(threading.Lock)
+Key = tuple[str, str, tuple, str]
+_landed: dict[Key, tuple[str, T.StructType]] = {}
+_locks: dict[Key, threading.Lock] = defaultdict(threading.Lock)
+_drop = threading.Lock()
+
+#: The tables that all landed ones derive from.
+INPUTS = ["lineitem", "orders", "supplier", "nation", "region", "events"]
+
+
+def input_state(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of every input file: landed tables of an earlier state are not used again."""
+    state = []
+    for name in INPUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.exists(path):
+            state += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in store.listStatus(path)]
+    return tuple(sorted(state))
 
 
 def land(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame],
@@ -34,10 +50,10 @@ def land(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFr
     """The table `name` of this input folder, built and written on first use.
 
     Without a shared folder the plan itself is returned and nothing is written.
-    `refresh` rebuilds after the input has changed.
+    A change of the input's files rebuilds every table on its next use. `refresh` forces that.
     """
     app = spark.sparkContext.applicationId
-    key = (app, folder, name)
+    key = (app, folder, input_state(spark, folder), name)
     with _locks[key]:
         if key in _landed and not refresh:
             path, schema = _landed[key]
@@ -56,6 +72,11 @@ def land(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFr
 
 
 def staging(spark: SparkSession, folder: str, refresh: bool = False) -> DataFrame:
+    """The staging table. All others derive from it, so its refresh drops them all."""
+    if refresh:
+        with _drop:
+            for key in [k for k in _landed if k[:2] == (spark.sparkContext.applicationId, folder)]:
+                del _landed[key]
     return land(spark, folder, "staging",
                 lambda: staging_rows(weekly_departures(spark, folder)), refresh)
 

@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farebox.functions.calendar import safe_date
 from farebox.schemas import CONSOLIDATED, conform
 
 
-def read_weekly_csv(spark: SparkSession, path: str, schema: T.StructType = CONSOLIDATED) -> DataFrame:
-    """Weekly rows from CSV with a header; dates may be ISO or MM/dd/yyyy text.
+def read_weekly_csv(spark: SparkSession, path: str, schema: T.StructType = CONSOLIDATED,
+                    corrupt: str | None = None) -> DataFrame:
+    """Weekly rows from CSV, columns matched by the header's names; dates may be ISO or MM/dd/yyyy text.
 
-    The schema is declared, so no pass over the files infers it.
+    Only the header is read to learn the order; a missing name is an error, further columns are
+    left out. `corrupt` names an extra column that keeps the values that do not fit their type,
+    as name=value, null where all fit.
     """
-    text_dates = T.StructType([
-        T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DateType) else f.dataType)
-        for f in schema])
-    rows = spark.read.schema(text_dates).option("header", True).csv(path)
-    dates = [f.name for f in schema if isinstance(f.dataType, T.DateType)]
-    return conform(rows.withColumns({d: safe_date(d) for d in dates}), schema)
+    rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = [f.name for f in schema if f.name not in rows.columns]
+    if missing:
+        raise ValueError(f"the file lacks the columns {', '.join(missing)}")
+    typed = {f.name: safe_date(f.name) if isinstance(f.dataType, T.DateType) else F.col(f.name).try_cast(f.dataType)
+             for f in schema}
+    kept = [typed[f.name].alias(f.name) for f in schema]
+    if corrupt:
+        bad = [F.when(F.col(f.name).isNotNull() & typed[f.name].isNull(), F.concat(F.lit(f"{f.name}="), F.col(f.name)))
+               for f in schema]
+        kept.append(F.nullif(F.concat_ws("; ", *bad), F.lit("")).alias(corrupt))
+    out = rows.select(*kept)
+    return out if corrupt else conform(out, schema)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -83,7 +83,7 @@ def test_landing_builds_once_refreshes_and_survives_cleaning(spark, tmp_path, mo
     assert landing.land(spark, key, "t", build).count() == 1
     assert landing.land(spark, key, "t", build).count() == 1 and len(built) == 1
     assert landing.land(spark, key, "t", build, refresh=True).count() == 2
-    memo = (spark.sparkContext.applicationId, key, "t")
+    memo = (spark.sparkContext.applicationId, key, landing.input_state(spark, key), "t")
     landing._landed[memo] = (str(tmp_path / "missing"), landing._landed[memo][1])
     assert landing.land(spark, key, "t", build).count() == 3
     monkeypatch.setattr(landing, "shared_dir", lambda s: None)

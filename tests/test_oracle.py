@@ -2,10 +2,11 @@
 
 import __spark_entry__ as entry
 import pytest
-from farebox.plans import landing
+from farebox.plans import catalog, landing
+from oracle import queries as sql
 from oracle.compare import connect, differences
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, sql.oracle_sql()
 ROWS_ONLY = {"feature_importance", "forecast_overall_additive", "forecast_by_carrier_additive"}
 
 

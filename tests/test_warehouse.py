@@ -61,8 +61,13 @@ def test_no_fan_out_where_the_narrow_weather_key_has_one(spark):
 def test_conflicting_attributes_do_not_multiply_facts(spark):
     data = [{"Week_Date": week(0), "Carrier_Full_Name": n, "Is_Holiday": h} for n, h in (("x", "True"), ("y", "False"))]
     _, tables, facts = load(spark, data)
-    assert tables["dim_date"].count() == 2 and tables["dim_carrier"].count() == 2
+    assert [r.Is_Holiday for r in tables["dim_date"].collect()] == [1]  # one row per date, or the star would multiply
+    assert tables["dim_carrier"].count() == 2
     assert facts.count() == 2 and {r.Carrier_Key for r in facts.collect()} == {1}
+    from farebox.operators.fact import star_read
+    assert star_read(facts, tables).count() == 2
+    found = {tuple(r) for r in dims.dim_conflicts(staging(spark, data)).collect()}
+    assert found == {("dim_date", str(week(0)), "Is_Holiday", 2), ("dim_carrier", "A", "Carrier_Full_Name", 2)}
 
 
 def test_leaders_skip_carriers_without_a_value(spark):
