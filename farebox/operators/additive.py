@@ -1,8 +1,8 @@
 """Additive forecast: piecewise-linear trend with changepoints plus yearly Fourier terms.
 
-The overall series is fitted by MLlib's ridge regression over design columns; the carriers by
-one grouped map over their weekly series, each of which holds one row per week. Values differ
-from other fitters of the same model family; columns and bounds have the same meaning.
+One fitter serves the overall series and the carriers: a ridge fit per weekly series, in a grouped
+map whose groups hold one row per week. Values differ from other fitters of the same model family;
+columns and bounds have the same meaning.
 """
 
 from __future__ import annotations
@@ -12,14 +12,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.constants import FORECAST_WEEKS, INTERVAL_Z
 from farebox.operators.forecast import (
-    sundays_after, weekly_totals, weekly_totals_by_carrier, with_forecast_parts)
+    weekly_totals, weekly_totals_by_carrier, with_forecast_parts)
 
 CHANGEPOINTS = 12
 CHANGEPOINT_RANGE = 0.8
@@ -30,42 +28,8 @@ RIDGE = 0.05
 _KNOTS = [CHANGEPOINT_RANGE * (i + 1) / (CHANGEPOINTS + 1) for i in range(CHANGEPOINTS)]
 
 
-def _design_columns(day: str, first: Column, last: Column) -> dict[str, Column]:
-    """Scaled time, one hinge per changepoint, and sine and cosine of each yearly harmonic."""
-    span = F.greatest(F.datediff(last, first), F.lit(1))
-    t = F.datediff(F.col(day), first) / span
-    angle = F.unix_date(F.col(day)) * (2 * math.pi / YEAR_DAYS)
-    columns = {"t": t}
-    columns |= {f"h{i}": F.greatest(t - knot, F.lit(0.0)) for i, knot in enumerate(_KNOTS)}
-    for k in range(1, FOURIER_ORDER + 1):
-        columns |= {f"s{k}": F.sin(angle * k), f"c{k}": F.cos(angle * k)}
-    return columns
-
-
-def forecast_overall_additive(src: DataFrame, weeks: int = FORECAST_WEEKS,
-                              include_rollup_rows: bool = False) -> DataFrame:
-    series = weekly_totals(src, include_rollup_rows)
-    ends = series.agg(F.min("Week_Date").alias("first"), F.max("Week_Date").alias("last"))
-    first, last = ends.select("first").scalar(), ends.select("last").scalar()
-    design = _design_columns("ds", first, last)
-    assembler = VectorAssembler(inputCols=list(design), outputCol="features")
-
-    def assembled(df: DataFrame) -> DataFrame:
-        return assembler.transform(df.withColumns(design))
-
-    history = assembled(series.select(
-        F.col("Week_Date").alias("ds"), F.col("Passenger_Departures").cast("double").alias("label")))
-    model = LinearRegression(regParam=RIDGE, elasticNetParam=0.0, solver="normal").fit(
-        history.select("features", "label"))
-    band = F.lit(INTERVAL_Z * model.summary.rootMeanSquaredError)
-    future = ends.select(F.explode(sundays_after(F.col("last"), weeks)).alias("ds"))
-    predicted = model.transform(assembled(future)).select("ds", F.col("prediction").alias("yhat"))
-    return with_forecast_parts(predicted.select(
-        "ds", "yhat", (F.col("yhat") - band).alias("yhat_lower"), (F.col("yhat") + band).alias("yhat_upper")))
-
-
 def _series_fitter(weeks: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Ridge fit of one carrier's weekly series and its values on the forecast days.
+    """Ridge fit of one weekly series and its values on the forecast days.
 
     Both helpers are nested, so that they travel to the executors with their constants and
     the package need not be installed there.
@@ -96,10 +60,8 @@ def _series_fitter(weeks: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return fit
 
 
-def forecast_by_carrier_additive(src: DataFrame, weeks: int = FORECAST_WEEKS,
-                                 include_rollup_rows: bool = False) -> DataFrame:
-    """Every carrier on the calendar that starts after the last date of all."""
-    series = weekly_totals_by_carrier(src, include_rollup_rows)
+def _fit_each(series: DataFrame, weeks: int) -> DataFrame:
+    """A forecast per Carrier of `series`, on the Sundays after the last date of all."""
     last = series.select(F.max("Week_Date")).scalar()
     prepared = series.select(
         "Carrier", F.unix_date("Week_Date").alias("day"),
@@ -107,5 +69,18 @@ def forecast_by_carrier_additive(src: DataFrame, weeks: int = FORECAST_WEEKS,
         F.unix_date(F.next_day(last, "SUN")).alias("first_sunday"))
     fitted = prepared.groupBy("Carrier").applyInPandas(
         _series_fitter(weeks), "Carrier string, day int, yhat double, yhat_lower double, yhat_upper double")
-    return with_forecast_parts(fitted.select(
-        "Carrier", F.date_from_unix_date("day").alias("ds"), "yhat", "yhat_lower", "yhat_upper"))
+    return fitted.select(
+        "Carrier", F.date_from_unix_date("day").alias("ds"), "yhat", "yhat_lower", "yhat_upper")
+
+
+def forecast_overall_additive(src: DataFrame, weeks: int = FORECAST_WEEKS,
+                              include_rollup_rows: bool = False) -> DataFrame:
+    """The totals of all carriers as one series, one row per week."""
+    series = weekly_totals(src, include_rollup_rows).withColumn("Carrier", F.lit("all"))
+    return with_forecast_parts(_fit_each(series, weeks).drop("Carrier"))
+
+
+def forecast_by_carrier_additive(src: DataFrame, weeks: int = FORECAST_WEEKS,
+                                 include_rollup_rows: bool = False) -> DataFrame:
+    """Every carrier on the calendar that starts after the last date of all."""
+    return with_forecast_parts(_fit_each(weekly_totals_by_carrier(src, include_rollup_rows), weeks))

@@ -41,10 +41,12 @@ def row_count(df: DataFrame, name: str, kind: str) -> DataFrame:
                   F.lit(kind).alias("Table_Type"))
 
 
-def row_count_summary(source: DataFrame, dims: dict[str, DataFrame], fact: DataFrame) -> DataFrame:
+def row_count_summary(source: DataFrame, dims: dict[str, DataFrame], fact: DataFrame,
+                      summaries: dict[str, DataFrame] | None = None) -> DataFrame:
     counts = [row_count(source, "source", "Source")]
     counts += [row_count(df, name, TABLE_KINDS[name]) for name, df in dims.items()]
     counts.append(row_count(fact, "fact", TABLE_KINDS["fact"]))
+    counts += [row_count(df, name, "Summary") for name, df in (summaries or {}).items()]
     return union_frames(*counts).orderBy("Table_Type", "Table_Name")
 
 

@@ -518,11 +518,45 @@ def table_preview(spark, folder):
     })
 
 
+@query
+def preview_dim_date(spark, folder):
+    """All columns, newest first; so are the previews below."""
+    return rows.first_rows(landing.dimensions(spark, folder)["dim_date"], [F.col("Week_Date").desc()])
+
+
+@query
+def preview_fact(spark, folder):
+    return rows.first_rows(landing.warehouse(spark, folder)[2], [F.col("Date_Key").desc(), "Carrier_Key"])
+
+
+@query
+def preview_monthly(spark, folder):
+    return rows.first_rows(landing.summary_tables(spark, folder)["monthly"], [
+        F.col("Year").desc(), F.col("Month").desc(), "Carrier_Name"])
+
+
+@query
+def preview_quarterly(spark, folder):
+    return rows.first_rows(landing.summary_tables(spark, folder)["quarterly"], [
+        F.col("Year").desc(), F.col("Quarter").desc()])
+
+
+@query
+def preview_period(spark, folder):
+    return rows.first_rows(landing.summary_tables(spark, folder)["period"], ["COVID_Period"])
+
+
+@query
+def preview_performance(spark, folder):
+    return rows.first_rows(landing.summary_tables(spark, folder)["performance"], ["Carrier_Name"])
+
+
 # ---- quality ------------------------------------------------------------------------------------------
 
 @query
 def row_count_summary(spark, folder):
-    return quality.row_count_summary(*landing.warehouse(spark, folder))
+    return quality.row_count_summary(
+        *landing.warehouse(spark, folder), landing.summary_tables(spark, folder))
 
 
 @query
@@ -539,13 +573,7 @@ def check_referential(spark, folder):
 @query
 def check_unique_keys(spark, folder):
     _, tables, facts = landing.warehouse(spark, folder)
-    star = fact.star_read(facts, tables)
-    return quality.check_unique_keys(tables | {
-        "fact": facts,
-        "monthly": summaries.monthly_carrier_summary(star),
-        "quarterly": summaries.quarterly_summary(star),
-        "period": summaries.period_impact_summary(star),
-        "performance": summaries.carrier_performance(star)})
+    return quality.check_unique_keys(tables | {"fact": facts} | landing.summary_tables(spark, folder))
 
 
 @query

@@ -19,8 +19,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from farebox.operators import summaries
 from farebox.operators.dims import DIMENSIONS
-from farebox.operators.fact import load_fact
+from farebox.operators.fact import load_fact, star_read
+from farebox.schemas import CARRIER_PERFORMANCE, MONTHLY_SUMMARY, PERIOD_SUMMARY, QUARTERLY_SUMMARY, conform
 from farebox.session import shared_dir
 from farebox.sources.sinks import write_and_read
 from farebox.sources.weekly_feed import staging_rows, weekly_departures
@@ -33,6 +35,14 @@ _drop = threading.Lock()
 #: The tables that all landed ones derive from.
 INPUTS = ["lineitem", "orders", "supplier", "nation", "region", "events"]
 
+#: Stored summaries: how each is made, and its declared schema.
+SUMMARIES = {
+    "monthly": (summaries.monthly_carrier_summary, MONTHLY_SUMMARY),
+    "quarterly": (summaries.quarterly_summary, QUARTERLY_SUMMARY),
+    "period": (summaries.period_impact_summary, PERIOD_SUMMARY),
+    "performance": (summaries.carrier_performance, CARRIER_PERFORMANCE),
+}
+
 
 def input_state(spark: SparkSession, folder: str) -> tuple:
     """Name, size and time of every input file: landed tables of an earlier state are not used again."""
@@ -97,3 +107,11 @@ def warehouse(spark: SparkSession, folder: str,
     dims = dimensions(spark, folder, refresh)
     src = staging(spark, folder)
     return src, dims, land(spark, folder, "fact", lambda: load_fact(src, dims), refresh)
+
+
+def summary_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The four summaries as stored, each under its declared schema."""
+    _, dims, facts = warehouse(spark, folder)
+    star = star_read(facts, dims)
+    return {name: land(spark, folder, f"summary_{name}", lambda build=build, schema=schema: conform(build(star), schema))
+            for name, (build, schema) in SUMMARIES.items()}

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farebox.schemas import conform, rename
 
+#: Files that a partition folder gets at most from one load.
+FILES_PER_FOLDER = 8
+
 
 def write_csv(df: DataFrame, path: str, date_format: str = "yyyy-MM-dd") -> None:
     """Header row, no index; dates stay dates until they are formatted here."""
@@ -15,13 +21,37 @@ def write_csv(df: DataFrame, path: str, date_format: str = "yyyy-MM-dd") -> None
 
 def write_table(df: DataFrame, path: str, mapping: dict[str, str] | None = None,
                 schema: T.StructType | None = None, partition_by: list[str] | None = None) -> None:
-    """Replace the table at `path`: truncate and reload, or drop and create, in one commit.
+    """Replace the table at `path` once its new rows are written.
 
-    `mapping` renames columns on the way out; `schema` fixes their order and types.
+    They go to a folder beside it first, so a failed load leaves the old table as it was, and
+    `df` may read the very table it replaces. `mapping` renames columns on the way out; `schema`
+    fixes their order and types. With `partition_by` rows are dealt by those columns and a
+    salt, so that each folder gets few files and a large one is not written by one task.
     """
     out = rename(df, mapping) if mapping else df
     out = conform(out, schema) if schema else out
-    out.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
+    if partition_by:
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in out.columns]), F.lit(FILES_PER_FOLDER))
+        out = out.repartition(*[F.col(f"`{c}`") for c in partition_by], salt)
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:12]}"
+    out.write.partitionBy(*(partition_by or [])).parquet(new)
+    _swap(df.sparkSession, new, path.rstrip("/"))
+
+
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """`new` takes the place of `path`; if that fails, the old folder comes back."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    here, come, old = paths(path), paths(new), paths(f"{new}.old")
+    store = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = store.exists(here)
+    if had and not store.rename(here, old):
+        raise OSError(f"{path} cannot be moved")
+    if not store.rename(come, here):
+        if had:
+            store.rename(old, here)
+        raise OSError(f"{new} cannot be moved to {path}")
+    if had:
+        store.delete(old, True)
 
 
 def write_and_read(df: DataFrame, path: str) -> DataFrame:

@@ -29,7 +29,10 @@ FOREIGN = [("Date_Key", "dim_date", "dd"), ("Carrier_Key", "dim_carrier", "dc"),
 
 TABLES = [("source", "stg", "Source"), ("dim_date", "dd", "Dimension"), ("dim_carrier", "dc", "Dimension"),
           ("dim_weather", "dw", "Dimension"), ("dim_status", "ds_", "Dimension"), ("dim_event", "de", "Dimension"),
-          ("dim_service_type", "dt", "Dimension"), ("fact", "fact", "Fact")]
+          ("dim_service_type", "dt", "Dimension"), ("fact", "fact", "Fact"),
+          ("monthly", "(SELECT DISTINCT Year, Month, Carrier_Name FROM star)", "Summary"),
+          ("quarterly", "(SELECT DISTINCT Year, Quarter FROM star)", "Summary"),
+          ("period", "(SELECT DISTINCT COVID_Period FROM star)", "Summary"), ("performance", "perf", "Summary")]
 
 
 def _union(parts: list[str]) -> str:
@@ -328,6 +331,19 @@ _BODIES: dict[str, str] = {
                    arg_max(Projected_Passengers, Year) AS v1 FROM ann WHERE Is_Full_Year)""",
 }
 
+_FOOT = "Total_Passengers, Total_Buses, Avg_Passengers_Per_Bus"
+_BODIES |= {
+    "preview_dim_date": f"SELECT * FROM ({_BODIES['dim_date']}) ORDER BY Week_Date DESC LIMIT 5",
+    "preview_fact": f"SELECT * FROM ({_BODIES['fact_load']}) ORDER BY Date_Key DESC, Carrier_Key LIMIT 5",
+    "preview_monthly": f"SELECT Year, Month, Carrier_Name, {_FOOT} FROM ({_BODIES['monthly_carrier_summary']}) "
+                       "ORDER BY Year DESC, Month DESC, Carrier_Name LIMIT 5",
+    "preview_quarterly": f"SELECT Year, Quarter, {_FOOT}, Unique_Carriers FROM ({_BODIES['quarterly_summary']}) "
+                         "ORDER BY Year DESC, Quarter DESC LIMIT 5",
+    "preview_period": "SELECT COVID_Period, Total_Passengers, Avg_Weekly_Passengers, Total_Weeks "
+                      f"FROM ({_BODIES['period_impact_summary']}) ORDER BY COVID_Period NULLS FIRST LIMIT 5",
+    "preview_performance": f"SELECT Carrier_Name, {_FOOT} FROM perf ORDER BY Carrier_Name LIMIT 5",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: with_ctes(body) for name, body in _BODIES.items()}

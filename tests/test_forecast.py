@@ -145,6 +145,12 @@ def test_additive_by_carrier_equals_each_alone(spark):
     assert {r.ds: r.yhat for r in both if r.Carrier == "B"} == pytest.approx({r.ds: r.yhat for r in alone})
 
 
+def test_additive_overall_equals_the_only_carrier(spark):
+    src = staging(spark, history(120))
+    overall = {r.ds: r.yhat for r in additive.forecast_overall_additive(src, 20).collect()}
+    assert overall == pytest.approx({r.ds: r.yhat for r in additive.forecast_by_carrier_additive(src, 20).collect()})
+
+
 def test_series_fitter_runs_without_the_package(tmp_path):
     """The grouped map must work on executors that do not have the package."""
     import subprocess

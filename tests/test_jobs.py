@@ -40,6 +40,23 @@ def test_table_sink_maps_columns_and_replaces(spark, tmp_path):
     assert back.columns == ["Year", "Total_Passengers"] and back.count() == 1
 
 
+def test_failed_load_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_table(spark.createDataFrame([(1, 5)], "Year int, n bigint"), path)
+    with pytest.raises(Exception, match="(?i)stop"):
+        sinks.write_table(spark.range(3).selectExpr("1 as Year", "raise_error('stop') as n"), path)
+    assert rows(spark.read.parquet(path)) == [(1, 5)]
+
+
+def test_table_may_be_replaced_from_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_table(spark.createDataFrame([(2020, 5), (2021, 6)], "Year int, n bigint"), path, partition_by=["Year"])
+    assert {p.name for p in (tmp_path / "t").iterdir()} >= {"Year=2020", "Year=2021"}
+    sinks.write_table(spark.read.parquet(path).selectExpr("Year", "n + 1 as n"), path, partition_by=["Year"])
+    assert sorted((r.Year, r.n) for r in spark.read.parquet(path).collect()) == [(2020, 6), (2021, 7)]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 def test_query_reader_options(spark):
     with pytest.raises(Exception, match="(?i)driver|jdbc"):
         readers.read_query(spark, "jdbc:nothing:x", "select 1", driver="no.such.Driver")
