@@ -23,6 +23,8 @@ from farebox.llm.common import fresh
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_distinct", "n_upper", "n_digits", "n_chars_all", "n_wordless", "longest"]
 SYMBOLS = "#*$%&|<>"
+#: ASCII digits and punctuation; a word of nothing else is wordless.
+NO_LETTERS = bytes(c for c in range(33, 127) if not chr(c).isalpha())
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
 #: Labelled rows the trees are fitted on, at most.
@@ -66,8 +68,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
             len(lines), len(set(words)),
             len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
             len(raw) - len(raw.translate(None, b"0123456789")), len(text),
-            sum(1 for w in words if not w.translate(None, b"0123456789" + bytes(range(33, 48)) + bytes(range(58, 65))
-                                                    + bytes(range(91, 97)) + b"{|}~")),
+            len(words) - len(raw.translate(None, NO_LETTERS).split()),
             max(map(len, words), default=0))
 
 
