@@ -54,9 +54,16 @@ PATTERNS = [
 ]
 #: Every entity starts where no letter or digit stands before.
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS) + ")"
-#: What every entity holds; most texts without any are passed over by this alone.
-HINT = (rf"@|\d[\d.]|(?i:token|secret|password|passwd|api_?key)\s*[=:]|AKIA|gh[pousr]_|sk-"
-        rf"|(?<!\p{{L}})(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + OPEN}))}]){_TITLE}\.? \p{{Lu}}|[0-9a-fA-F]{{32}}")
+_TITLES = sorted(MALE + FEMALE + OPEN)
+_INITIALS = sorted({t[0] for t in _TITLES})
+#: What every entity holds one of. Each pattern begins with one class of characters and is searched for on its
+#: own: a joint alternation is tried whole at every letter and takes as long as the entities themselves.
+HINTS = [
+    r"[\d@_=:-](?:(?<=@)|(?<=\d)[\d.]|(?<=gh[pousr]_)|(?<=sk-)|(?<=(?i:token|secret|password|passwd|api_?key)\s{0,2}[=:]))",
+    rf"[{''.join(_INITIALS)}](?<!\p{{L}}.)(?:"
+    + "|".join(rf"(?<={i})(?:{'|'.join(t[1:] for t in _TITLES if t[0] == i)})" for i in _INITIALS) + r")\.? \p{Lu}",
+    r"[0-9a-fA-F]{32}",
+]
 
 _HEX = "0123456789abcdef"
 _CONSONANTS = "bdfgklmnprstvzhj"
@@ -141,9 +148,15 @@ def _like(s: Column, original: Column) -> Column:
             .when(F.length(s) == F.length(original), same).otherwise(F.initcap(s)))
 
 
+def hinted(text: Column) -> Column:
+    """Whether `text` may hold an entity; null holds none. Most texts are passed over by this alone."""
+    tests = [text.contains("AKIA")] + [text.rlike(p) for p in HINTS]
+    return F.coalesce(reduce(Column.__or__, tests), F.lit(False))
+
+
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, mark (hash of the text) and hits of every distinct text with entities."""
-    found = docs.where(F.col(text).rlike(HINT)).select(
+    found = docs.where(hinted(F.col(text))).select(
         "doc_id", F.xxhash64(text).alias("mark"), F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("hits"))
     return found.where(F.size("hits") > 0)
 
@@ -193,15 +206,15 @@ def replace_entities(docs: DataFrame, text: str = "text", secret: str = KEY, cou
     d, m, new = fresh(docs, "_d", "_m", "_new")
     made = (mapped.groupBy(F.col("doc_id").alias(d), F.col("mark").alias(m))
             .agg(F.array_sort(F.collect_list(F.struct("i", "j", written.alias("s")))).alias(new)))
-    hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    some = docs.where(hinted).join(made, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text]) == F.col(m)), "left")
+    may = hinted(F.col(text))
+    some = docs.where(may).join(made, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text]) == F.col(m)), "left")
     gaps, = fresh(some, "_gaps")
     some = some.withColumn(gaps, F.when(F.col(new).isNotNull(), F.split(text, PATTERN, -1)))
     filled = F.concat(F.array_join(F.transform(new, lambda p: F.concat(F.when(
         p["j"] == 0, F.get(F.col(gaps), p["i"])).otherwise(F.lit(" ")), p["s"])), ""), F.element_at(gaps, -1))
     hits_in = F.coalesce(F.size(F.filter(new, lambda p: p["j"] == 0)), F.lit(0))
     whole = {text: F.when(F.col(new).isNull(), F.col(text)).otherwise(filled)}
-    none = docs.where(~hinted)
+    none = docs.where(~may)
     if count:
         whole[count] = F.when(F.col(new).isNull(), F.lit(0)).otherwise(hits_in)
         none = none.withColumn(count, F.lit(0))

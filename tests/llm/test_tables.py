@@ -76,6 +76,18 @@ def test_surrogates(spark):
     assert pii.replace_entities(df.where("false")).count() == 0
 
 
+def test_every_entity_is_hinted(spark):
+    entities = (["a@b.io", "1.2.3.4", "+1 20 3000 40", "(555) 010-1234", "555-010-1234", "123-45-6789", "4111 1111 1111 1111",
+                 "abcdefab" * 4, "A1B2C3D4" * 4, "AKIA" + "Z" * 16, "sk-" + "x" * 20, "Token :\t'abcdefghijkl", "apikey=abcdefghijkl"]
+                + [f"gh{c}_" + "q" * 20 for c in "pousr"] + [f"{t}{dot} Ünal" for t in pii.MALE + pii.FEMALE + pii.OPEN for dot in ("", ".")])
+    texts = [before + e for e in entities for before in ("", "so ", "so\n", "(")]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", pii.hinted(F.col("text")).alias("may"), F.size(F.regexp_extract_all("text", F.lit(pii.PATTERN), 0)).alias("n")).collect()
+    assert len(rows) == len(texts) and [r.text for r in rows if not r.n or not r.may] == []
+    plain = spark.createDataFrame([(None,), ("",), ("AMr Bo",), ("Mr bo 7 a-b x_y: z",)], "text string")
+    assert not any(r.may for r in plain.select(pii.hinted(F.col("text")).alias("may")).collect())
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda k, e, a, s: F.when(a == 0, F.lit("1.1.1.1")).otherwise(real(k, e, a, s)))
