@@ -113,6 +113,31 @@ def test_mix_edges(docs, none):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
 
 
+def test_short_sources_are_filled_beside_huge_ones(spark):
+    sizes = {"a": 300, "b": 9_000, "c": 1_200, "d": 500, "e": 4_500, "x": 1_500_000_000, "y": 3_000_000_000}
+    rows = spark.createDataFrame([(i, s, "=" + s, n) for i, (s, n) in enumerate(sizes.items())],
+                                 "doc_id long, source string, s string, size long")
+    for r in mixing.taken(rows).collect():
+        assert abs(r.taken - r.target) <= 8 and r.taken <= 3 * r["size"], r
+
+
+def test_short_sources_are_filled_in_texts(spark):
+    few = [("a", 20), ("b", 31), ("c", 100), ("d", 7)]
+    docs = spark.createDataFrame([(s, n) for s, n in few] + [("x", 200_000)] * 20 + [("y", 200_000)] * 60, "source string, n int").select(
+        F.monotonically_increasing_id().alias("doc_id"), "source", F.expr("repeat('w ', n)").alias("text"))
+    rows = mixing.mix(docs).where("size < 200000").collect()
+    assert len(rows) == 4 and all(abs(r.taken - r.target) <= 4 for r in rows), rows
+
+
+def test_slots_equal_a_count(spark):
+    spans = [(0, 5), (7, 7), (100, 900_000_000), (900_000_000, mixing.LATTICE - 3), (mixing.LATTICE - 3, mixing.LATTICE), (0, mixing.LATTICE)]
+    rows = spark.createDataFrame(spans, "low long, high long")
+    for total in (0, 1, 2, 1_000, 300_007, mixing.LATTICE + 1_000):
+        points = np.arange(total % mixing.LATTICE) * mixing.STEP % mixing.LATTICE
+        got = {(r.low, r.high): r.n for r in rows.withColumn("n", mixing.slots(total)).collect()}
+        assert got == {(a, b): total // mixing.LATTICE * (b - a) + int(((points >= a) & (points < b)).sum()) for a, b in spans}
+
+
 def test_archive_round_trip_and_odd_archives(spark, tmp_path):
     page = "x" * 1500
     inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
