@@ -1,13 +1,16 @@
 """Personal data replaced by keyed surrogates, in DataFrame operations only.
 
 Detected: e-mail and IPv4 addresses, telephone, card and social-security numbers, secrets (long hexadecimal
-strings, values given to names like token, common key prefixes), and names after a title.
+strings, values given to names like token, common key prefixes), names after a title, and wherever else
+in the same text their words stand with a capital.
 A surrogate is a keyed hash written in the entity's own shape: digits stay digits, letters stay
 letters of their case and script, separators, country codes and octet ranges stay, card numbers
-that satisfy the check digit keep doing so, first names keep the title's gender.
+that satisfy the check digit keep doing so, first names keep the title's gender. Initials get a keyed
+letter each; they are no entities, as there are too few letters to keep them apart.
 
 Coreference: an entity is its lower-cased text and type; the words of a name are entities of
-their own, so a surname alone and after a first name agree. Distinctness: all distinct entities
+their own, the same as first and as last name, so a surname alone and after a first name agree. A word that
+is a first name after titles of both genders gets a surrogate of none. Distinctness: all distinct entities
 of the corpus are checked; one whose surrogate another entity got, or is an entity of the
 corpus itself, gets a new one, until none is left.
 
@@ -36,7 +39,15 @@ FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Señorita", "
 OPEN = ["Dr", "Prof", "Доктор"]
 
 _TITLE = rf"(?:{'|'.join(sorted(MALE + FEMALE + OPEN, key=len, reverse=True))})"
-_WORD = r"\p{Lu}[\p{Ll}\p{M}]++(?:-\p{Lu}[\p{Ll}\p{M}]++)?"
+_SPACE = r"[\s\p{Z}]"
+#: Between the words of a name: blanks and at most one line end.
+_GAP = r"(?:[ \t\p{Zs}]++(?:\r?\n[ \t\p{Zs}]*+)?|\r?\n[ \t\p{Zs}]*+)"
+_END = r"(?![\p{L}\p{M}])"
+_AGAIN = rf"(?:{'|'.join(OPEN)})"
+_WORD = rf"(?!{_AGAIN}{_END})\p{{Lu}}(?:[\p{{L}}\p{{M}}]|['’-](?=\p{{Lu}}))++"
+_INITIALS = rf"(?:(?:\p{{Lu}}\.(?:-?\p{{Lu}}\.)*+{_GAP}?|\p{{Lu}}(?![\p{{L}}\p{{M}}'’-]){_GAP}){{0,3}})"
+#: No further word of a name: the title of the next one. Don is a first name too.
+_OTHER = rf"(?!(?:{'|'.join(sorted({*MALE, *FEMALE, *OPEN} - {'Don'}, key=len, reverse=True))}){_END})"
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 PATTERNS = [
     rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -50,18 +61,22 @@ PATTERNS = [
     r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{20,}+)",
     r"(?=[A-Za-z0-9_/+.-]{12})(?<=(?i:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)"
     r"[A-Za-z0-9_/+.-]{12,}+",
-    rf"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + OPEN}))}]){_TITLE}\.? {_WORD}(?: {_WORD}){{0,2}}",
+    rf"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + OPEN}))}]){_TITLE}\.?{_SPACE}++(?:{_AGAIN}\.?{_SPACE}++)*"
+    rf"{_INITIALS}{_WORD}(?:{_GAP}{_OTHER}{_INITIALS}{_WORD}){{0,2}}",
 ]
+#: The title, words, initials and white space of a name.
+_TOKENS = rf"{_SPACE}++|(?:-?\p{{Lu}}\.)++|(?:(?!{_SPACE}).)++"
+
 #: Every entity starts where no letter or digit stands before.
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS) + ")"
 _TITLES = sorted(MALE + FEMALE + OPEN)
-_INITIALS = sorted({t[0] for t in _TITLES})
+_FIRST = sorted({t[0] for t in _TITLES})
 #: What every entity holds one of. Each pattern begins with one class of characters and is searched for on its
 #: own: a joint alternation is tried whole at every letter and takes as long as the entities themselves.
 HINTS = [
     r"[\d@_=:-](?:(?<=@)|(?<=\d)[\d.]|(?<=gh[pousr]_)|(?<=sk-)|(?<=(?i:token|secret|password|passwd|api_?key)\s{0,2}[=:]))",
-    rf"[{''.join(_INITIALS)}](?<!\p{{L}}.)(?:"
-    + "|".join(rf"(?<={i})(?:{'|'.join(t[1:] for t in _TITLES if t[0] == i)})" for i in _INITIALS) + r")\.? \p{Lu}",
+    rf"[{''.join(_FIRST)}](?<!\p{{L}}.)(?:"
+    + "|".join(rf"(?<={i})(?:{'|'.join(t[1:] for t in _TITLES if t[0] == i)})" for i in _FIRST) + rf")\.?{_SPACE}++\p{{Lu}}",
     r"[0-9a-fA-F]{32}",
 ]
 
@@ -79,7 +94,7 @@ def _hash(*parts: Column) -> Column:
 
 def _kind(hit: Column) -> Column:
     return (F.when(hit.contains("@"), "email")
-            .when(hit.rlike(rf"^{_TITLE}\.? "), "name")
+            .when(hit.rlike(rf"^{_TITLE}\.?{_SPACE}"), "name")
             .when(hit.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
             .when(hit.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
             .when(hit.rlike(r"^(\d{13,19}|\d{4}([ -]\d{4}){3})$"), "card")
@@ -154,33 +169,59 @@ def hinted(text: Column) -> Column:
     return F.coalesce(reduce(Column.__or__, tests), F.lit(False))
 
 
+def _titled(hit: Column) -> Column:
+    """The lower-cased words of the name that `hit` is; none of other hits."""
+    tokens = F.regexp_extract_all(hit, F.lit(_TOKENS), F.lit(0))
+    words = F.filter(F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda w: w.rlike(rf"^{_WORD}$"))
+    return F.when(_kind(hit) == "name", F.transform(words, F.lower)).otherwise(F.array().cast("array<string>"))
+
+
+def _pattern(names: Column) -> Column:
+    """PATTERN, and the mentions of `names` without a title; of two words with one beginning the longer is tried first."""
+    mention = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?=\p{Lu})(?iu:"), F.array_join(F.sort_array(names, asc=False), "|"),
+                       F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    return F.when(F.size(names) > 0, mention).otherwise(F.lit(PATTERN))
+
+
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, mark (hash of the text) and hits of every distinct text with entities."""
+    """doc_id, mark (hash of the text), names (the words of its names) and hits of every distinct text with entities."""
+    hits, names, whole = fresh(docs, "_hits", "_names", "_text")
     found = docs.where(hinted(F.col(text))).select(
-        "doc_id", F.xxhash64(text).alias("mark"), F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("hits"))
-    return found.where(F.size("hits") > 0)
+        "doc_id", F.col(text).alias(whole), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias(hits))
+    found = found.where(F.size(hits) > 0).withColumn(names, F.array_distinct(F.flatten(F.transform(hits, _titled))))
+    all_hits = F.when(F.size(names) == 0, F.col(hits)).otherwise(F.regexp_extract_all(whole, _pattern(F.col(names)), F.lit(0)))
+    return found.select("doc_id", F.xxhash64(whole).alias("mark"), F.sort_array(names).alias("names"), all_hits.alias("hits"))
 
 
 def parts(hits: DataFrame) -> DataFrame:
-    """One row per entity of `hits`: doc_id, mark, i (the hit), j (its part), original, kind and entity.
+    """One row per entity of `hits`: doc_id, mark, i (the hit), j (its part), original, kind, type and entity.
 
-    A title is a part without kind; so are the names' words entities of their own.
+    Titles and white space are parts without kind; the names' words are entities of their own.
     """
-    at = hits.select("doc_id", "mark", F.posexplode("hits").alias("i", "hit")).withColumn("type", _kind(F.col("hit")))
-    words = F.split("hit", " ")
+    at = hits.select("doc_id", "mark", "names", F.posexplode("hits").alias("i", "hit"))
+    mention = F.array_contains("names", F.lower("hit"))
+    at = at.withColumn("type", F.when(mention, "mention").otherwise(_kind(F.col("hit")))).drop("names")
+    words = F.regexp_extract_all("hit", F.lit(_TOKENS), F.lit(0))
     title = F.regexp_replace(words[0], r"\.$", "")
     gender = F.when(title.isin(*MALE), "name_m").when(title.isin(*FEMALE), "name_f").otherwise("name_o")
     one = F.when(F.col("type") == "name", words).otherwise(F.array("hit"))
     out = (at.withColumn("gender", gender).withColumn("n", F.size(one))
            .select("doc_id", "mark", "i", "type", "gender", "n", F.posexplode(one).alias("j", "original")))
-    kind = (F.when(F.col("type") != "name", F.col("type")).when(F.col("j") == 0, F.lit(None))
+    word = F.col("original")
+    kind = (F.when(F.col("type") == "mention", "name_s").when(F.col("type") != "name", F.col("type"))
+            .when((F.col("j") == 0) | word.rlike(rf"^{_SPACE}"), F.lit(None)).when(word.rlike(r"^((-?\p{Lu}\.)+|\p{Lu})$"), "initial")
+            .when(~word.rlike(rf"^{_WORD}$"), F.lit(None))
             .when(F.col("j") == F.col("n") - 1, "name_s").otherwise(F.col("gender")))
-    return out.select("doc_id", "mark", "i", "j", "original", kind.alias("kind"), F.lower("original").alias("entity"))
+    out = out.select("doc_id", "mark", "i", "j", "original", kind.alias("kind"), F.lower("original").alias("entity"))
+    return out.withColumn("type", F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind")))
 
 
 def entity_map(found: DataFrame, secret: str = KEY) -> DataFrame:
-    """kind, entity and surrogate of every distinct entity; surrogates are distinct and no entities."""
-    now = cut(found.where("kind is not null").select("kind", "entity").distinct()
+    """type, entity and surrogate of every distinct entity; surrogates are distinct and no entities."""
+    genders = F.array_remove(F.array_remove(F.collect_set("kind"), "name_s"), "name_o")
+    kind = (F.when(F.col("type") != "name", F.col("type")).when(F.size(genders) == 1, genders[0])
+            .when((F.size(genders) > 1) | F.array_contains(F.collect_set("kind"), "name_o"), "name_o").otherwise("name_s"))
+    now = cut(found.where("kind <> 'initial'").groupBy("type", "entity").agg(kind.alias("kind"))
               .withColumn("attempt", F.lit(0))
               .withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), secret)), "entities")
     known = now.select(F.col("entity").alias("is")).distinct()
@@ -190,9 +231,9 @@ def entity_map(found: DataFrame, secret: str = KEY) -> DataFrame:
         seen = (now.withColumn("later", later).join(known, now["surrogate"] == known["is"], "left")
                 .withColumn("bad", F.col("later") | F.col("is").isNotNull()))
         if seen.where("bad").isEmpty():
-            return now.select("kind", "entity", "surrogate")
+            return now.select("type", "entity", "surrogate")
         tried = F.col("attempt") + F.col("bad").cast("int")
-        now = cut(seen.select("kind", "entity", tried.alias("attempt"), F.when(
+        now = cut(seen.select("type", "kind", "entity", tried.alias("attempt"), F.when(
             F.col("bad"), surrogate(F.col("kind"), F.col("entity"), tried, secret)).otherwise(F.col("surrogate")).alias("surrogate")), "entities")
     raise ValueError(f"no distinct surrogates after {MAX_ROUNDS} rounds")
 
@@ -201,21 +242,24 @@ def replace_entities(docs: DataFrame, text: str = "text", secret: str = KEY, cou
     """`docs` with every entity in `text` replaced; `count` names an optional column of how many."""
     hits = cut(occurrences(docs, text).distinct(), "occurrences")
     found = cut(parts(hits), "parts")
-    mapped = found.join(entity_map(found, secret), ["kind", "entity"], "left")
-    written = F.when(F.col("surrogate").isNull(), F.col("original")).otherwise(_like(F.col("surrogate"), F.col("original")))
-    d, m, new = fresh(docs, "_d", "_m", "_new")
+    mapped = found.join(entity_map(found, secret), ["type", "entity"], "left")
+    letter = _shaped(F.col("entity"), _hash(F.lit(secret), F.col("type"), F.col("entity")), F.lit(False), F.lit(0))
+    s = F.when(F.col("type") == "initial", letter).otherwise(F.col("surrogate"))
+    written = F.when(s.isNull(), F.col("original")).otherwise(_like(s, F.col("original")))
+    d, m, new, names = fresh(docs, "_d", "_m", "_new", "_names")
     made = (mapped.groupBy(F.col("doc_id").alias(d), F.col("mark").alias(m))
-            .agg(F.array_sort(F.collect_list(F.struct("i", "j", written.alias("s")))).alias(new)))
+            .agg(F.array_sort(F.collect_list(F.struct("i", "j", written.alias("s")))).alias(new),
+                 F.collect_set(F.when(F.col("type") == "name", F.col("entity"))).alias(names)))
     may = hinted(F.col(text))
     some = docs.where(may).join(made, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs[text]) == F.col(m)), "left")
     gaps, = fresh(some, "_gaps")
-    some = some.withColumn(gaps, F.when(F.col(new).isNotNull(), F.split(text, PATTERN, -1)))
+    some = some.withColumn(gaps, F.when(F.col(new).isNotNull(), F.split(text, _pattern(F.col(names)), -1)))
     filled = F.concat(F.array_join(F.transform(new, lambda p: F.concat(F.when(
-        p["j"] == 0, F.get(F.col(gaps), p["i"])).otherwise(F.lit(" ")), p["s"])), ""), F.element_at(gaps, -1))
+        p["j"] == 0, F.get(F.col(gaps), p["i"])).otherwise(F.lit("")), p["s"])), ""), F.element_at(gaps, -1))
     hits_in = F.coalesce(F.size(F.filter(new, lambda p: p["j"] == 0)), F.lit(0))
     whole = {text: F.when(F.col(new).isNull(), F.col(text)).otherwise(filled)}
     none = docs.where(~may)
     if count:
         whole[count] = F.when(F.col(new).isNull(), F.lit(0)).otherwise(hits_in)
         none = none.withColumn(count, F.lit(0))
-    return reduce(DataFrame.unionByName, [some.withColumns(whole).drop(d, m, new, gaps), none])
+    return reduce(DataFrame.unionByName, [some.withColumns(whole).drop(d, m, new, names, gaps), none])

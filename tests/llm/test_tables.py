@@ -76,6 +76,26 @@ def test_surrogates(spark):
     assert pii.replace_entities(df.where("false")).count() == 0
 
 
+def test_names_agree_in_every_spelling_and_without_title(spark):
+    texts = ["Mr. John Smith came. Smith said: John Smith's smith, SMITH. Smithson", "Mr. McDonald, Mr. McGregor", "Mr. O'Brien; Dr. SMITH",
+             "Mr. J. Smith, Mr. J.R. Smith and Mr.  Smith or Mr.\nSmith", "Frau Schmidt Kinder; Frau Schmidt. Schmidt",
+             "Herr Prof. Dr. Schmidt Frau Weber, Smith", "Mrs. Kim Lee", "Mr. Kim Lee, Mrs. Anna Lee"]
+    out = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count="n")
+    new = {r.doc_id: r.text for r in out.collect()}
+    john, smith = re.match(r"Mr\. (\w+) (\w+) came", new[0]).groups()
+    assert john.endswith("n") and "Smith" not in (john, smith)
+    assert new[0] == f"Mr. {john} {smith} came. {smith} said: {john} {smith}'s smith, {smith.upper()}. Smithson"
+    one, two = re.fullmatch(r"Mr\. (\w+), Mr\. (\w+)", new[1]).groups()
+    assert one != two and not {"McDonald", "McGregor", "Donald", "Gregor"} & {one, two}
+    assert re.fullmatch(rf"Mr\. [A-Z][a-z]+; Dr\. {smith.upper()}", new[2])
+    assert re.fullmatch(rf"Mr\. [A-Z]\. {smith}, Mr\. [A-Z]\.[A-Z]\. {smith} and Mr\.  {smith} or Mr\.\n{smith}", new[3])
+    schmidt = re.match(r"Frau (\w+) (\w+);", new[4])[1]
+    assert schmidt != "Schmidt" and new[4].endswith(f"; Frau {schmidt}. {schmidt}")
+    assert re.fullmatch(rf"Herr Prof\. Dr\. {schmidt} Frau (?!Weber)\w+, Smith", new[5])  # no Smith is titled in this text
+    kim, lee = re.fullmatch(r"Mrs\. (\w+) (\w+)", new[6]).groups()
+    assert re.fullmatch(rf"Mr\. {kim} {lee}, Mrs\. (?!Anna)\w+na {lee}", new[7]) and kim != "Kim"
+
+
 def test_every_entity_is_hinted(spark):
     entities = (["a@b.io", "1.2.3.4", "+1 20 3000 40", "(555) 010-1234", "555-010-1234", "123-45-6789", "4111 1111 1111 1111",
                  "abcdefab" * 4, "A1B2C3D4" * 4, "AKIA" + "Z" * 16, "sk-" + "x" * 20, "Token :\t'abcdefghijkl", "apikey=abcdefghijkl"]
