@@ -49,17 +49,21 @@ _INITIALS = rf"(?:(?:\p{{Lu}}\.(?:-?\p{{Lu}}\.)*+{_GAP}?|\p{{Lu}}(?![\p{{L}}\p{{
 #: No further word of a name: the title of the next one. Don is a first name too.
 _OTHER = rf"(?!(?:{'|'.join(sorted({*MALE, *FEMALE, *OPEN} - {'Don'}, key=len, reverse=True))}){_END})"
 _LOCAL = r"[\p{L}\p{N}._%+-]"
+_CARD = r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})"
 PATTERNS = [
     rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     r"(?<![.])(?=\d)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)",
+    # all groups of digits that follow, so that no end of a number stays; a card behind it is an entity of its own
+    rf"\+(?={'|'.join(rf'\d{{{k}}}\)?[ .-]?\(?\d(?:\)?[ .-]?\d){{{6 - k}}}' for k in (1, 2, 3))})"  # 7 digits at least
+    r"\d{1,3}(?:\)(?=[ .-]?\d))?[ .-]?\(?\d{1,5}(?:\)(?=[ .-]?\d))?"
+    rf"(?:\d|[ .-](?!{_CARD}(?![\p{{L}}\p{{N}}]))\d)++",
     r"\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
     r"(?<!-)\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
-    r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\p{L}\p{N}])",
+    rf"{_CARD}(?![\p{{L}}\p{{N}}])",
     r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
     r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{20,}+)",
-    r"(?=[A-Za-z0-9_/+.-]{12})(?<=(?i:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)"
+    r"(?=[A-Za-z0-9_/+.-]{12})(?<=(?i:token|secret|password|passwd|api_key|apikey)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
     r"[A-Za-z0-9_/+.-]{12,}+",
     rf"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + OPEN}))}]){_TITLE}\.?{_SPACE}++(?:{_AGAIN}\.?{_SPACE}++)*"
     rf"{_INITIALS}{_WORD}(?:{_GAP}{_OTHER}{_INITIALS}{_WORD}){{0,2}}",
@@ -74,7 +78,7 @@ _FIRST = sorted({t[0] for t in _TITLES})
 #: What every entity holds one of. Each pattern begins with one class of characters and is searched for on its
 #: own: a joint alternation is tried whole at every letter and takes as long as the entities themselves.
 HINTS = [
-    r"[\d@_=:-](?:(?<=@)|(?<=\d)[\d.]|(?<=gh[pousr]_)|(?<=sk-)|(?<=(?i:token|secret|password|passwd|api_?key)\s{0,2}[=:]))",
+    r"[\d@_=:+-](?:(?<=@)|(?<=\+)\d|(?<=\d)[\d.]|(?<=gh[pousr]_)|(?<=sk-)|(?<=(?i:token|secret|password|passwd|api_?key)[\"']?\s{0,2}[=:]))",
     rf"[{''.join(_FIRST)}](?<!\p{{L}}.)(?:"
     + "|".join(rf"(?<={i})(?:{'|'.join(t[1:] for t in _TITLES if t[0] == i)})" for i in _FIRST) + rf")\.?{_SPACE}++\p{{Lu}}",
     r"[0-9a-fA-F]{32}",
@@ -97,7 +101,7 @@ def _kind(hit: Column) -> Column:
             .when(hit.rlike(rf"^{_TITLE}\.?{_SPACE}"), "name")
             .when(hit.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
             .when(hit.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-            .when(hit.rlike(r"^(\d{13,19}|\d{4}([ -]\d{4}){3})$"), "card")
+            .when(hit.rlike(rf"^{_CARD}$"), "card")
             .when(hit.rlike(r"^[+(\d][\d ().+-]*$"), "phone")
             .when(hit.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), "hex").otherwise("secret"))
 

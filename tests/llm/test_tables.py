@@ -96,6 +96,27 @@ def test_names_agree_in_every_spelling_and_without_title(spark):
     assert re.fullmatch(rf"Mr\. {kim} {lee}, Mrs\. (?!Anna)\w+na {lee}", new[7]) and kim != "Kim"
 
 
+def test_numbers_and_secrets_are_found_whole(spark):
+    numbers = ["+33 1 23 45 67 89", "+44 20 71 23 45 67", "+44 20 71 23 45 68", "+49 30 12 34 56 78", "+49 30 12 34 56 79", "+1 (555) 010-1234",
+               "+1 2 3 4 5 6 7 8", "+44 (0)20 7123 4567", "(+44) 20 7123 4567", "+498912345678901", "3782 822463 10005", "3782-822463-10013",
+               "+49 30 123456 4111 1111 1111 1111"]
+    rows = [(i, f"call {n}. (or {n}) by {n}, 5 times") for i, n in enumerate(numbers)]
+    rows += [(50, """{"password": "abcdefghij12", 'token' : 'abcdefghij34'}"""), (51, "sum +1 234, 4 + 5, +12 345 (678)")]
+    new = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), count="n").collect()}
+    seen = set()
+    for i, n in enumerate(numbers):
+        inside = n[1:] if n.startswith("(") else n
+        one = re.match(r"call (.+?)\. ", new[i].text)[1]
+        assert new[i].text == f"call {one}. (or {one}) by {one}, 5 times" and new[i].n == (6 if n.endswith("1111") else 3), n
+        assert re.sub(r"\d", "0", one) == re.sub(r"\d", "0", n) and inside.split(" ", 1)[-1] not in one and one not in seen
+        seen.add(one)
+        if n.startswith("3782") or n.startswith("+33"):
+            assert one[-5:] != n[-5:]
+    luhn = [int(c) for c in re.sub(r"\D", "", re.match(r"call (.+?)\. ", new[10].text)[1])][::-1]
+    assert sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(luhn)) % 10 == 0
+    assert new[50].n == 2 and "abcdefghij" not in new[50].text and new[51].text == rows[-1][1]
+
+
 def test_every_entity_is_hinted(spark):
     entities = (["a@b.io", "1.2.3.4", "+1 20 3000 40", "(555) 010-1234", "555-010-1234", "123-45-6789", "4111 1111 1111 1111",
                  "abcdefab" * 4, "A1B2C3D4" * 4, "AKIA" + "Z" * 16, "sk-" + "x" * 20, "Token :\t'abcdefghijkl", "apikey=abcdefghijkl"]
