@@ -182,14 +182,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
+    """`distinct`, one row per fingerprint, with the root of its class."""
+    roots = components(links(distinct.select("fp"), radius, tile))
+    # a fingerprint without links is its own class
+    return cut(distinct.join(roots, distinct["fp"] == roots["node"], "left")
+               .select(*[distinct[c] for c in distinct.columns], F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fp (signed fingerprint) and component_id of every row."""
     prints = cut(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "fingerprints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), radius, tile))
-    # smallest doc_id per class, then per fingerprint; a fingerprint without links is its own class
-    rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left")
-                 .select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    # smallest doc_id per fingerprint, then per class
+    rooted = _rooted(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"), radius, tile)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -199,12 +204,16 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each class, the one with its smallest doc_id; columns as before.
+    """One row of each class, the first by doc_id (null last) and fingerprint; columns as before.
 
-    Repeated rows of that doc_id leave one; rows without doc_id stay, as nothing names them.
+    Rows equal in doc_id and text leave one. Ids may repeat or be missing: a row is named by its doc_id and text.
     """
-    found = near_duplicates(docs, shingle, radius)
     (keep,) = fresh(docs, "_keep")
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
-    named = docs.join(first, docs["doc_id"] == F.col(keep)).drop(keep).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    name = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "text")]))
+    prints = cut(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp"), name.alias("name")), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "name")).alias("least")
+    rooted = _rooted(cut(prints.groupBy("fp").agg(least), "distinct"), radius, TILE)
+    first = rooted.groupBy("root").agg(F.min(F.struct("least.unnamed", "least.doc_id", "fp", "least.name")).alias("first"))
+    first = first.select(F.col("first.name").alias("first"))
+    named = docs.withColumn(keep, name)
+    return named.join(first, named[keep] == first["first"], "left_semi").dropDuplicates([keep]).drop(keep)

@@ -228,3 +228,11 @@ def test_near_duplicates_edges(docs, none):
     kept = simhash.deduplicated(docs)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 4] and kept.columns == docs.columns
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_one_row_of_each_class_with_repeated_and_missing_ids(spark):
+    x, y, z = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey pink")
+    rows = [(3, x), (5, x), (5, y), (9, y), (None, y), (None, z), (None, z), (None, x)]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_keep", F.lit(0)))
+    assert kept.columns == ["doc_id", "text", "_keep"]
+    assert Counter((r.text, r.doc_id) for r in kept.collect()) == Counter([(x, 3), (y, 5), (z, None)])
