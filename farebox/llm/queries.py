@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import chat, language, mixing, pieces, pii, quality, simhash, topk, toxicity, warc
+from farebox.llm import (
+    centroids, chat, fim, language, minhash, mixing, pieces, pii, quality, simhash, topk, toxicity, warc)
 from farebox.llm.common import on_workers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +105,23 @@ def op10_quality_rules(spark, folder):
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
+@query
+def op11_fill_in_middle(spark, folder):
+    made = fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query
+def op12_centroid_clustering(spark, folder):
+    return centroids.cluster(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op13_minhash_dedup(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def pipeline(spark, folder):
     import corpus_pipeline
