@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -39,9 +39,14 @@ CODE = 5
 PER_CLASS, MAX_CHARS = 1_500, 20_000
 #: Words a worker remembers the inputs of.
 KNOWN = 200_000
-BATCH = 8_192  # windows scored at once
+#: Windows scored at once: the arrays of a step stay in a core's cache. Windows of one pass in training.
+BATCH, PASS = 1_024, 8_192
+
+#: Characters read at once.
+SLAB = 1 << 18
 
 _word = re.compile(r"[^\W\d_]+")
+_gap = re.compile(r"[\W\d_]")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -57,97 +62,236 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "replace"))
 
 
-def _grams(word: str) -> list[int]:
-    s = f"<{word}>"
-    return [_hash(s[i:i + k]) % BUCKETS for k in GRAMS for i in range(max(len(s) - k, 0) + 1)]
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def gram_buckets(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each gram length: the buckets of all words' grams, and where each word's grams begin.
+
+    A word shorter than the length is one gram. Hashes are sums of code points times powers, taken over all words at once.
+    """
+    width = np.array([len(w) + 2 for w in words])
+    pad = GRAMS[-1] - 1
+    codes = _codes("".join(f"<{w}>" + "\0" * pad for w in words)).astype(np.uint32)
+    begin = np.cumsum(width + pad) - (width + pad)
+    offset = np.arange(len(codes)) - np.repeat(begin, width + pad)
+    left = np.repeat(width, width + pad) - offset  # characters from here to the end of the word
+    total, power, out = np.zeros(len(codes), np.uint32), 1, []
+    for j in range(GRAMS[-1]):
+        total[:len(codes) - j] += codes[j:] * np.uint32(power)
+        power = power * 0x01000193 % (1 << 32)
+        if j + 1 in GRAMS:
+            at = np.flatnonzero((left >= j + 1) | (offset == 0))
+            mixed = total[at] * np.uint32(0x9E3779B1)
+            out.append(((mixed ^ (mixed >> np.uint32(15))) % np.uint32(BUCKETS), np.searchsorted(at, begin)))
+    return out
 
 
 def inputs(words: list[str], word_evidence: np.ndarray, gram_evidence: np.ndarray) -> np.ndarray:
     h = np.array([_hash(w) for w in words], dtype=np.int64)
-    grams = [_grams(w) for w in words]
-    at = np.cumsum([0] + [len(g) for g in grams])
-    ev = gram_evidence[np.array([x for g in grams for x in g], dtype=np.int64)]
     out = np.empty((len(words), 4 + CODE), dtype=np.float32)
     out[:, 0] = word_evidence[h % BUCKETS]
-    out[:, 1] = np.add.reduceat(ev, at[:-1]) / np.diff(at)
-    out[:, 2] = np.maximum.reduceat(ev, at[:-1])
+    total, count, most = np.zeros(len(words)), np.zeros(len(words)), np.full(len(words), -np.inf)
+    for buckets, begin in gram_buckets(words):
+        ev = gram_evidence[buckets]
+        total += np.add.reduceat(ev, begin)
+        np.maximum(most, np.maximum.reduceat(ev, begin), out=most)
+        count += np.diff(np.append(begin, len(ev)))
+    out[:, 1], out[:, 2] = total / count, most
     out[:, 3] = np.minimum([len(w) for w in words], 20) / 10 - 1
     out[:, 4:] = (((h[:, None] >> (4 * np.arange(CODE))) & 15) / 7.5 - 1) * 0.2
     return out
 
 
+@cache
+def _in_word() -> np.ndarray:
+    """Of every code point whether `words_of` takes it as part of a word."""
+    return np.array([(c := chr(i)).isalnum() and not c.isdecimal() for i in range(0x110000)])
+
+
+#: The base of the hash of words seen in a text, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@cache
+def _powers(base: int) -> np.ndarray:
+    """base^0, base^1, ... modulo 2^64, for the places of a slab."""
+    out = np.ones(2 * SLAB, np.uint64)
+    with np.errstate(over="ignore"):
+        np.multiply.accumulate(np.full(len(out) - 1, base, np.uint64), out=out[1:])
+    return out
+
+
+def _cuts(text: str) -> Iterator[str]:
+    """A text in parts of at most two slabs, cut where no word is; a longer word is cut through."""
+    at = 0
+    while len(text) - at > SLAB:
+        gap = _gap.search(text, at + SLAB, at + 2 * SLAB - 1)
+        end = gap.start() + 1 if gap else at + 2 * SLAB
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 @dataclass
 class Network:
     words: np.ndarray  # evidence per word bucket
     grams: np.ndarray  # evidence per gram bucket
     p: dict[str, np.ndarray] = field(default_factory=dict)
     constant: float | None = None
-    rows: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray | None = None  # projected inputs of the known words; row 0 is padding
+    rows: dict[int, int] = field(default_factory=dict)  # hash of a word: its row
+    tables: np.ndarray | None = None  # projected inputs of the known words, one table per direction; row 0 is padding
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """One row per word: evidence of the word and of its grams, its length, its code."""
         return inputs(words, self.words, self.grams)
 
-    def numbers(self, words: list[str]) -> list[int]:
-        """Row numbers of the words in `table`, added where new."""
-        rows, new = self.rows, []
-        for w in words:
-            if w not in rows:
-                rows[w] = len(rows) + 1
-                new.append(w)
-        if self.table is None:
-            self.table = np.zeros((1024, 6 * HIDDEN), dtype=np.float32)
-        if new:
-            need = len(rows) + 1
-            while need > len(self.table):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
-            x = self.inputs(new)
-            self.table[need - len(new):need] = np.hstack([x @ self.p["Wf"], x @ self.p["Wb"]])
-        return [rows[w] for w in words]
+    def learn(self, hashes: list[int], words: list[str]) -> None:
+        """Add rows for new words."""
+        if self.tables is None:
+            self.tables = np.zeros((2, 1024, 3 * HIDDEN), dtype=np.float32)
+            self.tables[:, 0, :HIDDEN] = -1e4  # the update gate of padding is shut: it keeps the state
+        have = len(self.rows) + 1
+        self.rows.update(zip(hashes, range(have, have + len(words))))
+        while have + len(words) > self.tables.shape[1]:
+            self.tables = np.concatenate([self.tables, np.zeros_like(self.tables)], axis=1)
+        if words:
+            x = self.inputs(words)
+            for side, d in enumerate("fb"):
+                # gates enter as tanh(x / 2), so the half is taken here
+                self.tables[side, have:have + len(words)] = (x @ self.p["W" + d] + self.p["b" + d]) * _HALF
+
+    def numbers(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of the words of all parts (lower case, two slabs in all at most), and the number of words of each part."""
+        joined = "\n".join(parts)
+        codes = _codes(joined)
+        inside = np.zeros(len(codes) + 2, dtype=bool)
+        inside[1:-1] = _in_word()[codes]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE)[:len(codes)], out=total[1:])
+            h = (total[end] - total[begin]) * _powers(_INVERSE)[begin]
+        distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        found = [self.rows.get(x) for x in names]
+        new = [i for i, f in enumerate(found) if f is None]
+        if new or self.tables is None:
+            self.learn([names[i] for i in new], [joined[begin[first[i]]:end[first[i]]] for i in new])
+            found = [self.rows[x] for x in names]
+        places = np.cumsum([0] + [len(p) + 1 for p in parts])
+        return np.array(found, dtype=np.int32)[at], np.diff(np.searchsorted(begin, places))
 
     def forget(self) -> None:
         self.rows.clear()
-        self.table = None
-
-    def logits(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Of windows given as rows of word numbers; padding stands at the end and is masked."""
-        projected = self.table[ids] * mask[:, :, None]
-        return forward(self.p, projected[:, :, :3 * HIDDEN], projected[:, :, 3 * HIDDEN:], mask)[0]
+        self.tables = None
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         best = np.full(len(texts), -np.inf)
-        ids: list[np.ndarray] = []
-        masks: list[np.ndarray] = []
-        owner: list[int] = []
-        steps = np.arange(SPAN)
+        run = Scorer(self.p)
+        held: list[tuple[int, str]] = []
+        size = 0
 
         def flush() -> None:
-            rows, mask = np.concatenate(ids), np.concatenate(masks)
-            for b in range(0, len(rows), BATCH):  # a long text brings many windows
-                np.maximum.at(best, owner[b:b + BATCH], self.logits(rows[b:b + BATCH], mask[b:b + BATCH]))
-            for kept in (ids, masks, owner):
-                kept.clear()
+            if held:
+                ids, counts = self.numbers([t for _, t in held])
+                self._windows(run, best, np.array([i for i, _ in held]), ids, counts)
+            held.clear()
 
         for i, text in enumerate(texts):
-            if len(self.rows) > KNOWN:
-                if owner:
-                    flush()
-                self.forget()
-            words = np.array(self.numbers(words_of(text)) or [0], dtype=np.int32)
-            at = np.array(starts(len(words)))[:, None] + steps
-            mask = at < (len(words) if words[0] else 0)
-            ids.append(words[np.minimum(at, len(words) - 1)])
-            masks.append(mask.astype(np.float32))
-            owner.extend([i] * len(at))
-            if len(owner) >= BATCH:
+            text = (text or "").lower()
+            if size + len(text) >= SLAB:
                 flush()
-        if owner:
-            flush()
+                size = 0
+                if len(self.rows) > KNOWN:
+                    self.forget()
+            if len(text) > SLAB:  # a long text is read in parts, its windows go on over the cuts
+                ids = np.concatenate([self.numbers([part])[0] for part in _cuts(text)])
+                self._windows(run, best, np.array([i]), ids, np.array([len(ids)]))
+            else:
+                held.append((i, text))
+                size += len(text) + 1
+        flush()
         return 1 / (1 + np.exp(-np.clip(best, -40, 40)))
 
+    def _windows(self, run: Scorer, best: np.ndarray, owner: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Raise the best value of each text to that of its windows."""
+        first = np.cumsum(counts) - counts
+        many = -(-np.maximum(counts - (SPAN - STEP), 1) // STEP)  # as in `starts`
+        text = np.repeat(np.arange(len(counts)), many)
+        begin = first[text] + STEP * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
+        ids = np.append(ids, np.int32(0))
+        for b in range(0, len(text), BATCH):
+            of = text[b:b + BATCH]
+            at = begin[b:b + BATCH, None] + np.arange(SPAN)
+            rows = np.where(at < (first + counts)[of][:, None], ids[np.minimum(at, len(ids) - 1)], 0)
+            np.maximum.at(best, owner[of], run.logits(self.tables, rows))
+
+
+#: A sigmoid is (1 + tanh(x / 2)) / 2: the inputs of the two gates are halved, those of the candidate are not.
+_HALF = np.array([0.5] * (2 * HIDDEN) + [1.0] * HIDDEN, dtype=np.float32)
+
+
+class Scorer:
+    """The network's value of many windows: `forward` without what only training needs.
+
+    Both directions are one batched product a step, arrays are made once, and of the states only
+    the two numbers are kept that attention and the logistic unit take from them.
+    """
+
+    def __init__(self, p: dict[str, np.ndarray], batch: int = BATCH):
+        h = HIDDEN
+        u = np.stack([p["Uf"], p["Ub"]]) * _HALF
+        self.gate_u, self.new_u = np.ascontiguousarray(u[:, :, :2 * h]), np.ascontiguousarray(0.5 * u[:, :, 2 * h:])
+        self.heads = np.ascontiguousarray(np.stack([np.stack([p["va"], p["wo"]], axis=1)[:h], np.stack([p["va"], p["wo"]], axis=1)[h:]]))
+        self.bias = float(p["bo"][0])
+        self.h, self.made = h, {}
+
+    def _arrays(self, n: int) -> list[np.ndarray]:
+        if n not in self.made:
+            if len(self.made) > 1:
+                self.made.clear()
+            h = self.h
+            self.made[n] = [np.empty(shape, np.float32) for shape in
+                            ((2, n, 3 * h), (2, n, 2 * h), (2, n, h), (2, n, h), (2, n, h), (2, SPAN, n, 2))]
+        return self.made[n]
+
+    def logits(self, tables: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        h, n = self.h, len(ids)
+        x, gates, state, reset, new, heads = self._arrays(n)
+        state[:] = 0
+        by_step = np.ascontiguousarray(ids.T)
+        for s in range(SPAN):
+            back = SPAN - 1 - s
+            np.take(tables[0], by_step[s], axis=0, out=x[0], mode="clip")
+            np.take(tables[1], by_step[back], axis=0, out=x[1], mode="clip")
+            np.matmul(state, self.gate_u, out=gates)
+            gates += x[:, :, :2 * h]
+            np.tanh(gates, out=gates)
+            gates += 1
+            np.multiply(gates[:, :, h:], state, out=reset)
+            np.matmul(reset, self.new_u, out=new)
+            new += x[:, :, 2 * h:]
+            np.tanh(new, out=new)
+            new -= state
+            new *= gates[:, :, :h]
+            new *= 0.5
+            state += new
+            found = np.matmul(state, self.heads)
+            heads[0, s], heads[1, back] = found[0], found[1]
+        both = heads[0] + heads[1]
+        attend, value = both[:, :, 0], both[:, :, 1]
+        real = by_step > 0
+        attend = np.where(real, attend, np.float32(-30))
+        a = np.exp(attend - attend.max(axis=0))
+        a /= a.sum(axis=0)
+        return np.where(real[0], (a * value).sum(axis=0), 0) + self.bias
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
@@ -223,7 +367,11 @@ def gradients(p: dict, x: np.ndarray, mask: np.ndarray, label: np.ndarray, weigh
     return g
 
 
-def _evidence(items: list[set[int]], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct_grams(words: set[str]) -> np.ndarray:
+    return np.unique(np.concatenate([b for b, _ in gram_buckets(sorted(words))])) if words else np.zeros(0, int)
+
+
+def _evidence(items: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How much a bucket's presence speaks for the label, shrunk where it is rare; -1 to 1.
 
     The second array has a row per label: the evidence without one text of that label, which is
@@ -231,7 +379,7 @@ def _evidence(items: list[set[int]], label: np.ndarray) -> tuple[np.ndarray, np.
     """
     count = np.zeros((2, BUCKETS))
     for own, y in zip(items, label):
-        count[y, list(own)] += 1
+        count[y, own] += 1
     total = np.array([(label == 0).sum(), (label == 1).sum()])
 
     def odds(no: np.ndarray, yes: np.ndarray) -> np.ndarray:
@@ -251,8 +399,8 @@ def fit(texts: list[str], label: list[int], rounds: int = 3, epochs: int = 4, pe
         net.constant = float(y.mean()) if len(y) else 0.0
         return net
     words = [words_of(t) for t in texts]
-    net.words, own_words = _evidence([{_hash(w) % BUCKETS for w in ws} for ws in words], y)
-    net.grams, own_grams = _evidence([{g for w in set(ws) for g in _grams(w)} for ws in words], y)
+    net.words, own_words = _evidence([np.unique([_hash(w) % BUCKETS for w in set(ws)]).astype(int) for ws in words], y)
+    net.grams, own_grams = _evidence([_distinct_grams(set(ws)) for ws in words], y)
     rng = np.random.default_rng(seed)
     size, h = 4 + CODE, HIDDEN
 
@@ -280,8 +428,8 @@ def fit(texts: list[str], label: list[int], rounds: int = 3, epochs: int = 4, pe
     steps = 0
     for turn in range(rounds):
         if turn:
-            power = np.concatenate([forward(p, x_all[b:b + BATCH] @ p["Wf"], x_all[b:b + BATCH] @ p["Wb"],
-                                            m_all[b:b + BATCH])[0] for b in range(0, len(x_all), BATCH)])
+            power = np.concatenate([forward(p, x_all[b:b + PASS] @ p["Wf"], x_all[b:b + PASS] @ p["Wb"],
+                                            m_all[b:b + PASS])[0] for b in range(0, len(x_all), PASS)])
         else:
             power = x_all[:, :, 0].max(axis=1)
         chosen = set()
