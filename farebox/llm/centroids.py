@@ -95,7 +95,8 @@ class Pivots:
                 a = rows[:, p, None] * centroids[None, :, s]
                 b = rows[:, s, None] * centroids[None, :, p]
                 np.fmax(low, (np.abs(a - b) - SLACK * (a + b)) / gap, out=low)
-            return np.where(np.isfinite(low), low * low * (1 - SLACK), 0.0)
+            square = low * low * (1 - SLACK)
+            return np.where(np.isfinite(square), square, 0.0)
 
 
 def nearest(x: np.ndarray, to_pivots: np.ndarray, centroids: list[list[int]], pivots: Pivots,
@@ -124,16 +125,15 @@ def nearest(x: np.ndarray, to_pivots: np.ndarray, centroids: list[list[int]], pi
         cluster[rows] = at
         for i, d in zip(rows.tolist(), near.astype(np.int64).tolist()):
             best[i] = d
-    for i in np.flatnonzero(~small):
-        own = [_whole(v, scale) for v in x[i].tolist()]
-        best[i], cluster[i] = squared(own, centroids[cluster[i]]), cluster[i]
+    for i in np.flatnonzero(~small).tolist():
+        own, bounds, first = [_whole(v, scale) for v in x[i].tolist()], low[i].tolist(), int(cluster[i])
+        near_, at_ = squared(own, centroids[first]), first
         measured += 1
-        for j in range(len(centroids)):
-            if j != cluster[i] and not low[i, j] > best[i]:
-                d = squared(own, centroids[j])
+        for j, bound in enumerate(bounds):
+            if j != first and bound <= near_:  # a float and a whole number compare exactly
                 measured += 1
-                if (d, j) < (best[i], cluster[i]):
-                    best[i], cluster[i] = d, j
+                near_, at_ = min((near_, at_), (squared(own, centroids[j]), j))
+        best[i], cluster[i] = near_, at_
     return cluster, best, measured
 
 
