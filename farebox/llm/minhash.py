@@ -48,6 +48,8 @@ RADIUS = CHUNKS * (ERRORS + 1) - 1
 TILE, TILE_SHINGLES = 1024, 1 << 21
 #: Keys two nodes share before the short cut tries them; the join does not depend on it.
 TRY_FROM = 8
+#: Bits of the filter that keeps texts without a candidate out of a shuffle; 16 MB at any size of the input.
+FILTER_BITS = 27
 #: Shingle hashes that meet the hash functions at once.
 _SLAB = 1 << 12
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -254,6 +256,29 @@ def _contested(shared: DataFrame, nodes: DataFrame, classes: DataFrame, radius:
     return tiles.mapInArrow(run, "key bigint, x int, y int, first boolean, node bigint")
 
 
+def _places(name: Column) -> list[Column]:
+    h, mask = F.xxhash64(name), F.lit((1 << FILTER_BITS) - 1)
+    return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 64 - FILTER_BITS)]
+
+
+def _maybe(wanted: DataFrame, name: Column) -> Column:
+    """False for names that are surely not among the wanted ones: a Bloom filter of fixed size, two bits a name."""
+    words = (wanted.select(F.explode(F.array(*_places(F.col("name")))).alias("bit"))
+             .groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas())
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = wanted.sparkSession.sparkContext.broadcast(table)  # 2^FILTER_BITS bits
+
+    @F.arrow_udf("boolean")
+    def run(one: pa.Array, two: pa.Array) -> pa.Array:
+        hit = True
+        for places in (one.to_numpy(zero_copy_only=False), two.to_numpy(zero_copy_only=False)):
+            hit &= (shared.value[places >> 6] >> (places & 63)) & 1 > 0
+        return pa.array(hit)
+
+    return run(*_places(name))
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(node, hashes) of the wanted (node, name): the sets of these texts, made from the text again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +286,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFr
             made = [shingles(t, size).tobytes() for t in _texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.binary())], names=["node", "hashes"])
 
-    found = docs.select("text", _name(F.col("text"))).join(wanted, "name").select("node", "text")
+    named = docs.select("text", _name(F.col("text")))
+    found = named.where(_maybe(wanted, F.col("name"))).join(wanted, "name").select("node", "text")
     # copies of a text make equal sets
     return found.mapInArrow(run, "node bigint, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
 
