@@ -1,8 +1,13 @@
 """Weekly forecasts: linear trend times an ISO-week index, overall and per carrier.
 
 For a series y over weeks t:  trend = a + b t  (least squares),
-index(w) = mean of y / trend over ISO week w,  yhat = trend * index, and bounds
-yhat +- z sigma with sigma the sample deviation of y - yhat over the history.
+index(w) = mean of y / trend over ISO week w,  yhat = trend * index.
+
+Bounds widen with the horizon. The history is cut into years; the slopes of y / index within them
+change by delta from one to the next. Future changes are taken to come as often and to be as large:
+independent, with Laplace scale lambda = mean |delta| and so variance 2 lambda^2 each. A change at time u moves the trend at
+u + s by s delta, so h weeks after the last date its variance is  2 lambda^2 r h^3 / 3  with r changes a week. The bounds are
+yhat +- z sqrt(sigma^2 + index^2 times that), with sigma the sample deviation of y - yhat over the history.
 
 All carriers are fitted at once: the carrier is a grouping key, never a loop. The input is
 one row per week and series, so no group outgrows the number of weeks.
@@ -18,6 +23,8 @@ from farebox.functions.measures import percent_change, ratio
 from farebox.operators.rows import members_only, not_null
 
 DIGITS = 4
+#: Days between two slopes of the history, and the least number of weeks with a value behind one.
+SLOPE_DAYS, SLOPE_WEEKS = 364, 13
 
 
 def weekly_totals(src: DataFrame, include_rollup_rows: bool = False) -> DataFrame:
@@ -67,6 +74,24 @@ def _trend(day: str) -> Column:
     return F.col("intercept") + F.col("slope") * _week_number(day)
 
 
+def trend_growth(adjusted: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series: the trend's variance h weeks ahead as a multiple `growth` of h^3, from the slopes of its years.
+
+    `adjusted` has the keys, Week_Date, first (the series' first date), t and the value `y` without its season.
+    """
+    year = F.floor(F.datediff("Week_Date", "first") / SLOPE_DAYS)
+    slopes = (adjusted.groupBy(*keys, year.alias("_year"))
+              .agg(F.regr_slope("y", "t").alias("slope"), F.regr_count("y", "t").alias("n"))
+              .where((F.col("n") >= SLOPE_WEEKS) & F.col("slope").isNotNull()))
+    # one element per year of the history
+    ordered = slopes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_year", "slope"))).alias("_slopes"))
+    changes = ordered.withColumn("_changes", F.expr(
+        "transform(slice(_slopes, 2, size(_slopes)), (s, i) -> abs(s.slope - _slopes[i].slope))"))
+    mean = F.expr("aggregate(_changes, 0D, (a, x) -> a + x)") / F.nullif(F.size("_changes"), F.lit(0))
+    # rounded, so that the order in which a slope was summed cannot show
+    return changes.select(*keys, F.round(mean, 6).alias("lambda"), F.size("_changes").alias("changes"))
+
+
 def forecast_series(series: DataFrame, keys: list[str], weeks: int = FORECAST_WEEKS,
                     own_horizon: bool = False) -> DataFrame:
     """Forecast every series told apart by `keys` (none: one series).
@@ -82,14 +107,19 @@ def forecast_series(series: DataFrame, keys: list[str], weeks: int = FORECAST_WE
     slope = F.coalesce(F.regr_slope(y, t), F.lit(0.0))
     params = history.groupBy(*keys).agg(
         slope.alias("slope"), (F.avg(y) - slope * F.avg(t)).alias("intercept"),
-        F.max("Week_Date").alias("last"))
-    fitted = _attach(history, params, keys, ["slope", "intercept"]).withColumn("trend", _trend("Week_Date"))
+        F.min("Week_Date").alias("first"), F.max("Week_Date").alias("last"))
+    fitted = _attach(history, params, keys, ["slope", "intercept", "first"]).withColumn("trend", _trend("Week_Date"))
     index = fitted.groupBy(*keys, "Week").agg(
         F.avg(F.try_divide(y, F.col("trend"))).alias("week_index"))
     seasonal = F.coalesce("week_index", F.lit(1.0))
-    sigma = (
-        fitted.join(index, [*keys, "Week"]).groupBy(*keys)
-        .agg(F.coalesce(F.stddev_samp(y - F.col("trend") * seasonal), F.lit(0.0)).alias("sigma")))
+    indexed = fitted.join(index, [*keys, "Week"])
+    sigma = indexed.groupBy(*keys).agg(
+        F.coalesce(F.stddev_samp(y - F.col("trend") * seasonal), F.lit(0.0)).alias("sigma"),
+        F.min("t").alias("_from"), F.max("t").alias("_to"))
+    growth = trend_growth(indexed.withColumn("y", F.try_divide(y, F.col("week_index"))), keys)
+    spread = sigma.join(growth, keys, "left") if keys else _attach(sigma, growth, keys, ["lambda", "changes"])
+    spread = spread.select(*keys, "sigma", "_to", F.coalesce(F.try_divide(
+        2 * F.col("lambda") * F.col("lambda") * F.col("changes"), 3 * (F.col("_to") - F.col("_from"))), F.lit(0.0)).alias("growth"))
 
     common_last = series.agg(F.max("Week_Date").alias("last"))
     if keys:
@@ -103,8 +133,10 @@ def forecast_series(series: DataFrame, keys: list[str], weeks: int = FORECAST_WE
             common_last.select(F.explode(sundays_after(F.col("last"), weeks)).alias("ds")),
             params, keys, ["slope", "intercept"])
     future = with_forecast_parts(future).withColumn("trend", _trend("ds"))
-    future = _attach(future.join(index, [*keys, "Week"], "left"), sigma, keys, ["sigma"])
-    yhat, band = F.col("trend") * seasonal, INTERVAL_Z * F.col("sigma")
+    future = _attach(future.join(index, [*keys, "Week"], "left"), spread, keys, ["sigma", "_to", "growth"])
+    ahead = _week_number("ds") - F.col("_to")
+    yhat = F.col("trend") * seasonal
+    band = INTERVAL_Z * F.sqrt(F.col("sigma") * F.col("sigma") + seasonal * seasonal * F.col("growth") * ahead * ahead * ahead)
     return future.select(
         *keys, "ds", F.round(yhat, DIGITS).alias("yhat"),
         F.round(yhat - band, DIGITS).alias("yhat_lower"),

@@ -60,20 +60,28 @@ def _forecast(prefix: str, totals: str, key: str | None) -> dict[str, str]:
         f"{prefix}_h": f"""SELECT {k}Week_Date, CAST(Passenger_Departures AS DOUBLE) AS y, {t} AS t,
             CAST(week(Week_Date) AS INTEGER) AS Week FROM {totals}""",
         f"{prefix}_p": f"""SELECT {k}coalesce(regr_slope(y, t), 0) AS slope,
-            coalesce(regr_intercept(y, t), avg(y)) AS intercept FROM {prefix}_h {group}""",
-        f"{prefix}_f": f"""SELECT {prefix}_h.*, intercept + slope * t AS trend
+            coalesce(regr_intercept(y, t), avg(y)) AS intercept, min(Week_Date) AS first, min(t) AS t0, max(t) AS t1
+            FROM {prefix}_h {group}""",
+        f"{prefix}_f": f"""SELECT {prefix}_h.*, first, intercept + slope * t AS trend
             FROM {prefix}_h JOIN {prefix}_p {using}""",
         f"{prefix}_i": f"""SELECT {k}Week, avg(y / nullif(trend, 0)) AS idx FROM {prefix}_f GROUP BY {k}Week""",
         f"{prefix}_s": f"""SELECT {k}coalesce(stddev_samp(y - trend * coalesce(idx, 1)), 0) AS sigma
             FROM {prefix}_f JOIN {prefix}_i {using_wk} {group}""",
+        f"{prefix}_y": f"""SELECT {k}date_diff('day', first, Week_Date) // 364 AS yr, regr_slope(y / nullif(idx, 0), t) AS s
+            FROM {prefix}_f JOIN {prefix}_i {using_wk} GROUP BY {k}yr
+            HAVING regr_count(y / nullif(idx, 0), t) >= 13 AND regr_slope(y / nullif(idx, 0), t) IS NOT NULL""",
+        f"{prefix}_d": f"""SELECT {k}s - lag(s) OVER ({f"PARTITION BY {key} " if key else ""}ORDER BY yr) AS d FROM {prefix}_y""",
+        f"{prefix}_l": f"""SELECT {k}round(avg(abs(d)), 6) AS lam, count(d) AS n FROM {prefix}_d {group}""",
+        f"{prefix}_w": f"""SELECT {k}t1, coalesce(2 * lam * lam * n / nullif(3 * (t1 - t0), 0), 0) AS grow
+            FROM {prefix}_p LEFT JOIN {prefix}_l {using}""",
         f"{prefix}_c": f"""SELECT {k}slope, intercept, ds, CAST(year(ds) AS INTEGER) AS Year,
             CAST(month(ds) AS INTEGER) AS Month, CAST(week(ds) AS INTEGER) AS Week
             FROM {prefix}_p CROSS JOIN future""",
-        prefix: f"""SELECT {k}ds, round(yh, {DIGITS}) AS yhat, round(yh - {Z} * sigma, {DIGITS}) AS yhat_lower,
-            round(yh + {Z} * sigma, {DIGITS}) AS yhat_upper, Year, Month, Week FROM (
-              SELECT {k}ds, Year, Month, Week, sigma,
-                     (intercept + slope * {tf}) * coalesce(idx, 1) AS yh
-              FROM {prefix}_c LEFT JOIN {prefix}_i {using_wk} JOIN {prefix}_s {using})""",
+        prefix: f"""SELECT {k}ds, round(yh, {DIGITS}) AS yhat, round(yh - {Z} * width, {DIGITS}) AS yhat_lower,
+            round(yh + {Z} * width, {DIGITS}) AS yhat_upper, Year, Month, Week FROM (
+              SELECT {k}ds, Year, Month, Week, (intercept + slope * {tf}) * coalesce(idx, 1) AS yh,
+                     sqrt(sigma * sigma + coalesce(idx, 1) * coalesce(idx, 1) * grow * ({tf} - t1) * ({tf} - t1) * ({tf} - t1)) AS width
+              FROM {prefix}_c LEFT JOIN {prefix}_i {using_wk} JOIN {prefix}_s {using} JOIN {prefix}_w {using})""",
     }
 
 

@@ -27,14 +27,22 @@ def by_hand(data, last, weeks):
     trend = a + b * (days - days.mean())
     iso = [d["Week_Date"].isocalendar()[1] for d in data]
     index = {w: np.mean([v / t for v, t, k in zip(y, trend, iso) if k == w]) for w in set(iso)}
-    sigma = np.std(y - trend * [index[w] for w in iso], ddof=1)
+    season = np.array([index[w] for w in iso])
+    sigma = np.std(y - trend * season, ddof=1)
+    years = np.rint((days - days[0]) * 7).astype(int) // 364
+    slopes = [np.polyfit(days[years == k] - days.mean(), (y / season)[years == k], 1)[0]
+              for k in sorted(set(years)) if (years == k).sum() >= 13]
+    changes = np.abs(np.diff(slopes))
+    growth = 2 * round(changes.mean(), 6) ** 2 * len(changes) / (3 * (days[-1] - days[0])) if len(changes) else 0
     first = last + timedelta(days=(6 - last.weekday()) or 7)
     out = {}
     for k in range(weeks):
         ds = first + timedelta(weeks=k)
         t = (ds - date(1970, 1, 1)).days / 7 - days.mean()
-        yhat = (a + b * t) * index.get(ds.isocalendar()[1], 1.0)
-        out[ds] = (yhat, yhat - INTERVAL_Z * sigma, yhat + INTERVAL_Z * sigma)
+        factor = index.get(ds.isocalendar()[1], 1.0)
+        yhat, ahead = (a + b * t) * factor, (ds - data[-1]["Week_Date"]).days / 7
+        width = INTERVAL_Z * np.sqrt(sigma ** 2 + factor ** 2 * growth * ahead ** 3)
+        out[ds] = (yhat, yhat - width, yhat + width)
     return out
 
 
@@ -63,6 +71,21 @@ def test_carriers_share_one_calendar(spark):
     assert len(per["B"]) == 60 and len(per["A"]) == 60 - 50 and per["A"][0] == per["B"][0]
 
 
+def test_bounds_widen_with_the_horizon(spark):
+    bent = history(120) + [d | {"Passenger_Departures": d["Passenger_Departures"] + 4 * i}
+                           for i, d in enumerate(history(160, start=120))]
+    out = forecast_rows(forecast.forecast_overall(staging(spark, bent), 200))
+    width = np.array([r.yhat_upper - r.yhat_lower for r in out])
+    index = np.array([r.yhat for r in out])
+    assert all(width[k + 52] > width[k] for k in range(len(width) - 52)) and width[-1] > 3 * width[0]
+    assert np.allclose([r.yhat_upper - r.yhat for r in out], [r.yhat - r.yhat_lower for r in out], atol=2e-4) and len(index) == 200
+
+
+def test_a_history_of_one_year_has_one_width_per_season(spark):
+    out = forecast_rows(forecast.forecast_overall(staging(spark, history(52)), 20))
+    assert np.ptp([r.yhat_upper - r.yhat_lower for r in out]) < 1e-3
+
+
 def test_rollup_row_is_left_out(spark):
     data = history(60)
     doubled = data + [d | {"Carrier_Name": "Total"} for d in data]
