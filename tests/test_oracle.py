@@ -7,7 +7,7 @@ from oracle import queries as sql
 from oracle.compare import connect, differences
 
 QUERIES, SQL = catalog.QUERIES, sql.oracle_sql()
-ROWS_ONLY = {"feature_importance", "forecast_overall_additive", "forecast_by_carrier_additive"}
+ROWS_ONLY = {"feature_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -33,10 +33,6 @@ def test_equals_sql(spark, tiny, duck, name):
     assert_plan_is_clean(df)
 
 
-def test_grouped_map_plan(spark, tiny):
-    assert_plan_is_clean(QUERIES["forecast_by_carrier_additive"](spark, tiny))
-
-
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns[:2] == ["Year", "Quarter"]

@@ -24,6 +24,30 @@ def test_dense_key_equals_global_row_number(spark):
     assert got == expected
 
 
+def test_numbering_spreads_equal_beginnings_over_ranges(spark, tmp_path):
+    """Names with one long common beginning are dealt over all ranges, and numbers stay those of a global order."""
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(0, 20_000, 1, 5).select(F.format_string("the same beginning %06d", F.expr("id * 7919 % 20000")).alias("name"))
+        numbered = dense_key(df, "k", F.col("name"), [], descending=True, kind="bigint")
+        out = numbered.select("k", "name", F.spark_partition_id().alias("p")).collect()
+        files = {f.rsplit("/", 1)[1] for f in numbered.inputFiles()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert len(files) == 6
+    assert [r.name for r in sorted(out, key=lambda r: r.k)] == sorted((r.name for r in out), reverse=True)
+    assert sorted(r.k for r in out) == list(range(1, 20_001))
+
+
+def test_numbering_of_no_and_of_equal_rows(spark):
+    df = spark.createDataFrame([("a", 1)] * 3 + [(None, 2)], "name string, x int")
+    assert sorted(r.k for r in dense_key(df, "k", F.col("name"), ["x"]).collect()) == [1, 2, 3, 4]
+    assert dense_key(df.where("false"), "k", F.col("name"), []).collect() == []
+
+
 def test_members_are_distinct_before_numbering(spark):
     src, tables, _ = load(spark, [{"Week_Date": week(i), "Carrier_Name": c} for i in range(3) for c in "BA"])
     assert rows(tables["dim_carrier"]) == [(1, "A", "Long"), (2, "B", "Long")]
