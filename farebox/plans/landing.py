@@ -17,6 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farebox.operators import summaries
@@ -27,7 +28,7 @@ from farebox.session import shared_dir
 from farebox.sources.sinks import write_and_read
 from farebox.sources.weekly_feed import staging_rows, weekly_departures
 
-Key = tuple[str, str, tuple, str]
+Key = tuple[str, str, str, str]
 _landed: dict[Key, tuple[str, T.StructType]] = {}
 _locks: dict[Key, threading.Lock] = defaultdict(threading.Lock)
 _drop = threading.Lock()
@@ -44,15 +45,46 @@ SUMMARIES = {
 }
 
 
-def input_state(spark: SparkSession, folder: str) -> tuple:
-    """Name, size and time of every input file: landed tables of an earlier state are not used again."""
-    state = []
+#: Fingerprints of the input, by application, folder and what the roots of the tables show.
+_states: dict[tuple, str] = {}
+
+
+def _roots(spark: SparkSession, folder: str) -> tuple:
+    """Kind, size and time of the root of each input table: one look-up a table, no listing."""
+    found = []
     for name in INPUTS:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
         store = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if store.exists(path):
-            state += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in store.listStatus(path)]
-    return tuple(sorted(state))
+            status = store.getFileStatus(path)
+            found.append((path.toString(), status.isDirectory(), status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
+def fingerprint(spark: SparkSession, folders: list[str]) -> tuple:
+    """Number, bytes and a hash of name, size and time of all files below the folders, however deep.
+
+    One job over file metadata: no content is read, and the driver gets one row.
+    """
+    if not folders:
+        return ()
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+             .select("path", "length", "modificationTime"))
+    mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    return tuple(str(v) for v in files.agg(F.count(F.lit(1)), F.sum("length"), F.sum(mark)).first())
+
+
+def input_state(spark: SparkSession, folder: str, refresh: bool = False) -> str:
+    """A fingerprint of the input: landed tables of an earlier state are not used again.
+
+    Files are looked at once per session, when the root of a table changes, and on `refresh`. A file changed
+    deep in a folder, without a change of the folder itself, is seen on `refresh`.
+    """
+    roots = _roots(spark, folder)
+    key = (spark.sparkContext.applicationId, folder, roots)
+    if refresh or key not in _states:
+        _states[key] = repr((roots, fingerprint(spark, [r[0] for r in roots if r[1]])))
+    return _states[key]
 
 
 def land(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame],
@@ -60,10 +92,10 @@ def land(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFr
     """The table `name` of this input folder, built and written on first use.
 
     Without a shared folder the plan itself is returned and nothing is written.
-    A change of the input's files rebuilds every table on its next use. `refresh` forces that.
+    A change of the input (see `input_state`) rebuilds every table on its next use. `refresh` forces that.
     """
     app = spark.sparkContext.applicationId
-    key = (app, folder, input_state(spark, folder), name)
+    key = (app, folder, input_state(spark, folder, refresh), name)
     with _locks[key]:
         if key in _landed and not refresh:
             path, schema = _landed[key]

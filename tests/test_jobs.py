@@ -107,6 +107,23 @@ def test_landing_builds_once_refreshes_and_survives_cleaning(spark, tmp_path, mo
     assert landing.land(spark, key, "other", build).count() == 4
 
 
+def test_input_is_fingerprinted_once_and_on_refresh(spark, tmp_path, monkeypatch):
+    """A nested partition counts, content is not read, and repeated use costs no listing."""
+    folder = str(tmp_path)
+    spark.range(6).selectExpr("id", "id % 2 as k").write.partitionBy("k").parquet(f"{folder}/lineitem.parquet")
+    (tmp_path / "orders.parquet").write_bytes(b"one file")
+    real, calls = landing.fingerprint, []
+    monkeypatch.setattr(landing, "fingerprint", lambda s, f: calls.append(f) or real(s, f))
+    first = landing.input_state(spark, folder)
+    assert [landing.input_state(spark, folder) for _ in range(3)] == [first] * 3 and len(calls) == 1
+    assert calls[0] == [f"{folder}/lineitem.parquet"]
+    spark.range(1).write.mode("append").parquet(f"{folder}/lineitem.parquet/k=1")
+    changed = landing.input_state(spark, folder, refresh=True)
+    assert changed != first and landing.input_state(spark, folder) == changed
+    (tmp_path / "orders.parquet").write_bytes(b"another file")  # a root that is a file is seen at once
+    assert landing.input_state(spark, folder) != changed
+
+
 def test_sheets_to_warehouse_to_forecast(spark, tmp_path):
     """Every sheet of the fixed label list, from grid to written tables; a rerun changes nothing."""
     sheets = [(label, year, [["Report"], HEAD, ["Academy", 10 + i, 300 + i], ["Martz", 5, 100 + 2 * i],
