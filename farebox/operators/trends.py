@@ -23,6 +23,21 @@ def weekly_grain(df: DataFrame) -> DataFrame:
              F.sum("Passenger_Departures").alias("Passenger_Departures")))
 
 
+def one_row_per_week(df: DataFrame) -> DataFrame:
+    """Rows of one week and carrier as one: measures summed, the largest of every other column.
+
+    The trend columns need this grain. Sums of decimals do not depend on the order of the rows; a week without
+    a known value stays unknown. Rows without date or carrier belong to no series and stay as they are.
+    """
+    keys, measures = ["Week_Date", "Carrier_Name"], list(MEASURES.values())
+    known = F.col("Week_Date").isNotNull() & F.col("Carrier_Name").isNotNull()
+    kinds = dict(df.dtypes)
+    summed = [F.sum(F.col(c).cast("decimal(30,6)")).cast(kinds[c]).alias(c) for c in measures]
+    rest = [F.max(f"`{c}`").alias(c) for c in df.columns if c not in keys + measures]
+    grouped = df.where(known).groupBy(*keys).agg(*summed, *rest).select(*[F.col(f"`{c}`") for c in df.columns])
+    return grouped.unionByName(df.where(~known))
+
+
 def series_window(carrier: str = "Carrier_Name") -> WindowSpec:
     return Window.partitionBy(carrier).orderBy("Week_Date")
 

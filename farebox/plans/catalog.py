@@ -106,6 +106,23 @@ def sheet_extract(spark, folder):
         F.round("Passengers_Per_Bus", 6).alias("Passengers_Per_Bus"))
 
 
+def _faulty(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    grid = landing.land(spark, folder, "faulty_grid", lambda: weekly_feed.faulty_grid(_src(spark, folder)))
+    return grid, [*_names(spark, folder), ROLLUP_CARRIER]
+
+
+@query
+def sheet_rejects(spark, folder):
+    grid, names = _faulty(spark, folder)
+    return sheets.sheet_rejects(grid, names, names, depth=None, width=None)
+
+
+@query
+def label_quality(spark, folder):
+    grid, names = _faulty(spark, folder)
+    return sheets.label_quality(sheets.extract_sheets(grid, names, names, depth=None, width=None))
+
+
 @query
 def consolidate_union(spark, folder):
     weekly = _src(spark, folder).select(*SERIES, "Bus_Departures", "Passenger_Departures",
@@ -380,6 +397,11 @@ def dim_service_type(spark, folder):
     return dims.dim_service_type(_src(spark, folder))
 
 
+@query
+def dim_conflicts(spark, folder):
+    return dims.dim_conflicts(weekly_feed.conflicting_staging(_src(spark, folder)))
+
+
 @query
 def distinct_values(spark, folder):
     return rows.distinct_values(_src(spark, folder), "Service_Type")

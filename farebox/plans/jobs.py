@@ -13,9 +13,9 @@ from farebox.functions.measures import classify
 from farebox.operators import features, forecast, summaries
 from farebox.operators.dims import load_dimensions
 from farebox.operators.fact import load_fact, star_read, with_load_stamp
-from farebox.operators.trends import with_trends
+from farebox.operators.trends import one_row_per_week, with_trends
 from farebox.schemas import STAGING, as_text_flag, conform
-from farebox.sources.sheets import consolidate, extract_sheets
+from farebox.sources.sheets import consolidate, extract_sheets, label_quality, sheet_rejects
 from farebox.sources.sinks import write_and_read, write_csv
 
 
@@ -39,11 +39,12 @@ def derive_staging(consolidated: DataFrame, periods: Periods, period_before: str
 
     Period, baseline, recovery, trend and tourism columns have no source of their own and are
     derived here: periods by their first days, the tourism peak as July, August and December,
-    the rest as in `operators.trends`.
+    the rest as in `operators.trends`. A carrier that stands twice in a week, as on two sheets of
+    one label, is one row with the sum; parts of a bus or passenger are rounded half away from zero.
     """
     period = classify("Week_Date", periods, period_before)
     economic = classify("Week_Date", inflation, inflation_before)
-    rows = consolidated.withColumns({
+    rows = one_row_per_week(consolidated).withColumns({
         "COVID_Period": period,
         "Economic_Period": economic,
         "Is_COVID_Period": as_text_flag(period.isin(covid_periods)),
@@ -53,16 +54,23 @@ def derive_staging(consolidated: DataFrame, periods: Periods, period_before: str
         "Is_Severe_Weather": as_text_flag(F.col("Is_Severe_Weather")),
         "Is_Tourism_Peak": as_text_flag(F.col("Is_Summer_Peak") | F.col("Is_Holiday_Season")),
         "NYC_Event": F.lit(None).cast("string"),
-        "Bus_Departures": F.col("Bus_Departures").cast("bigint"),
-        "Passenger_Departures": F.col("Passenger_Departures").cast("bigint"),
+        "Bus_Departures": F.round("Bus_Departures").cast("bigint"),
+        "Passenger_Departures": F.round("Passenger_Departures").cast("bigint"),
     })
     return conform(with_trends(rows, baseline_year, calendar), STAGING)
 
 
 def consolidate_job(grid: DataFrame, out: str, fix_year_rollover: bool = True) -> DataFrame:
-    """Sheets to the consolidated CSV, sorted by date and carrier."""
-    rows = consolidate(extract_sheets(grid), fix_year_rollover=fix_year_rollover)
+    """Sheets to the consolidated CSV, sorted by date and carrier.
+
+    Beside it, `<out>_rejects` lists the sheets that could not be read and why, `<out>_labels` the date
+    of each sheet that was and whether its label had to be defaulted.
+    """
+    extracted = extract_sheets(grid)
+    rows = consolidate(extracted, fix_year_rollover=fix_year_rollover)
     write_csv(rows.orderBy("Week_Date", "Carrier_Name"), out, "MM/dd/yyyy")
+    write_csv(sheet_rejects(grid).orderBy("year", "sheet"), f"{out}_rejects")
+    write_csv(label_quality(extracted, fix_year_rollover).orderBy("Week_Date", "Week_Label"), f"{out}_labels", "MM/dd/yyyy")
     return rows
 
 

@@ -27,49 +27,62 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words))
 
 
-def header_rows(grid: DataFrame, names: list[str], depth: int = HEADER_ROWS) -> DataFrame:
-    """First row of each sheet, within the search depth, whose joined text holds a name.
+def header_rows(grid: DataFrame, names: list[str], depth: int | None = HEADER_ROWS) -> DataFrame:
+    """First row of each sheet, within the search depth (None: the whole sheet), whose joined text holds a name.
 
     A name inside a longer heading counts, and so does one spread over neighbouring cells.
     """
     line = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("col_idx", "value"))), lambda cell: cell["value"]), " ")
+    within = F.col("value").isNotNull() if depth is None else (F.col("row_idx") < depth) & F.col("value").isNotNull()
     return (
-        grid.where((F.col("row_idx") < depth) & F.col("value").isNotNull())
+        grid.where(within)
         .groupBy(*SHEET, "row_idx").agg(line.alias("line"))
         .where(contains_any(F.col("line"), names))
         .groupBy(*SHEET).agg(F.min("row_idx").alias("header_row")))
 
 
-def sheet_columns(grid: DataFrame, headers: DataFrame, markers: list[str],
-                  width: int = CARRIER_COLUMNS) -> DataFrame:
-    """Positions of the carrier, bus and passenger columns of each sheet."""
+def sheet_layouts(grid: DataFrame, names: list[str] | None = None, markers: list[str] | None = None,
+                  depth: int | None = HEADER_ROWS, width: int | None = CARRIER_COLUMNS) -> DataFrame:
+    """Every sheet with its header row, the positions of its three columns, and why it cannot be read.
+
+    `reason` is null for sheets that can; else the first that holds of: no header, no carrier column, no measure
+    column. `depth` and `width` bound the search for the header row and the carrier column; None searches the whole sheet.
+    """
     cell = F.lower("value")
     in_header = F.col("row_idx") == F.col("header_row")
-    is_carrier = (F.col("row_idx") > F.col("header_row")) & (F.col("col_idx") < width) & contains_any(
-        F.col("value"), markers)
+    is_carrier = (F.col("row_idx") > F.col("header_row")) & contains_any(F.col("value"), markers or CARRIER_COLUMN_MARKERS)
+    if width is not None:
+        is_carrier = is_carrier & (F.col("col_idx") < width)
 
     def first_other(positions: str) -> Column:
         return F.array_min(F.filter(F.col(positions), lambda c: c != F.col("carrier_col")))
 
     return (
-        grid.join(headers, SHEET)
-        .where(in_header | is_carrier)
+        grid.join(header_rows(grid, names or CARRIER_NAMES, depth), SHEET, "left")
         .groupBy(*SHEET, "header_row")
         .agg(F.min(F.when(is_carrier, F.col("col_idx"))).alias("carrier_col"),
              F.collect_set(F.when(in_header & cell.contains("bus"), F.col("col_idx"))).alias("bus"),
              F.collect_set(F.when(in_header & cell.contains("passenger"), F.col("col_idx"))).alias("pax"))
         .select(*SHEET, "header_row", "carrier_col",
                 first_other("bus").alias("bus_col"), first_other("pax").alias("pax_col"))
-        .where(F.col("carrier_col").isNotNull() & F.col("bus_col").isNotNull()
-               & F.col("pax_col").isNotNull()))
+        .withColumn("reason", F.when(F.col("header_row").isNull(), "no header")
+                    .when(F.col("carrier_col").isNull(), "no carrier column")
+                    .when(F.col("bus_col").isNull() | F.col("pax_col").isNull(), "no measure column")))
+
 
+def sheet_rejects(grid: DataFrame, names: list[str] | None = None, markers: list[str] | None = None,
+                  depth: int | None = HEADER_ROWS, width: int | None = CARRIER_COLUMNS) -> DataFrame:
+    """The sheets that `extract_sheets` leaves out under the same arguments: sheet, year, reason and header row."""
+    return (sheet_layouts(grid, names, markers, depth, width).where(F.col("reason").isNotNull())
+            .select(*SHEET, "reason", "header_row"))
 
-def extract_sheets(grid: DataFrame, names: list[str] | None = None,
-                   markers: list[str] | None = None) -> DataFrame:
+
+def extract_sheets(grid: DataFrame, names: list[str] | None = None, markers: list[str] | None = None,
+                   depth: int | None = HEADER_ROWS, width: int | None = CARRIER_COLUMNS) -> DataFrame:
     """Carrier, bus and passenger text of every data row: sheet, year, row and three values."""
     names = names or CARRIER_NAMES
-    layout = sheet_columns(grid, header_rows(grid, names), markers or CARRIER_COLUMN_MARKERS)
+    layout = sheet_layouts(grid, names, markers, depth, width).where(F.col("reason").isNull()).drop("reason")
 
     def value_of(position: str) -> Column:
         return F.max(F.when(F.col("col_idx") == F.col(position), F.col("value")))
@@ -85,6 +98,16 @@ def extract_sheets(grid: DataFrame, names: list[str] | None = None,
         .where(F.col("Carrier_Name").isin(names)))
 
 
+def label_quality(extracted: DataFrame, fix_year_rollover: bool = True) -> DataFrame:
+    """One row per sheet that was read: its date, whether that is only the default of a label that cannot
+    be parsed, and its rows, those without a number among them."""
+    rows = with_week_ending(extracted.withColumnsRenamed({"sheet": "Week_Label", "year": "Label_Year"}),
+                            fix_year_rollover=fix_year_rollover)
+    missing = to_number("Bus_Text").isNull() | to_number("Passenger_Text").isNull()
+    return rows.groupBy("Week_Label", "Label_Year", "Week_Date", "Week_Date_Defaulted").agg(
+        F.count(F.lit(1)).alias("Rows"), F.count_if(missing).alias("Rows_Without_Number"))
+
+
 def carrier_lookup(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(
         CARRIERS, "Carrier_Name string, Carrier_Full_Name string, Service_Type string")

@@ -45,7 +45,7 @@ def weekly_departures(spark: SparkSession, folder: str) -> DataFrame:
         lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
         .groupBy("Week_Date", "s_nationkey")
         .agg(F.countDistinct("l_orderkey").alias("Bus_Departures"),
-             F.sum("l_quantity").cast("bigint").alias("Passenger_Departures")))
+             F.round(F.sum("l_quantity")).cast("bigint").alias("Passenger_Departures")))
     return (
         weekly.join(nations, weekly.s_nationkey == nations.n_nationkey)
         .join(regions, nations.n_regionkey == regions.r_regionkey)
@@ -127,6 +127,40 @@ def sheet_grid(staging: DataFrame) -> DataFrame:
     return rows.select("sheet", "year", F.inline(cells))
 
 
+#: Of nine sheets in a row, which is faulty in what way.
+FAULTS = {"no header": 0, "no carrier column": 1, "no measure column": 2, "label": 3, "number": 4}
+
+
+def faulty_grid(staging: DataFrame) -> DataFrame:
+    """`sheet_grid` with faults in five of nine sheets: only a title, no names, a heading renamed, a label
+    that cannot be parsed, a number that is none."""
+    kinds = with_week_label(staging).select(
+        F.col("Week_Label").alias("sheet"), F.col("Label_Year").alias("year"),
+        F.pmod(F.floor(F.unix_date("Week_Date") / 7), F.lit(9)).alias("kind")).distinct()
+    row, col = F.col("row_idx"), F.col("col_idx")
+
+    def has(fault: str) -> Column:
+        return F.col("kind") == FAULTS[fault]
+
+    return (
+        sheet_grid(staging).join(kinds, ["sheet", "year"])
+        .where(~(has("no header") & (row >= 2)) & ~(has("no carrier column") & (row > 2) & (col == 0)))
+        .withColumn("value", F.when(has("no measure column") & (row == 2) & (col == 2), "People")
+                    .when(has("number") & (row == 3) & (col == 1), "n/a").otherwise(F.col("value")))
+        .withColumn("sheet", F.when(has("label"), F.replace("sheet", F.lit("-"), F.lit(" to "))).otherwise(F.col("sheet")))
+        .drop("kind"))
+
+
+def conflicting_staging(staging: DataFrame) -> DataFrame:
+    """Staging rows of which some weeks and carriers contradict themselves."""
+    odd = (F.col("Year") == 1996) & (F.col("Week_of_Year") % 2 == 1)
+    return staging.withColumns({
+        "Carrier_Full_Name": F.when(odd & F.col("Carrier_Name").endswith("3"), F.concat("Carrier_Name", F.lit(" Bus")))
+        .otherwise(F.col("Carrier_Full_Name")),
+        "Is_Holiday": F.when((F.col("Week_of_Year") == 10) & F.col("Carrier_Name").endswith("7"), "True")
+        .otherwise(F.col("Is_Holiday"))})
+
+
 def order_feed(spark: SparkSession, folder: str) -> DataFrame:
     """A second feed without passengers: orders per week and priority."""
     orders = table(spark, folder, "orders")

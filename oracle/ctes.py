@@ -180,6 +180,9 @@ CTES: dict[str, str] = {
             COVID_Period, Economic_Period, Is_COVID_Period, Is_High_Inflation, Days_Since_Pandemic_Start,
             Is_Holiday, Is_Tourism_Peak, NYC_Event
         FROM att LEFT JOIN bas USING (Carrier_Name, Week_of_Year)""",
+    "bad": """SELECT Week_Date, Carrier_Name, CASE WHEN Year = 1996 AND Week_of_Year % 2 = 1 AND Carrier_Name LIKE '%3'
+                THEN Carrier_Name || ' Bus' ELSE Carrier_Full_Name END AS Full_Name,
+            CASE WHEN Week_of_Year = 10 AND Carrier_Name LIKE '%7' THEN 'True' ELSE Is_Holiday END AS Is_Holiday FROM att""",
     # dimensions
     "dd": f"""SELECT DISTINCT CAST(strftime(Week_Date, '%Y%m%d') AS INTEGER) AS Date_Key, Week_Date, Year, Quarter,
             Month, Month_Name, Week_of_Year, Season, {flag("Is_Holiday")} AS Is_Holiday,

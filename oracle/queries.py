@@ -97,6 +97,19 @@ _BODIES: dict[str, str] = {
     "weekly_source": "SELECT * FROM wk",
     "sheet_extract": """SELECT Carrier_Name, Carrier_Full_Name, Service_Type, Week_Label, Week_Date, Bus_Departures,
         Passenger_Departures, Passengers_Per_Bus FROM con""",
+    "sheet_rejects": """SELECT DISTINCT Week_Label AS sheet, Label_Year AS year, CASE kind WHEN 0 THEN 'no header'
+            WHEN 1 THEN 'no carrier column' ELSE 'no measure column' END AS reason,
+            CAST(CASE WHEN kind > 0 THEN 2 END AS INTEGER) AS header_row
+        FROM (SELECT *, (date_diff('day', DATE '1970-01-01', Week_Date) // 7) % 9 AS kind FROM lab) WHERE kind <= 2""",
+    "label_quality": """SELECT CASE WHEN kind = 3 THEN replace(Week_Label, '-', ' to ') ELSE Week_Label END AS Week_Label, Label_Year,
+            CASE WHEN kind = 3 THEN make_date(Label_Year, 1, 1) ELSE Week_Date END AS Week_Date, kind = 3 AS Week_Date_Defaulted,
+            count(*) AS Rows, CASE WHEN kind = 4 THEN 1 ELSE 0 END::BIGINT AS Rows_Without_Number
+        FROM (SELECT *, (date_diff('day', DATE '1970-01-01', Week_Date) // 7) % 9 AS kind FROM lab) WHERE kind > 2
+        GROUP BY Week_Label, Label_Year, Week_Date, kind""",
+    "dim_conflicts": """SELECT 'dim_carrier' AS dimension, Carrier_Name AS member, 'Carrier_Full_Name' AS attribute, count(DISTINCT Full_Name) AS n_values
+        FROM bad GROUP BY Carrier_Name HAVING count(DISTINCT Full_Name) > 1
+        UNION ALL SELECT 'dim_date', CAST(Week_Date AS VARCHAR), 'Is_Holiday', count(DISTINCT Is_Holiday)
+        FROM bad GROUP BY Week_Date HAVING count(DISTINCT Is_Holiday) > 1""",
     "consolidate_union": """SELECT Carrier_Name, Week_Date, Bus_Departures, Passenger_Departures, 'departures' AS Feed FROM cal
       UNION ALL SELECT o_orderpriority, CAST(date_trunc('week', o_orderdate) + INTERVAL 4 DAY AS DATE), count(*),
              CAST(NULL AS BIGINT), 'orders' FROM orders GROUP BY 1, 2

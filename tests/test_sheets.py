@@ -4,7 +4,7 @@ from datetime import date
 
 import pytest
 from farebox.schemas import SHEET_GRID
-from farebox.sources.sheets import consolidate, extract_sheets
+from farebox.sources.sheets import consolidate, extract_sheets, label_quality, sheet_rejects
 
 
 def grid(spark, *sheets):
@@ -95,3 +95,24 @@ def test_one_sheet_holding_most_cells(spark):
     small = [(f"Feb {d}-{d + 4}", 2021, [HEAD, ["Martz", d, d]]) for d in range(1, 20)]
     got = extracted(grid(spark, ("Jan 4-8", 2021, big), *small))
     assert len(got) == 2019
+
+
+def test_rejects_tell_why_and_limits_can_be_moved(spark):
+    deep = [["x"]] * 40 + [HEAD, ["Academy", 3, 7]]
+    far = [["Total"] + [None] * 10 + ["Bus", "Passenger", "Name"], ["x"] + [None] * 10 + [3, 7, "Academy"]]
+    df = grid(spark, ("Jan 4-8", 2021, [HEAD, ["Academy", 3, 7]]), ("a", 2021, [["nothing"], ["here"]]), ("b", 2021, deep),
+              ("c", 2021, far), ("d", 2021, [["Total", "Coaches", "Passenger"], ["Academy", 3, 7]]))
+    found = lambda **k: {(r.sheet, r.reason, r.header_row) for r in sheet_rejects(df, **k).collect()}
+    d = ("d", "no measure column", 0)
+    assert found() == {("a", "no header", None), ("b", "no header", None), ("c", "no carrier column", 0), d}
+    assert found(depth=None) == {("a", "no header", None), ("c", "no carrier column", 0), d}
+    assert found(depth=41, width=None) == {("a", "no header", None), d}
+    read = {r.sheet for r in extract_sheets(df, depth=None, width=None).collect()}
+    assert read == {"Jan 4-8", "b", "c"} and {r.sheet for r in extract_sheets(df).collect()} == {"Jan 4-8"}
+
+
+def test_labels_that_default_and_rows_without_number_are_counted(spark):
+    df = grid(spark, ("Jan 4-8", 2021, [HEAD, ["Academy", 3, 7], ["Martz", "n/a", 1]]), ("Week 9", 2021, [HEAD, ["Academy", 3, 7]]))
+    out = {r.Week_Label: tuple(r)[1:] for r in label_quality(extract_sheets(df)).collect()}
+    assert out == {"Jan 4-8": (2021, date(2021, 1, 8), False, 2, 1), "Week 9": (2021, date(2021, 1, 1), True, 1, 0)}
+    assert label_quality(extract_sheets(df.where("false"))).collect() == []

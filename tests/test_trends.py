@@ -1,6 +1,9 @@
 """Baseline, recovery, week-over-week and moving averages."""
 
+from datetime import date
+
 from farebox.operators import kpis, trends
+from pyspark.sql import functions as F
 from tests.helpers import staging, week
 
 
@@ -84,3 +87,19 @@ def test_indicators(spark):
         200.0, 97.5, -51.25)
     yoy = {(r.Carrier_Name, r.Year): r.Growth_Percent for r in kpis.carrier_yoy(src).collect()}
     assert yoy[("A", 2021)] is None  # 2020 is missing
+
+
+def test_a_carrier_twice_in_a_week_is_one_row_before_trends(spark):
+    """Also parts of a bus are rounded, not cut, and rows without a key stay apart."""
+    from farebox.plans.jobs import derive_staging
+    from farebox.sources.sheets import consolidate
+    lines = [("Jan 4-8", 2021, "Academy", "2.9", "100"), ("Jan 4-8", 2021, "Academy", "1", "20"),
+             ("Jan 11-15", 2021, "Academy", "n/a", "150"), ("Jan 11-15", 2021, "Martz", "4", "n/a")]
+    extracted = spark.createDataFrame(lines, "sheet string, year int, Carrier_Name string, Bus_Text string, Passenger_Text string")
+    out = derive_staging(consolidate(extracted), [("2020-03-01", "During")], "Pre", [("2022-01-01", "High")], "Stable",
+                         date(2020, 3, 1), ["During"], ["High"], baseline_year=2021)
+    got = {(r.Carrier_Name, r.Week_Date): (r.Bus_Departures, r.Passenger_Departures, r.Passenger_WoW_Change) for r in out.collect()}
+    assert got == {("Academy", date(2021, 1, 8)): (4, 120, None), ("Academy", date(2021, 1, 15)): (None, 150, 30),
+                   ("Martz", date(2021, 1, 15)): (4, None, None)}
+    loose = trends.one_row_per_week(consolidate(extracted).withColumn("Carrier_Name", F.lit(None).cast("string")))
+    assert loose.count() == 4
