@@ -141,18 +141,26 @@ UNIQUE_KEYS = {
 }
 
 
-def duplicate_keys(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return repeated.agg(
-        F.lit(f"{name} ({', '.join(keys)})").alias("Check_Type"),
-        F.count(F.lit(1)).alias("Issue_Count"))
-
-
 def check_unique_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """Repeated primary and natural keys of every given table."""
-    checks = union_frames(*[
-        duplicate_keys(df, name, keys) for name, df in tables.items() for keys in UNIQUE_KEYS[name]])
-    return checks.withColumn("Status", F.when(F.col("Issue_Count") == 0, PASS).otherwise(FAIL))
+    """Repeated primary and natural keys of every given table.
+
+    Each table is read once, its rows stacked as (check, key) for all its keys; one grouping counts them all,
+    partial counts first. A key is its columns by name, so a missing value is a value of its own.
+    """
+    checks = [(name, keys) for name in tables for keys in UNIQUE_KEYS[name]]
+    stacked = [
+        df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("check"), F.to_json(F.struct(*keys)).alias("key"))
+            for i, (table, keys) in enumerate(checks) if table == name])))
+        for name, df in tables.items()]
+    repeated = (union_frames(*stacked).groupBy("check", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                .groupBy("check").agg(F.count(F.lit(1)).alias("found")))
+    spark = next(iter(tables.values())).sparkSession
+    every = spark.createDataFrame([(i, f"{name} ({', '.join(keys)})") for i, (name, keys) in enumerate(checks)],
+                                  "check int, Check_Type string")
+    count = F.coalesce("found", F.lit(0)).cast("bigint")
+    return every.join(repeated, "check", "left").select(
+        "Check_Type", count.alias("Issue_Count"), F.when(count == 0, PASS).otherwise(FAIL).alias("Status"))
 
 
 def fact_fanout_check(src: DataFrame, dim_weather: DataFrame) -> DataFrame:

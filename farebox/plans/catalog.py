@@ -598,6 +598,20 @@ def check_unique_keys(spark, folder):
     return quality.check_unique_keys(tables | {"fact": facts} | landing.summary_tables(spark, folder))
 
 
+@query
+def repeated_key_findings(spark, folder):
+    """The same check over tables in which some rows stand twice."""
+    _, tables, facts = landing.warehouse(spark, folder)
+    whole = tables | {"fact": facts} | landing.summary_tables(spark, folder)
+    twice = {
+        "dim_date": F.col("Date_Key") % 3 == 1, "dim_carrier": F.col("Carrier_Key") % 3 == 1,
+        "dim_weather": F.col("Weather_Key") % 3 == 1, "dim_status": F.col("COVID_Key") % 3 == 1,
+        "dim_event": F.col("Event_Key") % 3 == 1, "dim_service_type": F.col("Service_Type_Key") % 3 == 1,
+        "fact": F.col("Fact_Key") % 97 == 1, "monthly": F.col("Month") == 2, "quarterly": F.col("Quarter") == 3,
+        "period": F.col("COVID_Period") == "Post", "performance": F.col("Carrier_Name").endswith("1")}
+    return quality.check_unique_keys({name: df.union(df.where(twice[name])) for name, df in whole.items()})
+
+
 @query
 def period_loss_check(spark, folder):
     _, tables, facts = landing.warehouse(spark, folder)

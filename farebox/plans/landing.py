@@ -36,12 +36,12 @@ _drop = threading.Lock()
 #: The tables that all landed ones derive from.
 INPUTS = ["lineitem", "orders", "supplier", "nation", "region", "events"]
 
-#: Stored summaries: how each is made, and its declared schema.
+#: Stored summaries: the grouping set that holds each, and its declared schema.
 SUMMARIES = {
-    "monthly": (summaries.monthly_carrier_summary, MONTHLY_SUMMARY),
-    "quarterly": (summaries.quarterly_summary, QUARTERLY_SUMMARY),
-    "period": (summaries.period_impact_summary, PERIOD_SUMMARY),
-    "performance": (summaries.carrier_performance, CARRIER_PERFORMANCE),
+    "monthly": ("monthly", MONTHLY_SUMMARY),
+    "quarterly": ("quarterly", QUARTERLY_SUMMARY),
+    "period": ("period", PERIOD_SUMMARY),
+    "performance": ("carrier", CARRIER_PERFORMANCE),
 }
 
 
@@ -88,7 +88,7 @@ def input_state(spark: SparkSession, folder: str, refresh: bool = False) -> str:
 
 
 def land(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame],
-         refresh: bool = False) -> DataFrame:
+         refresh: bool = False, partition_by: list[str] | None = None) -> DataFrame:
     """The table `name` of this input folder, built and written on first use.
 
     Without a shared folder the plan itself is returned and nothing is written.
@@ -108,7 +108,7 @@ def land(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFr
             return build()
         # a new folder per build: frames read from an earlier one stay valid
         path = f"{shared}/farebox/{app}/{name}-{uuid.uuid4().hex[:12]}"
-        df = write_and_read(build(), path)
+        df = write_and_read(build(), path, partition_by)
         _landed[key] = (path, df.schema)
         return df
 
@@ -142,8 +142,12 @@ def warehouse(spark: SparkSession, folder: str,
 
 
 def summary_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The four summaries as stored, each under its declared schema."""
+    """The four summaries as stored, each under its declared schema.
+
+    One pass over the star makes them all, as grouping sets in one table partitioned by summary: reading one
+    reads its folder only.
+    """
     _, dims, facts = warehouse(spark, folder)
-    star = star_read(facts, dims)
-    return {name: land(spark, folder, f"summary_{name}", lambda build=build, schema=schema: conform(build(star), schema))
-            for name, (build, schema) in SUMMARIES.items()}
+    sets = land(spark, folder, "summaries", lambda: summaries.summary_grouping_sets(star_read(facts, dims)),
+                partition_by=["Summary"])
+    return {name: conform(sets.where(F.col("Summary") == label), schema) for name, (label, schema) in SUMMARIES.items()}

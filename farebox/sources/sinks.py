@@ -54,8 +54,8 @@ def _swap(spark: SparkSession, new: str, path: str) -> None:
         store.delete(old, True)
 
 
-def write_and_read(df: DataFrame, path: str) -> DataFrame:
+def write_and_read(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write the table and continue from the files, with their measured size and short lineage."""
     spark: SparkSession = df.sparkSession
-    write_table(df, path)
+    write_table(df, path, partition_by=partition_by)
     return spark.read.schema(df.schema).parquet(path)

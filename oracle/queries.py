@@ -46,6 +46,18 @@ def _unique(name: str, table: str, keys: str) -> str:
             f"FROM (SELECT {keys} FROM ({inner}) GROUP BY {keys} HAVING count(*) > 1)")
 
 
+TWICE = {
+    "dim_date": "Date_Key % 3 = 1", "dim_carrier": "Carrier_Key % 3 = 1", "dim_weather": "Weather_Key % 3 = 1",
+    "dim_status": "COVID_Key % 3 = 1", "dim_event": "Event_Key % 3 = 1", "dim_service_type": "Service_Type_Key % 3 = 1",
+    "fact": "Fact_Key % 97 = 1", "monthly": "Month = 2", "quarterly": "Quarter = 3", "period": "COVID_Period = 'Post'",
+    "performance": "Carrier_Name LIKE '%1'"}
+
+
+def _unique_twice(name: str, table: str, keys: str) -> str:
+    base = f"(SELECT DISTINCT {keys} FROM star)" if table == "star" else table
+    return _unique(name, f"(SELECT * FROM {base} UNION ALL SELECT * FROM {base} WHERE {TWICE[name]})", keys)
+
+
 def _foreign(key: str, name: str, table: str) -> str:
     return (f"SELECT '{key} in {name}' AS Check_Type, count(*) AS Issue_Count, {PASS_FAIL.format('count(*)')} AS Status "
             f"FROM fact f WHERE f.{key} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {table} k WHERE k.{key} = f.{key})")
@@ -270,6 +282,7 @@ _BODIES: dict[str, str] = {
              ELSE '{WARNING}' END AS Status FROM cal""",
     "check_referential": _union([_foreign(*f) for f in FOREIGN]),
     "check_unique_keys": _union([_unique(*u) for u in UNIQUE]),
+    "repeated_key_findings": _union([_unique_twice(*u) for u in UNIQUE]),
     "period_loss_check": f"""SELECT count(*) AS Fact_Rows, count(*) FILTER (COVID_Key IS NULL) AS Lost_Rows,
         coalesce(CAST(sum(Passenger_Departures) FILTER (COVID_Key IS NULL) AS BIGINT), 0) AS Lost_Passengers,
         {PASS_WARN.format("count(*) FILTER (COVID_Key IS NULL)")} AS Status FROM fact""",
