@@ -21,7 +21,7 @@ from farebox.operators import (
     additive, dims, fact, features, forecast, kpis, quality, rows, summaries, trends)
 from farebox.plans import landing
 from farebox.session import shared_dir
-from farebox.sources import readers, sheets, sinks, weekly_feed
+from farebox.sources import readers, sheets, sinks, versions, weekly_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,6 +163,16 @@ def sink_table_roundtrip(spark, folder):
     return spark.read.parquet(path)
 
 
+@query
+def table_reload(spark, folder):
+    """A published table after its reload: the first load's rows are gone."""
+    path = _scratch(spark, "reloaded")
+    totals = forecast.weekly_totals(_src(spark, folder))
+    first = versions.publish(totals.withColumn("Bus_Departures", -F.col("Bus_Departures")), path)
+    versions.publish(first.withColumn("Bus_Departures", -F.col("Bus_Departures")).select(*totals.columns), path)
+    return readers.read_table(spark, path)
+
+
 @query
 def stage_source(spark, folder):
     return weekly_feed.staging_rows(weekly_feed.weekly_departures(spark, folder))

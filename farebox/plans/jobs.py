@@ -16,7 +16,8 @@ from farebox.operators.fact import load_fact, star_read, with_load_stamp
 from farebox.operators.trends import one_row_per_week, with_trends
 from farebox.schemas import STAGING, as_text_flag, conform
 from farebox.sources.sheets import consolidate, extract_sheets, label_quality, sheet_rejects
-from farebox.sources.sinks import write_and_read, write_csv
+from farebox.sources.sinks import write_csv
+from farebox.sources.versions import publish
 
 
 Periods = list[tuple[str, str | None]]
@@ -77,13 +78,14 @@ def consolidate_job(grid: DataFrame, out: str, fix_year_rollover: bool = True) -
 def warehouse_job(rows: DataFrame, out: str) -> dict[str, DataFrame]:
     """Staging, six dimensions, fact, four summaries and the ranking, each replaced in `out`.
 
-    Every table is read back from its files before the next is built from it.
+    Every table is read back from its files before the next is built from it. A rerun publishes new versions
+    (`sources.versions`): `readers.read_table` finds whole rows at any time.
     """
-    tables = {"staging": write_and_read(stage(rows), f"{out}/staging")}
+    tables = {"staging": publish(stage(rows), f"{out}/staging")}
     src = tables["staging"]
-    dims = {name: write_and_read(df, f"{out}/{name}") for name, df in load_dimensions(src).items()}
-    fact = write_and_read(with_load_stamp(load_fact(src, dims)), f"{out}/fact")
-    star = write_and_read(star_read(fact, dims), f"{out}/star")
+    dims = {name: publish(df, f"{out}/{name}") for name, df in load_dimensions(src).items()}
+    fact = publish(with_load_stamp(load_fact(src, dims)), f"{out}/fact")
+    star = publish(star_read(fact, dims), f"{out}/star")
     results = {
         "monthly_carrier_summary": summaries.monthly_carrier_summary(star),
         "quarterly_summary": summaries.quarterly_summary(star),
@@ -91,14 +93,14 @@ def warehouse_job(rows: DataFrame, out: str) -> dict[str, DataFrame]:
         "carrier_performance": summaries.rank_performance(summaries.carrier_performance(star)),
     }
     return tables | dims | {"fact": fact} | {
-        name: write_and_read(df, f"{out}/{name}") for name, df in results.items()}
+        name: publish(df, f"{out}/{name}") for name, df in results.items()}
 
 
 def forecast_job(src: DataFrame, out: str, baseline_year: int = BASELINE_YEAR,
                  weeks: int = FORECAST_WEEKS, importance: bool = True) -> None:
     """All forecast outputs as CSV folders; the two forecasts are written once and reused."""
-    weekly = write_and_read(forecast.forecast_overall(src, weeks), f"{out}/weekly_forecast_table")
-    carriers = write_and_read(forecast.forecast_by_carrier(src, weeks), f"{out}/carrier_forecast_table")
+    weekly = publish(forecast.forecast_overall(src, weeks), f"{out}/weekly_forecast_table")
+    carriers = publish(forecast.forecast_by_carrier(src, weeks), f"{out}/carrier_forecast_table")
     annual = forecast.forecast_annual(weekly)
     write_csv(weekly.orderBy("ds"), f"{out}/weekly_passenger_forecast")
     write_csv(annual.orderBy("Year"), f"{out}/annual_passenger_forecast")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from farebox.functions.calendar import safe_date
 from farebox.schemas import CONSOLIDATED, conform
+from farebox.sources.versions import current
 
 
 def read_weekly_csv(spark: SparkSession, path: str, schema: T.StructType = CONSOLIDATED,
@@ -34,8 +35,9 @@ def read_weekly_csv(spark: SparkSession, path: str, schema: T.StructType = CONSO
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of a table: those that were published last, or all files of a plain folder."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return reader.parquet(current(spark, path) or path)
 
 
 def read_query(spark: SparkSession, url: str, query: str, partition_column: str | None = None,

@@ -19,6 +19,17 @@ def write_csv(df: DataFrame, path: str, date_format: str = "yyyy-MM-dd") -> None
     df.write.mode("overwrite").option("header", True).option("dateFormat", date_format).csv(path)
 
 
+def prepared(df: DataFrame, mapping: dict[str, str] | None = None, schema: T.StructType | None = None,
+             partition_by: list[str] | None = None) -> DataFrame:
+    """The rows as a sink writes them: columns renamed, in order and typed, dealt by partition folder."""
+    out = rename(df, mapping) if mapping else df
+    out = conform(out, schema) if schema else out
+    if partition_by:
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in out.columns]), F.lit(FILES_PER_FOLDER))
+        out = out.repartition(*[F.col(f"`{c}`") for c in partition_by], salt)
+    return out
+
+
 def write_table(df: DataFrame, path: str, mapping: dict[str, str] | None = None,
                 schema: T.StructType | None = None, partition_by: list[str] | None = None) -> None:
     """Replace the table at `path` once its new rows are written.
@@ -28,11 +39,7 @@ def write_table(df: DataFrame, path: str, mapping: dict[str, str] | None = None,
     fixes their order and types. With `partition_by` rows are dealt by those columns and a
     salt, so that each folder gets few files and a large one is not written by one task.
     """
-    out = rename(df, mapping) if mapping else df
-    out = conform(out, schema) if schema else out
-    if partition_by:
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in out.columns]), F.lit(FILES_PER_FOLDER))
-        out = out.repartition(*[F.col(f"`{c}`") for c in partition_by], salt)
+    out = prepared(df, mapping, schema, partition_by)
     new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:12]}"
     out.write.partitionBy(*(partition_by or [])).parquet(new)
     _swap(df.sparkSession, new, path.rstrip("/"))

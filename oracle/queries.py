@@ -129,6 +129,7 @@ _BODIES: dict[str, str] = {
              count(*), 'events' FROM events GROUP BY 1, 2""",
     "source_load": "SELECT Carrier_Name, Week_Date, Year, Bus_Departures, Passenger_Departures, Season, Is_Summer_Peak FROM con",
     "sink_csv_roundtrip": "SELECT * FROM tot",
+    "table_reload": "SELECT * FROM tot",
     "sink_table_roundtrip": f"SELECT Month, Carrier_Name, {TOTALS}, {MEAN_RATIO} AS Avg_Passengers_Per_Bus, Year FROM star GROUP BY Year, Month, Carrier_Name",
     "stage_source": "SELECT * FROM stg",
     # projections and filters

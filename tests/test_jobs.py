@@ -6,7 +6,7 @@ import pytest
 from farebox import session
 from farebox.plans import jobs, landing
 from farebox.schemas import CONSOLIDATED
-from farebox.sources import readers, sinks
+from farebox.sources import readers, sinks, versions
 from pyspark.sql import Observation
 from tests.helpers import rows, staging, week
 from tests.test_forecast import history
@@ -107,6 +107,68 @@ def test_landing_builds_once_refreshes_and_survives_cleaning(spark, tmp_path, mo
     assert landing.land(spark, key, "other", build).count() == 4
 
 
+def test_publishing_survives_a_failure_between_any_two_steps(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    load = lambda n: versions.publish(spark.range(n), path)
+    read = lambda: readers.read_table(spark, path).count()
+
+    def stop(*_):
+        raise OSError("stop")
+
+    load(1)
+    assert read() == 1
+    with pytest.raises(Exception, match="stop"):  # while rows are written
+        versions.publish(spark.range(2).selectExpr("raise_error('stop') as id"), path)
+    assert read() == 1
+    with monkeypatch.context() as m, pytest.raises(OSError):  # rows are there, the pointer is not
+        m.setattr(versions, "_point", stop)
+        load(3)
+    assert read() == 1
+    half = tmp_path / "t" / "_pointers" / "000000000900"
+    half.write_text("000000000900-cut")  # a pointer without its end
+    assert read() == 1
+    half.unlink()
+    with monkeypatch.context() as m, pytest.raises(OSError):  # published, nothing reclaimed
+        m.setattr(versions, "_reclaim", stop)
+        load(4)
+    assert read() == 4
+    before = readers.read_table(spark, path)
+    load(5)
+    assert read() == 5 and before.count() == 4  # a reader of the last load is not cut off
+    assert len(list((tmp_path / "t" / "_versions").iterdir())) == versions.KEEP  # failed and older loads are gone
+    assert len([p for p in (tmp_path / "t" / "_pointers").iterdir() if p.name.isdigit()]) == versions.KEEP
+
+
+def test_a_second_load_at_once_fails_and_leaves_the_first(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    versions.publish(spark.range(1), path)
+    real = versions._point
+
+    def other_first(s, p, number, folder):
+        monkeypatch.setattr(versions, "_point", real)
+        versions.publish(spark.range(7), path) if number == 2 else None
+        real(s, p, number, folder)
+
+    monkeypatch.setattr(versions, "_children", lambda s, p, f=versions._children: [n for n in f(s, p) if "000000000002" not in n])
+    monkeypatch.setattr(versions, "_reclaim", lambda *_: None)
+    monkeypatch.setattr(versions, "_point", other_first)
+    with pytest.raises(Exception, match="(?i)exist"):
+        versions.publish(spark.range(3), path)
+    monkeypatch.undo()
+    assert readers.read_table(spark, path).count() == 7
+
+
+def test_publishing_renames_conforms_and_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(2020, 5), (2021, 6)], "Year int, `Total n` bigint")
+    versions.publish(df, path, mapping={"Total n": "n"}, partition_by=["Year"])
+    out = versions.publish(readers.read_table(spark, path).selectExpr("Year", "n + 1 as n"), path, partition_by=["Year"])
+    assert sorted((r.Year, r.n) for r in out.collect()) == [(2020, 6), (2021, 7)]
+    plain = str(tmp_path / "plain")
+    df.write.parquet(plain)
+    assert readers.read_table(spark, plain).count() == 2
+
+
 def test_input_is_fingerprinted_once_and_on_refresh(spark, tmp_path, monkeypatch):
     """A nested partition counts, content is not read, and repeated use costs no listing."""
     folder = str(tmp_path)
