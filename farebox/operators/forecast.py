@@ -208,14 +208,22 @@ def carrier_forecast_summary(annual: DataFrame, full_years_only: bool = True) ->
             .orderBy(F.desc("Avg_Annual_Passengers"), "Carrier"))
 
 
-def busiest_weeks(forecast: DataFrame) -> DataFrame:
-    return (forecast.groupBy(F.col("Week").alias("Week_of_Year"))
+def _in_full_years(forecast: DataFrame, only: bool) -> DataFrame:
+    """Weeks of the years that the forecast covers from the first to the last Sunday."""
+    if not only:
+        return forecast
+    years = forecast.groupBy("Year").agg(_is_full_year().alias("full")).where("full").select("Year")
+    return forecast.join(years, "Year", "left_semi")
+
+
+def busiest_weeks(forecast: DataFrame, full_years_only: bool = True) -> DataFrame:
+    return (_in_full_years(forecast, full_years_only).groupBy(F.col("Week").alias("Week_of_Year"))
             .agg(_mean("yhat").alias("Avg_Passengers"))
             .orderBy(F.desc("Avg_Passengers"), "Week_of_Year"))
 
 
-def busiest_months(forecast: DataFrame) -> DataFrame:
-    return (forecast.groupBy("Month")
+def busiest_months(forecast: DataFrame, full_years_only: bool = True) -> DataFrame:
+    return (_in_full_years(forecast, full_years_only).groupBy("Month")
             .agg(_mean("yhat").alias("Avg_Passengers"))
             .withColumn("Month_Name", F.date_format(
                 F.make_date(F.lit(2000), F.col("Month"), F.lit(1)), "MMMM"))

@@ -38,6 +38,21 @@ def quarterly_summary(star: DataFrame, include_rollup_rows: bool = False) -> Dat
                  F.countDistinct("Carrier_Name").alias("Unique_Carriers")))
 
 
+def carriers_by_sketch(star: DataFrame, size: int = 14, include_rollup_rows: bool = False) -> DataFrame:
+    """Distinct carriers per quarter twice: from sketches of the months, merged, and exactly.
+
+    A month's sketch has at most 2^size counters however many carriers it saw, and sketches that are kept can be merged
+    to any longer stretch without the rows. Its relative error is about 1.04 / sqrt(2^size), 0.8 % by default.
+    """
+    rows = members_only(star, include_rollup_rows)
+    months = rows.groupBy("Year", "Quarter", "Month").agg(F.hll_sketch_agg("Carrier_Name", size).alias("sketch"))
+    merged = months.groupBy("Year", "Quarter").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("Carriers_Estimate"))
+    exact = (rows.where(F.col("Carrier_Name").isNotNull()).select("Year", "Quarter", "Carrier_Name").distinct()
+             .groupBy("Year", "Quarter").agg(F.count(F.lit(1)).alias("Unique_Carriers")))
+    return merged.join(exact, ["Year", "Quarter"])
+
+
 def period_impact_summary(star: DataFrame, include_rollup_rows: bool = False) -> DataFrame:
     """`Total_Weeks` counts carrier-weeks and `Avg_Weekly_Passengers` is the mean of one;
     `Distinct_Weeks` and `Avg_Passengers_Per_Week` speak of calendar weeks."""

@@ -18,7 +18,7 @@ from farebox.constants import (
     SERVICE_SUFFIX_SHORT)
 from farebox.functions import calendar, measures
 from farebox.operators import (
-    additive, dims, fact, features, forecast, kpis, quality, rows, summaries, trends)
+    additive, dims, fact, features, forecast, kpis, periods, quality, rows, summaries, trends)
 from farebox.plans import landing
 from farebox.session import shared_dir
 from farebox.sources import readers, sheets, sinks, versions, weekly_feed
@@ -328,6 +328,17 @@ def period_classify(spark, folder):
         .alias("Economic_Period"))
 
 
+@query
+def period_table_classify(spark, folder):
+    src = _src(spark, folder)
+    return periods.classify_by_table(src.select(*SERIES), "Week_Date", weekly_feed.quarter_periods(src), "Period")
+
+
+@query
+def period_overlaps(spark, folder):
+    return periods.period_overlaps(weekly_feed.quarter_periods(_src(spark, folder)))
+
+
 @query
 def numeric_coerce(spark, folder):
     """Every grid cell as a number, NULL where it is text; counted per column."""
@@ -451,6 +462,11 @@ def quarterly_summary(spark, folder):
     return summaries.quarterly_summary(_star(spark, folder))
 
 
+@query
+def quarterly_carriers_by_sketch(spark, folder):
+    return summaries.carriers_by_sketch(_star(spark, folder))
+
+
 @query
 def period_impact_summary(spark, folder):
     return summaries.period_impact_summary(_star(spark, folder))
@@ -650,6 +666,12 @@ def feature_correlation(spark, folder):
     return features.feature_correlation(_src(spark, folder))
 
 
+@query
+def top_features(spark, folder):
+    """The ten features that go most with the target."""
+    return features.feature_correlation(_src(spark, folder)).limit(10)
+
+
 @query
 def future_calendar(spark, folder):
     return forecast.future_calendar(forecast.weekly_totals(_src(spark, folder)))

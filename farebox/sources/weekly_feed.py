@@ -151,6 +151,15 @@ def faulty_grid(staging: DataFrame) -> DataFrame:
         .drop("kind"))
 
 
+def quarter_periods(staging: DataFrame) -> DataFrame:
+    """A period per quarter: in even years each runs on into the next, in odd ones there are gaps; the first is open."""
+    quarters = staging.select("Year", "Quarter").distinct()
+    first = F.make_date("Year", F.col("Quarter") * 3 - 2, F.lit(1))
+    begins = F.when(first > staging.select(F.min("Week_Date")).scalar(), first)
+    return quarters.select(begins.alias("first"), F.date_add(first, F.when(F.col("Year") % 2 == 0, 100).otherwise(80)).alias("last"),
+                           F.concat_ws("-Q", "Year", "Quarter").alias("label"))
+
+
 def conflicting_staging(staging: DataFrame) -> DataFrame:
     """Staging rows of which some weeks and carriers contradict themselves."""
     odd = (F.col("Year") == 1996) & (F.col("Week_of_Year") % 2 == 1)

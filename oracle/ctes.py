@@ -183,6 +183,10 @@ CTES: dict[str, str] = {
     "bad": """SELECT Week_Date, Carrier_Name, CASE WHEN Year = 1996 AND Week_of_Year % 2 = 1 AND Carrier_Name LIKE '%3'
                 THEN Carrier_Name || ' Bus' ELSE Carrier_Full_Name END AS Full_Name,
             CASE WHEN Week_of_Year = 10 AND Carrier_Name LIKE '%7' THEN 'True' ELSE Is_Holiday END AS Is_Holiday FROM att""",
+    "span": """SELECT CASE WHEN make_date(Year, Quarter * 3 - 2, 1) > (SELECT min(Week_Date) FROM cal) THEN make_date(Year, Quarter * 3 - 2, 1) END AS first,
+            CASE WHEN Year % 2 = 0 THEN CAST(make_date(Year, Quarter * 3 - 2, 1) + INTERVAL 100 DAY AS DATE)
+                 ELSE CAST(make_date(Year, Quarter * 3 - 2, 1) + INTERVAL 80 DAY AS DATE) END AS last, Year || '-Q' || Quarter AS label
+        FROM (SELECT DISTINCT Year, Quarter FROM cal)""",
     # dimensions
     "dd": f"""SELECT DISTINCT CAST(strftime(Week_Date, '%Y%m%d') AS INTEGER) AS Date_Key, Week_Date, Year, Quarter,
             Month, Month_Name, Week_of_Year, Season, {flag("Is_Holiday")} AS Is_Holiday,
@@ -273,9 +277,9 @@ CTES: dict[str, str] = {
     "annc": f"""SELECT Carrier, Year, {sum4("yhat")} AS Projected_Passengers,
             min(ds) <= make_date(Year, 1, 7) AND max(ds) >= make_date(Year, 12, 25) AS Is_Full_Year
         FROM fc GROUP BY Carrier, Year""",
-    "bw": f"""SELECT Week AS Week_of_Year, {mean4("yhat")} AS Avg_Passengers FROM fo GROUP BY Week""",
+    "bw": f"""SELECT Week AS Week_of_Year, {mean4("yhat")} AS Avg_Passengers FROM fo WHERE Year IN (SELECT Year FROM ann WHERE Is_Full_Year) GROUP BY Week""",
     "bm": f"""SELECT Month, {mean4("yhat")} AS Avg_Passengers,
-            monthname(make_date(2000, Month, 1)) AS Month_Name FROM fo GROUP BY Month""",
+            monthname(make_date(2000, Month, 1)) AS Month_Name FROM fo WHERE Year IN (SELECT Year FROM ann WHERE Is_Full_Year) GROUP BY Month""",
     "feat": f"""SELECT Carrier_Name, Week_Date, Year AS Year_Num, Quarter, Month AS Month_Num, Week_of_Year AS Week_Num,
             Avg_Temp_F, Precipitation_Inches, {flag("Is_Severe_Weather")} AS Is_Severe_Weather,
             {flag("Is_Holiday")} AS Is_Holiday, {flag("Is_Tourism_Peak")} AS Is_Tourism_Peak,

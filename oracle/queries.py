@@ -176,6 +176,11 @@ _BODIES: dict[str, str] = {
         round(CAST(Passenger_Departures AS DOUBLE) / nullif(Bus_Departures, 0), 6) AS Ratio FROM cal""",
     "recovery_percent": "SELECT Carrier_Name, Week_Date, Bus_Recovery_Percent, Passenger_Recovery_Percent FROM stg",
     "period_classify": "SELECT DISTINCT Week_Date, COVID_Period AS Period, Economic_Period FROM att",
+    "period_table_classify": """SELECT Carrier_Name, Week_Date, label AS Period FROM cal
+        LEFT JOIN span ON coalesce(first <= Week_Date, true) AND Week_Date <= last
+        QUALIFY row_number() OVER (PARTITION BY Carrier_Name, Week_Date ORDER BY first DESC NULLS LAST, label DESC) = 1""",
+    "period_overlaps": """SELECT a.first, a.last, a.label, count(*) - 1 AS others FROM span a
+        JOIN span b ON coalesce(b.first <= a.first, true) AND a.first <= b.last GROUP BY ALL HAVING count(*) > 1""",
     "numeric_coerce": """SELECT CAST(c AS INTEGER) AS col_idx, count(*) AS Cells, count(TRY_CAST(v AS DOUBLE)) AS Numbers,
         CAST(sum(TRY_CAST(v AS DOUBLE)) AS BIGINT) AS Total FROM (
           SELECT 0 AS c, Carrier_Name AS v FROM cal UNION ALL SELECT 1, CAST(Bus_Departures AS VARCHAR) FROM cal
@@ -217,6 +222,8 @@ _BODIES: dict[str, str] = {
     "monthly_carrier_summary": f"SELECT Year, Month, Carrier_Name, {SUMMARY} FROM star GROUP BY Year, Month, Carrier_Name",
     "quarterly_summary": f"""SELECT Year, Quarter, {SUMMARY}, count(DISTINCT Carrier_Name) AS Unique_Carriers
         FROM star GROUP BY Year, Quarter""",
+    "quarterly_carriers_by_sketch": """SELECT Year, Quarter, count(DISTINCT Carrier_Name) AS Carriers_Estimate,
+        count(DISTINCT Carrier_Name) AS Unique_Carriers FROM star GROUP BY Year, Quarter""",
     "period_impact_summary": f"""SELECT COVID_Period, CAST(sum(Passenger_Departures) AS BIGINT) AS Total_Passengers,
         {hu("sum(Passenger_Departures)", "count(Passenger_Departures)")} AS Avg_Weekly_Passengers,
         count(Passenger_Departures) AS Total_Weeks, count(DISTINCT Date_Key) AS Distinct_Weeks,
@@ -300,6 +307,10 @@ _BODIES: dict[str, str] = {
     "feature_correlation": _union([
         f"SELECT '{c}' AS Feature, round(covar_pop({c}, Passenger_Departures) / nullif(stddev_pop({c}) "
         f"* stddev_pop(Passenger_Departures), 0), 6) AS Correlation FROM feat" for c in FEATURES]),
+    "top_features": "SELECT * FROM (" + _union([
+        f"SELECT '{c}' AS Feature, round(covar_pop({c}, Passenger_Departures) / nullif(stddev_pop({c}) "
+        f"* stddev_pop(Passenger_Departures), 0), 6) AS Correlation FROM feat" for c in FEATURES])
+        + ") ORDER BY abs(Correlation) DESC NULLS LAST, Feature LIMIT 10",
     "future_calendar": """SELECT ds, CAST(year(ds) AS INTEGER) AS Year, CAST(month(ds) AS INTEGER) AS Month,
         CAST(week(ds) AS INTEGER) AS Week FROM future""",
     "forecast_overall": "SELECT * FROM fo",
