@@ -79,12 +79,12 @@ UNION ALL SELECT doc_id, size, source_size, target, 0::BIGINT FROM rows JOIN pas
 """
 
 _WARC = """
-WITH known AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha, octet_length(encode(coalesce(html, '')))::BIGINT AS n
-    FROM (SELECT DISTINCT page_id, url, html FROM pages)),
-led AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS leader FROM known)
+WITH known AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha, octet_length(encode(coalesce(html, '')))::BIGINT AS n, url FROM pages),
+led AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS leader,
+    row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS place FROM known)
 SELECT page_id, n AS payload_bytes, sha AS payload_digest,
-    CASE WHEN leader IS NOT NULL AND page_id IS DISTINCT FROM leader THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN page_id IS DISTINCT FROM leader THEN leader END AS refers_to
+    CASE WHEN leader IS NOT NULL AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN place > 1 THEN leader END AS refers_to
 FROM led
 """
 

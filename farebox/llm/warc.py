@@ -14,7 +14,8 @@ at most one record in between, and each response or revisit gives one nested row
 
 Defined results: a null html is an empty payload, a null url leaves out the target; a null page
 id is written as none and read back as null (it never stands for others and sorts below any id). Fully
-repeated rows (page id, url and html) carry the same identifier and are one capture. A record
+repeated rows (page id, url and html) are captures of their own: of equal payloads one row is stored, whatever ids
+repeat, and equal rows get numbered identifiers. A record
 whose length runs past its file's end is marked `truncated`; bytes between records are skipped.
 Responses without request or metadata have nulls there; records joined to no response are
 returned by `orphans`. An empty table writes an archive without records.
@@ -73,22 +74,38 @@ def _record(kind: Column | str, rid: Column, uri: Column, content: str, block: C
     return F.concat(F.lit("WARC/1.1" + CRLF), head, F.lit(CRLF), block)
 
 
+def _numbered(known: DataFrame) -> DataFrame:
+    """`known` with `again`: 0, 1, ... over rows that are equal in all columns.
+
+    Equal rows need no order: they are counted, and one of them is written out as often. The others pass by.
+    """
+    own = ["page_id", "url", "sha", "bytes"]
+    repeated = cut(known.groupBy(*own).agg(F.count("*").alias("times")).where("times > 1"), "repeated")
+    same = [known[c].eqNullSafe(repeated[c]) for c in own]
+    single = known.join(repeated, same, "left_anti").withColumn("again", F.lit(0).cast("long"))
+    many = (known.join(repeated, same, "left_semi").groupBy(*own).agg(F.any_value("html").alias("html"), F.count("*").alias("times"))
+            .select("page_id", "url", "html", "sha", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("again")))
+    return single.unionByName(many)
+
+
 def capture_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """One row `value` per record of `pages` (page_id, url, html), without the closing line ends."""
     digest = F.sha1(F.coalesce("html", F.lit("")))
-    known = pages.select(F.col("page_id"), F.col("url"), F.col("html"), digest.alias("sha"),
-                         F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes"))
+    known = _numbered(pages.select(F.col("page_id"), F.col("url"), F.col("html"), digest.alias("sha"),
+                                   F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes")))
     leaders = (known.where(F.col("bytes") >= least).groupBy(F.col("sha").alias("of"), F.col("bytes").alias("size"))
-               .agg(F.max("page_id").alias("leader"), F.count("*").alias("n"),
-                    F.max_by("url", "page_id").alias("leader_url")).where("n > 1"))
+               .agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1")
+               .select("of", "size", F.col("top.page_id").alias("leader"), F.col("top.url").alias("leader_url")))
     rows = known.join(leaders, (known["sha"] == leaders["of"]) & (known["bytes"] == leaders["size"]), "left")
 
     def key(page: Column, url: Column) -> Column:
         return F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("")), F.coalesce(url, F.lit("")), "sha", "bytes")
 
-    revisit = F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader"))
+    first = F.col("page_id").eqNullSafe(F.col("leader")) & F.col("url").eqNullSafe(F.col("leader_url")) & (F.col("again") == 0)
+    revisit = F.col("leader").isNotNull() & ~first
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
-    own = key(F.col("page_id"), F.col("url"))
+    # a row that stands again gets an identifier of its own
+    own = F.concat(key(F.col("page_id"), F.col("url")), F.when(F.col("again") > 0, F.concat(F.lit("|#"), F.col("again").cast("string"))).otherwise(""))
     path = F.coalesce(F.regexp_extract(uri, r"^[a-zA-Z]+://[^/]*(/.*)$", 1), F.lit("/"))
     path = F.when(path == "", F.lit("/")).otherwise(path)
     host = F.regexp_extract(F.coalesce(uri, F.lit("")), r"^[a-zA-Z]+://([^/]*)", 1)

@@ -190,6 +190,13 @@ def test_archive_round_trip_and_odd_archives(spark, tmp_path):
         1: ("revisit", 2, 1500), 2: ("response", None, 1500), None: ("revisit", 2, 1500), 3: ("response", None, 0),
         4: ("response", None, 0), 5: ("response", None, len(inner))}
     assert warc.round_trip(df.where("false")).count() == 0
+    again = spark.createDataFrame([(1, "u", page), (7, "v", page), (7, "v", page), (7, "w", page), (7, "w", page), (8, "s", "a"), (8, "s", "a"),
+                                   (None, None, None), (None, None, None)], df.schema.fieldNames()[:3]).withColumn("again", F.lit(5))
+    shown = sorted((tuple(r)[0:1] + tuple(r)[3:] for r in warc.summary(warc.round_trip(again)).collect()), key=str)
+    assert shown == sorted([(1, "revisit", 7), (7, "revisit", 7), (7, "revisit", 7), (7, "revisit", 7), (7, "response", None),
+                            (8, "response", None), (8, "response", None), (None, "response", None), (None, "response", None)], key=str)
+    ids = [r.capture_id for r in warc.round_trip(again).collect()]
+    assert len(set(ids)) == 9
     import gzip
 
     def record(kind, rid, *more, body=b"hello"):
