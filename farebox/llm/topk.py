@@ -12,13 +12,16 @@ Every query group meets every block in a task of its own; only k rows a query le
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without
 vec_id, take no part. Of repeated vec_ids the smallest vector counts. Vectors of unequal length are filled up by
-zeros. Ties go to the smaller vec_id. Components of 2^22 or more in size are refused by ValueError, since
-integer sums could overflow.
+zeros. Ties go to the smaller vec_id. Sums in doubles and 64-bit numbers are exact while width times the square of the
+largest component stays below 2^51; vectors beyond that, as queries or as rows, are compared in unbounded whole numbers with all
+others. A score beyond 64 bits is ranked rightly and shown as null (beyond 38 digits such scores tie).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -30,20 +33,25 @@ from farebox.llm.common import cut
 
 K, SCALE = 5, 256
 BLOCK, GROUP, LANES, LEVELS = 4096, 512, 64, 24
-LARGEST = (1 << 22) * 256
+#: Width times the square of the largest component up to which the index and its sums are exact.
+EXACT = 1 << 51
+_DIGITS = 10 ** 38 - 1
 
 
 def integers(vector: Column, scale: int = SCALE) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    """floor(scale * x) as doubles; from 2^53 on a double is a whole number itself."""
+    def whole(x: Column) -> Column:
+        y = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vector, whole)
 
 
 def vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id and integer vector v of the rows that take part, one per vec_id."""
+    """vec_id and the vector v of whole numbers (as doubles) of the rows that take part, one per vec_id."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     fit = rows.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull()).where(whole)
-    small = F.forall(vector, lambda x: F.abs(x.cast("double")) < float(LARGEST // 256))
-    checked = F.when(small, integers(F.col(vector))).otherwise(F.raise_error(F.lit("component too large")).cast("array<bigint>"))
-    return fit.select("vec_id", checked.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return fit.select("vec_id", integers(F.col(vector)).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 class Index:
@@ -105,6 +113,17 @@ class Index:
         return out
 
 
+def compare(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int = K) -> list[tuple[int, np.ndarray, list[int]]]:
+    """As `Index.search`, by comparing every row in unbounded whole numbers."""
+    whole = np.array([[int(v) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+    out = []
+    for j, query in enumerate(queries.tolist()):
+        score = whole @ np.array([int(v) for v in query], dtype=object)
+        best = sorted((-int(s), int(i)) for s, i in zip(score, ids.tolist()) if i != own[j])[:k]
+        out.append((j, np.array([i for _, i in best], dtype=np.int64), [-s for s, _ in best]))
+    return out
+
+
 def _matrix(flat: np.ndarray, width: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.int64).reshape(-1, width)
 
@@ -112,10 +131,32 @@ def _matrix(flat: np.ndarray, width: int) -> np.ndarray:
 def top_k(rows: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each row of `rows` (vec_id, v) with `is_query`."""
     rows = cut(rows, "vectors")
-    n, asked, width = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("v"))).first()
-    blocks, groups = -(-n // block) or 1, -(-asked // group) or 1
-    width = max(width or 0, 1)
-    filled = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))
+    width = max(rows.agg(F.max(F.size("v"))).first()[0] or 0, 1)
+    limit = float(math.isqrt(EXACT // width))
+    rows = rows.withColumn("small", F.forall("v", lambda x: F.abs(x) <= limit))
+    sizes = {r["small"]: r for r in rows.groupBy("small").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("asked")).collect()}
+
+    def pieces(small: bool) -> tuple[int, int]:
+        r = sizes.get(small)
+        return (-(-r["n"] // block) or 1, -(-r["asked"] // group) or 1) if r else (1, 1)
+
+    small = rows.where("small")
+    best = _best(small, small.where(is_query), *pieces(True), width, k, exact=False)
+    if False in sizes:  # vectors whose sums need unbounded numbers
+        large = rows.where("not small")
+        every = pieces(True)[1] + pieces(False)[1]
+        best = best.withColumn("score", F.col("score").cast("decimal(38,0)")).unionByName(
+            _best(large, rows.where(is_query), pieces(False)[0], every, width, k, exact=True)).unionByName(
+            _best(small, large.where(is_query), pieces(True)[0], pieces(False)[1], width, k, exact=True))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").try_cast("bigint").alias("score"))
+
+
+def _best(rows: DataFrame, queries: DataFrame, blocks: int, groups: int, width: int, k: int, exact: bool) -> DataFrame:
+    """query_id, vec_id and score of the k best of each block of `rows` for each of `queries`."""
+    kind = "double" if exact else "bigint"
+    filled = F.concat(F.col("v").cast(f"array<{kind}>"), F.array_repeat(F.lit(0).cast(kind), F.lit(width) - F.size("v")))
 
     def packed(df: DataFrame, pieces: int, name: str) -> DataFrame:
         of = df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(pieces)).alias(name)).agg(
@@ -125,13 +166,19 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, gro
 
     # each pair of a block and a group is a key of its own
     left = packed(rows, blocks, "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
-    right = packed(rows.where(is_query), groups, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    right = packed(queries, groups, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for ids, flat, asked_ids, asked_flat in zip(b["block_ids"], b["block_v"], b["group_ids"], b["group_v"]):
-                index = Index(np.asarray(ids), _matrix(flat, width))
-                who, what = np.asarray(asked_ids), _matrix(asked_flat, width)
+                who = np.asarray(asked_ids)
+                if exact:
+                    x, what = (np.asarray(f, dtype=float).reshape(-1, width) for f in (flat, asked_flat))
+                    found = compare(np.asarray(ids), x, what, who, k)
+                    shown = [(who[j], int(i), Decimal(min(max(s, -_DIGITS), _DIGITS))) for j, some, score in found for i, s in zip(some, score)]
+                    yield pd.DataFrame(shown, columns=["query_id", "vec_id", "score"])
+                    continue
+                index, what = Index(np.asarray(ids), _matrix(flat, width)), _matrix(asked_flat, width)
                 for at in range(0, len(who), LANES):
                     found = index.search(what[at:at + LANES], who[at:at + LANES], k)
                     yield pd.DataFrame({
@@ -139,7 +186,5 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, gro
                         "vec_id": np.concatenate([i for _, i, _ in found]),
                         "score": np.concatenate([s for _, _, s in found])})
 
-    best = left.join(right, ["block", "group"]).select("block_ids", "block_v", "group_ids", "group_v").mapInPandas(
-        run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return left.join(right, ["block", "group"]).select("block_ids", "block_v", "group_ids", "group_v").mapInPandas(
+        run, f"query_id long, vec_id long, score {'decimal(38,0)' if exact else 'long'}")

@@ -55,6 +55,21 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(topk.vectors(df.where("false")), F.col("vec_id") == 0).count() == 0
 
 
+def test_scores_of_any_finite_vector_are_exact(spark):
+    """A component of 5e6 beside small ones, sums beyond 64 bits, and 32-bit floats near their end."""
+    rng = np.random.default_rng(11)
+    data = [rng.normal(size=64).tolist() for _ in range(120)]
+    data += [[5e6] + [0.1] * 63, [2.0 ** 21] * 64, [-(2.0 ** 21)] * 64, [2.0 ** 21] * 63 + [2.0 ** 21 + 1], [3e38] * 64, [1e9, -1e9] * 32]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(topk.vectors(df), F.col("vec_id") % 3 == 0, block=32, group=8).orderBy("query_id", "rank").collect()]
+    whole = [[int(np.floor(256 * x)) for x in v] for v in data]
+    want = []
+    for q in range(0, len(data), 3):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in range(len(data)) if c != q)
+        want += [(q, r + 1, c, -s if abs(s) < 1 << 63 else None) for r, (s, c) in enumerate(scored[:5])]
+    assert got == want
+
+
 def test_surrogates(spark):
     rows = [(1, "Mail Jo.Smith-9@Mail.example.com or +1 (017) 555-7713, 4111 1111 1111 1111 and 4245100581169930; ip 10.2.3.4!!"),
             (2, "Mrs. Anna Brown met Mr. Brown. JO.SMITH-9@MAIL.EXAMPLE.COM Г-н Иванов"), (3, None), (4, ""),
