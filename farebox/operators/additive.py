@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from farebox.constants import FORECAST_WEEKS, INTERVAL_Z
 from farebox.operators.forecast import (
-    sundays_after, weekly_totals, weekly_totals_by_carrier, with_forecast_parts)
+    attach, sundays_after, weekly_totals, weekly_totals_by_carrier, with_forecast_parts)
 
 CHANGEPOINTS = 12
 CHANGEPOINT_RANGE = 0.8
@@ -77,18 +77,18 @@ def fitted(series: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with design and value, and per series: first, last, beta, the mean squared residual and the trend's growth."""
     days = series.select(*keys, F.unix_date("Week_Date").alias("day"), F.col("Passenger_Departures").cast("double").alias("y"))
     span = days.groupBy(*keys).agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    rows = days.join(span, keys).select(*keys, "y", "first", "last", design("day").alias("x"))
+    rows = attach(days, span, keys, ["first", "last"]).select(*keys, "y", "first", "last", design("day").alias("x"))
     beta = solved(normal_equations(rows, keys), keys)
-    miss = rows.join(beta, keys).groupBy(*keys).agg(F.avg(F.pow(F.col("y") - _value(), 2)).alias("miss"))
+    miss = attach(rows, beta, keys, ["beta"]).groupBy(*keys).agg(F.avg(F.pow(F.col("y") - _value(), 2)).alias("miss"))
     size = F.expr(f"aggregate(slice(beta, 3, {CHANGEPOINTS}), 0D, (s, v) -> s + abs(v)) / {CHANGEPOINTS}")
-    model = (span.join(beta, keys).join(miss, keys)
+    model = (attach(attach(span, beta, keys, ["beta"]), miss, keys, ["miss"])
              .withColumn("growth", 2 * size * size * CHANGEPOINTS / 3))
     return rows, model
 
 
 def residual(rows: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: the largest entry of X'(y - X beta) - penalty beta, against the largest of X'y. 0 up to rounding."""
-    left = rows.join(model.select(*keys, "beta"), keys).withColumn("miss", F.col("y") - _value())
+    left = attach(rows, model, keys, ["beta"]).withColumn("miss", F.col("y") - _value())
     parts = (left.select(*keys, "y", "miss", "beta", F.posexplode("x").alias("i", "xi")).groupBy(*keys, "i")
              .agg(F.sum(F.col("xi") * F.col("miss")).alias("r"), F.sum(F.col("xi") * F.col("y")).alias("q"),
                   F.count("*").alias("n"), F.first(F.col("beta")[F.col("i")]).alias("b")))
@@ -114,8 +114,7 @@ def _fit_each(series: DataFrame, keys: list[str], weeks: int, own_horizon: bool
 def forecast_overall_additive(src: DataFrame, weeks: int = FORECAST_WEEKS,
                               include_rollup_rows: bool = False) -> DataFrame:
     """The totals of all carriers as one series, one row per week."""
-    series = weekly_totals(src, include_rollup_rows).withColumn("Carrier", F.lit("all"))
-    return with_forecast_parts(_fit_each(series, ["Carrier"], weeks).drop("Carrier"))
+    return with_forecast_parts(_fit_each(weekly_totals(src, include_rollup_rows), [], weeks))
 
 
 def forecast_by_carrier_additive(src: DataFrame, weeks: int = FORECAST_WEEKS, own_horizon: bool = False,

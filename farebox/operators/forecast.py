@@ -59,7 +59,7 @@ def future_calendar(series: DataFrame, weeks: int = FORECAST_WEEKS) -> DataFrame
     return with_forecast_parts(last.select(F.explode(sundays_after(F.col("last"), weeks)).alias("ds")))
 
 
-def _attach(df: DataFrame, values: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+def attach(df: DataFrame, values: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Per-series values beside each row: a join on the keys, or scalars for a single series."""
     if keys:
         return df.join(values.select(*keys, *names), keys)
@@ -108,7 +108,7 @@ def forecast_series(series: DataFrame, keys: list[str], weeks: int = FORECAST_WE
     params = history.groupBy(*keys).agg(
         slope.alias("slope"), (F.avg(y) - slope * F.avg(t)).alias("intercept"),
         F.min("Week_Date").alias("first"), F.max("Week_Date").alias("last"))
-    fitted = _attach(history, params, keys, ["slope", "intercept", "first"]).withColumn("trend", _trend("Week_Date"))
+    fitted = attach(history, params, keys, ["slope", "intercept", "first"]).withColumn("trend", _trend("Week_Date"))
     index = fitted.groupBy(*keys, "Week").agg(
         F.avg(F.try_divide(y, F.col("trend"))).alias("week_index"))
     seasonal = F.coalesce("week_index", F.lit(1.0))
@@ -117,7 +117,7 @@ def forecast_series(series: DataFrame, keys: list[str], weeks: int = FORECAST_WE
         F.coalesce(F.stddev_samp(y - F.col("trend") * seasonal), F.lit(0.0)).alias("sigma"),
         F.min("t").alias("_from"), F.max("t").alias("_to"))
     growth = trend_growth(indexed.withColumn("y", F.try_divide(y, F.col("week_index"))), keys)
-    spread = sigma.join(growth, keys, "left") if keys else _attach(sigma, growth, keys, ["lambda", "changes"])
+    spread = sigma.join(growth, keys, "left") if keys else attach(sigma, growth, keys, ["lambda", "changes"])
     spread = spread.select(*keys, "sigma", "_to", F.coalesce(F.try_divide(
         2 * F.col("lambda") * F.col("lambda") * F.col("changes"), 3 * (F.col("_to") - F.col("_from"))), F.lit(0.0)).alias("growth"))
 
@@ -129,11 +129,11 @@ def forecast_series(series: DataFrame, keys: list[str], weeks: int = FORECAST_WE
         if own_horizon:
             future = future.where(F.col("ds") > common_last.scalar())
     else:
-        future = _attach(
+        future = attach(
             common_last.select(F.explode(sundays_after(F.col("last"), weeks)).alias("ds")),
             params, keys, ["slope", "intercept"])
     future = with_forecast_parts(future).withColumn("trend", _trend("ds"))
-    future = _attach(future.join(index, [*keys, "Week"], "left"), spread, keys, ["sigma", "_to", "growth"])
+    future = attach(future.join(index, [*keys, "Week"], "left"), spread, keys, ["sigma", "_to", "growth"])
     ahead = _week_number("ds") - F.col("_to")
     yhat = F.col("trend") * seasonal
     band = INTERVAL_Z * F.sqrt(F.col("sigma") * F.col("sigma") + seasonal * seasonal * F.col("growth") * ahead * ahead * ahead)
