@@ -1,24 +1,27 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
-Each source's documents stand in a shuffled order, read as an endless repetition of its words. Slot i
-of the mix, one word long, falls on the golden-ratio point i * phi mod 1, which the cumulative target
-shares map to a source; the r-th slot of a source takes its word r, and starts over after the last one.
-How often a document's words are taken follows from how many slots its source gets.
-
-Slots are counted, not made: the points of a span are a difference of two sums of quotients, which
-Euclid's steps on the lattice give. So the work does not grow with the words, and slots need no longer
-blocks that a short source would not fill.
-
-Positions are sums over small pieces plus offsets per piece, so a source that holds a third
-of all rows is never one task's work. Only one row per source meets in one place.
+Each source's documents stand in a shuffled order, cut into blocks of `block` words; the last block
+of a source may be shorter and counts at its true size. A source that gives `words` words needs so
+many slots: its blocks in turn, from the first again after the last, until the words are reached, the
+last slot cut to what is missing. Slot i of the mix falls on the golden-ratio point i * phi mod 1,
+which the sources' cumulative shares of all slots map to a source; slots are ranked per source, and
+the r-th slot of a source takes block r mod (its blocks). The points give a source a few slots more
+or less than it needs: ranks beyond the need fall away, and missing ranks are closing slots, which
+stand at a golden-ratio point of the whole mix. So each source gives its target to the word,
+however short it is. The mix, in order, is the join of slots and documents on (source, block).
+
+Nothing meets in one task: documents are placed by ranges of their whole order, slots are ranked in
+spans of `CHUNK` slots, each with the sums of the ranges or spans before; blocks are joined by number, and
+a slot finds its source among the few whose share touches its point's bucket. One row per source
+passes through windows without a partition.
 
 Targets: the sources' weights share all words; a target stops at `most` times its source's
 words and the excess goes to the others by weight.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; sources of size 0 have
 target 0; null sources form one source, last in order. Rows that repeat are each placed and
-taken for themselves; rows equal in doc_id as well lie side by side. An empty table gives an
-empty mix. Reruns give the same rows.
+taken for themselves; rows equal in doc_id as well lie side by side, rows without doc_id by a
+hash of their text. An empty table gives an empty mix. Reruns give the same rows.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from farebox.llm.common import WORD, cut, fresh
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Golden-ratio points as a lattice: i * STEP mod LATTICE, neighbouring Fibonacci numbers.
 LATTICE, STEP = 1_836_311_903, 1_134_903_170
+#: Words of a block, and slots that are ranked together.
+BLOCK, CHUNK = 512, 1 << 16
 SEED = "mix"
 
 
@@ -41,13 +46,15 @@ def key(source: Column) -> Column:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, s (source key), source and size of every row."""
+    """doc_id, s (source key), source, size and h (place in the shuffled source) of every row."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")))))
     return docs.select("doc_id", "source", key(F.col("source")).alias("s"),
-                       F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+                       F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                       F.md5(F.concat(name, F.lit(f":{SEED}"))).alias("h"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row per source: s, source_size, target and the span [low, high) of lattice points.
+    """One row per source: s, place (from 1, in order of the sources), source_size and target.
 
     Filling by weight up to caps: in order of cap / weight, the sources before the first that
     its share does not fill are full, the others share the rest by weight.
@@ -69,58 +76,115 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     one = one.withColumn("free", free).withColumn("target", F.when(
         F.col("free").isNull() | (F.col("place") < F.col("free.place")), F.col("cap"))
         .otherwise(F.col("free.level") * F.col("weight")))
-    total = F.sum("target").over(everything)
-    share = W.orderBy("rank")
-    high = F.sum("target").over(share)
-    low = F.coalesce(F.sum("target").over(share.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    last = F.row_number().over(W.orderBy(F.col("rank").desc())) == 1
+    return one.select("s", F.col("rank").alias("place"), "source_size", "target")
+
+
+def needs(of: DataFrame, block: int = BLOCK) -> DataFrame:
+    """`targets` with words (the whole words to give), blocks, slots and the span [low, high) of lattice points."""
+    of = of.withColumn("words", F.floor(F.col("target") + F.lit(0.5)))
+    of = of.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
+    of = of.withColumn("slots", F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.expr(
+        f"words div source_size * blocks + (words % source_size + {block - 1}) div {block}")).cast("long"))
+    share = W.orderBy("place")  # a window over one row per source
+    upto, everything = F.sum("slots").over(share), F.sum("slots").over(W.partitionBy())
 
     def point(x: Column) -> Column:
-        return F.coalesce(F.floor(F.try_divide(x, total) * F.lit(float(LATTICE))), F.lit(0)).cast("long")
+        return F.coalesce(F.floor(F.try_divide(x.cast("double"), everything.cast("double")) * F.lit(float(LATTICE))), F.lit(0)).cast("long")
 
-    return one.select("s", "source_size", "target", point(low).alias("low"),
-                      F.when(last, F.lit(LATTICE)).otherwise(point(high)).alias("high"))
+    return of.withColumns({"low": point(upto - F.col("slots")), "high": point(upto)})
 
 
-def _quotients(n: int, b: str) -> str:
-    """SQL for the sum of (i * STEP + b) div LATTICE over i below n, n at most LATTICE; fits 64 bits."""
-    steps, m, a = [], LATTICE, STEP
-    while m:
-        steps.append(f"named_struct('m', {m}L, 'a', {a % m}L, 'q', {a // m}L)")
-        m, a = a % m, m
-    line = "t.a * s.n + s.b % t.m"
-    return (f"aggregate(array({', '.join(steps)}), named_struct('n', {n}L, 'b', {b}, 'sum', 0L), (s, t) -> named_struct("
-            f"'n', ({line}) div t.m, 'b', ({line}) % t.m, "
-            "'sum', s.sum + s.n * (s.n - 1) div 2 * t.q + s.n * (s.b div t.m)), s -> s.sum)")
+def places(rows: DataFrame) -> DataFrame:
+    """`rows` of size above 0 with `start`, their first word's position in the shuffled source.
 
+    Rows are dealt into ranges of their whole order and written with their range; a start is the running sum in
+    the range plus those of the ranges before.
+    """
+    order = ["s", "h", "doc_id", "size", "row"]
+    rows = cut(rows.where("size > 0").withColumn("row", F.monotonically_increasing_id()), "sized")  # tells equal rows apart
+    ranged = cut(rows.select(*order).repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("s", "range").agg(F.sum("size").alias("n"))
+    before = sums.select("s", "range", (F.sum("n").over(W.partitionBy("s").orderBy("range")) - F.col("n")).alias("before"))
+    inside = W.partitionBy("range", "s").orderBy("h", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0)
+    return (ranged.withColumn("upto", F.sum("size").over(inside)).join(before, ["s", "range"])
+            .select("doc_id", "s", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start")))
 
-def slots(total: int) -> Column:
-    """How many of the first `total` slots fall on the span [low, high)."""
-    periods, rest = divmod(total, LATTICE)  # a whole period has every point once
-    return F.expr(f"{periods}L * (high - low) + {_quotients(rest, f'{LATTICE}L - low')} - {_quotients(rest, f'{LATTICE}L - high')}")
 
+def drawn(of: DataFrame) -> DataFrame:
+    """slot and s of every slot: the source whose span holds the slot's golden-ratio point. Every slot has one."""
+    total, sources = of.agg(F.sum("slots"), F.count("*")).first()
+    total, buckets = total or 0, max(1024, 2 * sources)
+    near = F.sequence(F.expr(f"low * {buckets} div {LATTICE}"), F.expr(f"(high - 1) * {buckets} div {LATTICE}"))
+    spans = of.where("high > low").select("s", "low", "high", F.explode(near).alias("bucket"))
+    point = F.expr(f"(slot % {LATTICE}) * {STEP} % {LATTICE}")
+    slots = of.sparkSession.range(total).select(F.col("id").alias("slot")).withColumn("point", point)
+    slots = slots.withColumn("bucket", F.expr(f"point * {buckets} div {LATTICE}"))
+    return slots.join(spans, "bucket").where("point >= low and point < high").select("slot", "s")
 
-def places(rows: DataFrame) -> DataFrame:
-    """`rows` of size above 0 with `start`, their first word's position in the shuffled source."""
-    rows = rows.where("size > 0").withColumn(
-        "h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(f":{SEED}"))))
-    rows = rows.withColumn("piece", F.substring("h", 1, 3))
-    sums = rows.groupBy("s", "piece").agg(F.sum("size").alias("n"))
-    before = sums.select("s", "piece", (F.sum("n").over(W.partitionBy("s").orderBy("piece")) - F.col("n")).alias("before"))
-    inside = W.partitionBy("s", "piece").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    return (rows.withColumn("upto", F.sum("size").over(inside)).join(before, ["s", "piece"])
-            .select("doc_id", "s", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start")))
 
+def schedule(of: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The slots of the mix, of `needs`: slot, extra, s, rank, block and words; in order of slot, extra and s.
 
-def taken(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, s, size, source_size, target and taken of every row of `sizes`."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    of = targets(rows, weights, most).withColumn("n", F.least(slots(total), F.col("source_size") * most))
-    of = cut(of.drop("low", "high"), "targets")  # one row per source
-    placed = places(rows).unionByName(rows.where("size = 0").select("doc_id", "s", "size", F.lit(0).cast("long").alias("start")))
-    rest = F.least(F.col("start") + F.col("size"), F.expr("n % source_size")) - F.col("start")
-    words = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.expr("n div source_size") * F.col("size") + F.greatest(F.lit(0), rest))
-    return placed.join(of, "s").select("doc_id", "s", "size", "source_size", "target", words.cast("long").alias("taken"))
+    `extra` is 0 for a drawn slot and counts the closing slots of a source from 1.
+    """
+    slots = cut(drawn(of).withColumn("chunk", F.expr(f"slot div {CHUNK}")), "slots")
+    sums = slots.groupBy("s", "chunk").agg(F.count("*").alias("n"))
+    before = sums.select("s", "chunk", (F.sum("n").over(W.partitionBy("s").orderBy("chunk")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("chunk", "s").orderBy("slot"))
+    ranked = (slots.withColumn("inside", inside).join(before, ["s", "chunk"])
+              .select("slot", F.lit(0).cast("long").alias("extra"), "s", (F.col("before") + F.col("inside") - 1).alias("rank")))
+    kept = ranked.join(of, "s").where("rank < slots")
+    got = sums.groupBy("s").agg(F.sum("n").alias("got"))
+    short = of.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long"))).where("got < slots")
+    total = of.agg(F.sum("slots").alias("all"))  # one row
+    closing = (short.withColumn("rank", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)))
+               .withColumn("extra", F.col("rank") - F.col("got") + 1)
+               .withColumn("slot", F.floor(F.expr(f"(place + rank) % {LATTICE} * {STEP} % {LATTICE}")
+                                           / F.lit(float(LATTICE)) * F.lit(total.first()[0] or 0))))
+    columns = ["slot", "extra", "s", "rank", "source_size", "blocks", "words"]
+    both = kept.select(*columns).unionByName(closing.select(*columns))
+    at = both.withColumn("block", F.expr("rank % blocks"))
+    full = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block)
+    left = F.col("words") - F.expr(f"rank div blocks * source_size + block * {block}")
+    return at.select("slot", "extra", "s", "rank", "block", F.least(full, left).alias("words"))
+
+
+def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """`places` with one row per block that a document touches: block, first (its first word there) and upto, within the block."""
+    spread = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
+    return (placed.withColumn("block", F.explode(spread))
+            .withColumns({"first": F.greatest(F.lit(0), F.col("start") - F.col("block") * block),
+                          "upto": F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block)}))
+
+
+def _sources(rows: DataFrame, weights: tuple[int, ...], most: int, block: int) -> DataFrame:
+    return cut(needs(targets(rows, weights, most), block), "targets")  # one row per source
+
+
+def segments(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """The mix itself, of `sizes`: slot, extra, s, first, doc_id, begin and words.
+
+    Ordered by slot, extra, s and first: each row is the stretch of `words` words of the document from its word
+    `begin` on that stands there in the mix.
+    """
+    held = pieces(places(rows), block).withColumnRenamed("s", "_s").withColumnRenamed("block", "_b")
+    slots = schedule(_sources(rows, weights, most, block), block)
+    joined = slots.join(held, (F.col("s") == F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("first") < F.col("words")))
+    return joined.select("slot", "extra", "s", "first", "doc_id", (F.col("block") * block + F.col("first") - F.col("start")).alias("begin"),
+                         (F.least("upto", "words") - F.col("first")).alias("words"))
+
+
+def taken(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """doc_id, s, size, source_size, target and taken of every row of `sizes`: the words of its stretches in the mix."""
+    of = _sources(rows, weights, most, block)
+    slots = schedule(of, block).select(F.col("s").alias("_s"), F.col("block").alias("_b"), "words")
+    held = pieces(places(rows), block)
+    joined = held.join(slots, (held["s"] == slots["_s"]) & (held["block"] == slots["_b"]) & (held["first"] < slots["words"]), "left")
+    words = F.sum(F.when(F.col("words").isNull(), F.lit(0)).otherwise(F.least("upto", "words") - F.col("first"))).cast("long")
+    given = joined.groupBy("s", "start", "size", "doc_id").agg(words.alias("taken")).drop("start")  # start tells the rows of a source apart
+    empty = rows.where("size = 0").select("s", "size", "doc_id", F.lit(0).cast("long").alias("taken"))
+    return (given.unionByName(empty).join(of, "s")
+            .select("doc_id", "s", "size", "source_size", "target", "taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -128,6 +192,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     return taken(cut(sizes(docs), "sizes"), weights, most)
 
 
+def ordered_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mix as stretches of documents in order: see `segments`."""
+    return segments(cut(sizes(docs), "sizes"), weights, most).orderBy("slot", "extra", "s", "first")
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix as rows: each document as often as its words are taken, to the nearest whole number.
 

@@ -48,7 +48,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 """
 
 _MIX = rf"""
-WITH rows AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size FROM documents),
+WITH rows AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size FROM documents),
 one AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM rows GROUP BY source),
 weighed AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(place - 1) % 3 + 1] AS w, source_size * 3.0::DOUBLE AS cap,
     sum(source_size) OVER () AS total FROM one),
@@ -57,25 +57,15 @@ levels AS (SELECT *, row_number() OVER f AS k,
         / sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
     FROM weighed WINDOW f AS (ORDER BY cap / w, place)),
 free AS (SELECT arg_min(level, k) AS level, min(k) AS k FROM levels WHERE cap > level * w),
-goal AS (SELECT l.source, l.place, l.source_size, l.total, CASE WHEN f.k IS NULL OR l.k < f.k THEN l.cap ELSE f.level * l.w END AS target
+goal AS (SELECT l.source, l.source_size, CASE WHEN f.k IS NULL OR l.k < f.k THEN l.cap ELSE f.level * l.w END AS target
     FROM levels l, free f),
-spans AS (SELECT *, coalesce(floor(coalesce(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-        / sum(target) OVER () * 1836311903), 0)::BIGINT AS low,
-    CASE WHEN place = max(place) OVER () THEN 1836311903
-        ELSE coalesce(floor(sum(target) OVER (ORDER BY place) / sum(target) OVER () * 1836311903), 0) END::BIGINT AS high FROM goal),
-block AS (SELECT least(greatest(any_value(total)::BIGINT // 1048576, 1), 4096) AS b, any_value(total)::BIGINT AS total FROM spans),
-slots AS (SELECT unnest(generate_series(0, (total + b - 1) // b - 1)) AS slot FROM block),
-drawn AS (SELECT s.place, count(*) AS n FROM slots JOIN spans s ON (slot * 1134903170) % 1836311903 >= s.low
-    AND (slot * 1134903170) % 1836311903 < s.high GROUP BY s.place),
-passes AS (SELECT s.*, b.b, (s.source_size + b.b - 1) // b.b AS blocks,
-    least(coalesce(d.n, 0), 3 * ((s.source_size + b.b - 1) // b.b)) AS n
-    FROM spans s CROSS JOIN block b LEFT JOIN drawn d ON d.place = s.place),
-placed AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '-') || ':mix'), doc_id, size
+given AS (SELECT *, floor(target + 0.5)::BIGINT AS words FROM goal),
+placed AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '-' || md5(text)) || ':mix'), doc_id, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto FROM rows WHERE size > 0)
 SELECT doc_id, size, source_size, target,
-    (n // blocks * size + greatest(0, least(upto, n % blocks * b) - (upto - size)))::BIGINT AS taken
-FROM placed JOIN passes ON passes.source IS NOT DISTINCT FROM placed.source
-UNION ALL SELECT doc_id, size, source_size, target, 0::BIGINT FROM rows JOIN passes ON passes.source IS NOT DISTINCT FROM rows.source WHERE size = 0
+    (words // source_size * size + greatest(0, least(upto, words % source_size) - (upto - size)))::BIGINT AS taken
+FROM placed JOIN given ON given.source IS NOT DISTINCT FROM placed.source
+UNION ALL SELECT doc_id, size, source_size, target, 0::BIGINT FROM rows JOIN given ON given.source IS NOT DISTINCT FROM rows.source WHERE size = 0
 """
 
 _WARC = """

@@ -171,8 +171,8 @@ def test_mix_edges(docs, none):
 
 def test_short_sources_are_filled_beside_huge_ones(spark):
     sizes = {"a": 300, "b": 9_000, "c": 1_200, "d": 500, "e": 4_500, "x": 1_500_000_000, "y": 3_000_000_000}
-    rows = spark.createDataFrame([(i, s, "=" + s, n) for i, (s, n) in enumerate(sizes.items())],
-                                 "doc_id long, source string, s string, size long")
+    rows = spark.createDataFrame([(i, s, "=" + s, n, s) for i, (s, n) in enumerate(sizes.items())],
+                                 "doc_id long, source string, s string, size long, h string")
     for r in mixing.taken(rows).collect():
         assert abs(r.taken - r.target) <= 8 and r.taken <= 3 * r["size"], r
 
@@ -185,13 +185,49 @@ def test_short_sources_are_filled_in_texts(spark):
     assert len(rows) == 4 and all(abs(r.taken - r.target) <= 4 for r in rows), rows
 
 
-def test_slots_equal_a_count(spark):
-    spans = [(0, 5), (7, 7), (100, 900_000_000), (900_000_000, mixing.LATTICE - 3), (mixing.LATTICE - 3, mixing.LATTICE), (0, mixing.LATTICE)]
-    rows = spark.createDataFrame(spans, "low long, high long")
-    for total in (0, 1, 2, 1_000, 300_007, mixing.LATTICE + 1_000):
-        points = np.arange(total % mixing.LATTICE) * mixing.STEP % mixing.LATTICE
-        got = {(r.low, r.high): r.n for r in rows.withColumn("n", mixing.slots(total)).collect()}
-        assert got == {(a, b): total // mixing.LATTICE * (b - a) + int(((points >= a) & (points < b)).sum()) for a, b in spans}
+def test_drawn_slots_equal_a_count(spark):
+    sizes = spark.createDataFrame([("=a", 1, 70_000, 70_000.0), ("=b", 2, 3, 9.0), ("=c", 3, 0, 0.0), ("=d", 4, 900_000, 800_000.4), ("=e", 5, 40, 40.0)],
+                                  "s string, place int, source_size long, target double")
+    of = mixing.needs(sizes, 8)
+    spans = of.collect()
+    total = sum(r.slots for r in spans)
+    assert [r.slots for r in spans] == [8_750, 3, 0, 100_000, 5] and spans[-1].high == mixing.LATTICE
+    points = np.arange(total) * mixing.STEP % mixing.LATTICE
+    got = {r.s: r["count"] for r in mixing.drawn(of).groupBy("s").count().collect()}
+    assert sum(got.values()) == total
+    assert got == {r.s: n for r in spans if (n := int(((points >= r.low) & (points < r.high)).sum()))}
+    slots = mixing.schedule(of, 8).toPandas()
+    for r in spans:  # all ranks once, words to the target
+        own = slots[slots.s == r.s].sort_values("rank")
+        assert own["rank"].tolist() == list(range(r.slots)) and own.words.sum() == r.words
+        assert (own[own.extra == 0].slot.diff().dropna() > 0).all() and (own[own.extra > 0].slot < total).all()
+    assert (slots.extra > 0).sum() <= 20
+
+
+@pytest.mark.parametrize("block", [1, 7, 512])
+def test_ordered_mix_equals_brute_force(spark, docs, block):
+    more = docs.selectExpr("*").unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    more = more.unionByName(more.withColumn("source", F.lit("zz"))).where("length(text) < 1000 or text is null")
+    sized = mixing.sizes(more)
+    got = [r.asDict() for r in mixing.segments(sized, block=block).orderBy("slot", "extra", "s", "first").collect()]
+    goal = {r.s: r for r in mixing.needs(mixing.targets(sized), block).collect()}
+    stream = {}
+    for r in sorted(sized.where("size > 0").collect(), key=lambda r: (r.h, r.doc_id is not None, r.doc_id, r["size"])):
+        stream.setdefault(r.s, []).extend((r.doc_id, w) for w in range(r["size"]))
+    for s, r in goal.items():
+        words = [(g["doc_id"], g["begin"] + w) for g in got if g["s"] == s for w in range(g["words"])]
+        assert len(words) == r.words
+        passes = [stream[s][i % r.source_size] for i in range(r.words)] if r.words else []
+        assert sorted(map(str, words)) == sorted(map(str, passes))
+        assert max((g["words"] for g in got), default=0) <= block
+    rows = mixing.taken(sized, block=block).collect()
+    assert len(rows) == more.count() and sum(r.taken for r in rows) == sum(g["words"] for g in got)
+
+
+def test_rows_without_id_spread_over_ranges(spark):
+    rows = spark.range(40_000).selectExpr("cast(null as long) as doc_id", "'a' as source", "'=a' as s", "2L as size", "'h' as h")
+    got = mixing.places(rows)
+    assert got.agg(F.countDistinct("start"), F.max("start")).first() == (40_000, 79_998)
 
 
 def test_archive_round_trip_and_odd_archives(spark, tmp_path):
