@@ -17,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farebox.llm.common import cut
+
 START, END = "<|im_start|>", "<|im_end|>"
+#: Openings shared by more than one in HOT of all conversations are paired by broadcast.
+HOT = 1000
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -81,15 +85,26 @@ def corpus_pairs(turns: DataFrame) -> DataFrame:
     """Pairs for a corpus without preferences: conversations with equal openings, and neighbours by number.
 
     Of the conversations that share their first turn the one with the smallest conv_id is
-    preferred to each other one; and conversation 2k is preferred to 2k + 1.
+    preferred to each other one; and conversation 2k is preferred to 2k + 1. A conv_id that is
+    no whole number has no neighbours.
+
+    Openings with more than one in `HOT` of all conversations, fewer than `HOT` of them, meet their conversations by
+    broadcast; only the others are shuffled by opening.
     """
     first = (turns.where("conv_id is not null").groupBy("conv_id")
              .agg(F.min(F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"),
                                  F.coalesce("text", F.lit("")).alias("text"))).alias("t"))
              .select("conv_id", F.sha2(F.concat_ws("\n", "t.role", "t.text"), 256).alias("opening")))
+    first = cut(first, "openings")
     leader = first.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("n")).where("n > 1")
-    opened = (first.join(leader, "opening").where("conv_id > chosen_id")
+    many = F.col("n") > first.count() // HOT
+    hot = F.broadcast(cut(leader.where(many), "hot-openings"))  # fewer than HOT rows
+    rest = first.join(hot, "opening", "left_anti").join(leader.where(~many), "opening")
+    opened = (first.join(hot, "opening").unionByName(rest).where("conv_id > chosen_id")
               .select("chosen_id", F.col("conv_id").alias("rejected_id")))
-    beside = (first.groupBy((F.col("conv_id") - F.pmod("conv_id", F.lit(2))).alias("chosen_id")).agg(F.count("*").alias("n"))
-              .where("n = 2").select("chosen_id", (F.col("chosen_id") + 1).alias("rejected_id")))
+    number = F.col("conv_id").try_cast("long")
+    beside = (first.withColumn("number", number).where("number is not null").groupBy(F.col("number") - F.pmod("number", F.lit(2)))
+              .agg(F.min_by("conv_id", "number").alias("chosen_id"), F.max_by("conv_id", "number").alias("rejected_id"),
+                   F.count("*").alias("n"), F.countDistinct("number").alias("m"))
+              .where("n = 2 and m = 2").select("chosen_id", "rejected_id"))
     return opened.union(beside).distinct()

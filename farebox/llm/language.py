@@ -6,9 +6,11 @@ language are clustered on the sphere; the language of the centroid with the larg
 predicted. A text further from it than almost all training members of that cluster is marked
 `rejected`.
 
-Whole texts are read, a stretch of characters at a time. Learned from a bounded sample: about
-`per_lang` texts a language of at most `max_chars` characters (IDF and clusters are part of the
-fitted model).
+Whole texts are read, a stretch of characters at a time. Learned from a bounded sample (IDF and
+clusters are part of the fitted model): of every language, however many there are, up to `per_lang`
+texts of at most `max_chars` characters, fewer where `max_sample` texts in all would be passed but at least
+one; of a language that has only longer texts, their first `max_chars` characters. The sample is
+held by the driver as pairs of cell and count, at most 48 KB a text, and clustered one language at a time.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; so is
 every text when nothing was learned. Equal cosines go to the language that sorts first. Repeated rows are
@@ -25,14 +27,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farebox.llm.common import fresh, hash_share
+from farebox.llm.common import cut, fresh, hash_share
 
 CELLS = 1 << 13
 STRETCH = 1 << 19
-PER_LANG, MAX_CHARS, MAX_SAMPLE = 800, 20_000, 20_000
+PER_LANG, MAX_CHARS, MAX_SAMPLE = 800, 20_000, 8_000
 
 
 @lru_cache(maxsize=1)
@@ -99,15 +102,26 @@ class Centroids:
 
 def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 12, reject: float = 0.001) -> Centroids:
     """Spherical k-means per language, started from members far apart; deterministic."""
-    pairs = [(c, g) for t, g in zip(texts, langs) if (c := counts(t)) is not None]
-    seen = np.zeros(CELLS)
-    for c, _ in pairs:
-        seen += c > 0
+    pairs, seen = [], np.zeros(CELLS)  # (cells, counts, language) of each text
+    for t, g in zip(texts, langs):
+        if (c := counts(t)) is not None:
+            at = np.flatnonzero(c)
+            pairs.append((at.astype(np.uint16), c[at].astype(np.float32), g))
+            seen[at] += 1
+
+    def dense(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        row = np.zeros(CELLS, np.float32)
+        row[at] = n
+        return row
+
     idf = np.log((1 + len(pairs)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     model = Centroids(idf, np.zeros((0, CELLS), np.float32), [], np.zeros(0))
     centres, names, reach = [], [], []
-    for g in sorted({g for _, g in pairs}):
-        v = model.vectors([c for c, h in pairs if h == g])
+    members: dict[str, list] = {}
+    for at, n, g in pairs:
+        members.setdefault(g, []).append((at, n))
+    for g in sorted(members):
+        v = model.vectors([dense(*m) for m in members[g]])
         centre = v.mean(axis=0, keepdims=True)
         centre /= np.linalg.norm(centre)
         while len(centre) < min(clusters, len(v)):
@@ -131,14 +145,20 @@ def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 12,
 
 def train(docs: DataFrame, where: Column, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS,
           max_sample: int = MAX_SAMPLE) -> Centroids:
-    """Fit on rows with a language that satisfy `where`, about `per_lang` a language by a hash of doc_id."""
-    rows = docs.select("doc_id", "text", "lang").where(
-        where & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))  # one row per language
-    drawn = (rows.join(F.broadcast(sizes.orderBy(F.desc("_n"), "lang").limit(1000)), "lang")
-             .where(hash_share(F.col("doc_id"), "language") * F.col("_n") < per_lang)
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
-             .select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang", "text"]))
+    """Fit on rows with a language that satisfy `where`, drawn for each language by a hash of doc_id and text."""
+    rows = docs.select("doc_id", "text", "lang").where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumn("_fits", F.char_length("text") <= max_chars)
+    sizes = rows.groupBy("lang").agg(F.count_if("_fits").alias("_short"), F.count("*").alias("_all"))  # one row per language
+    sizes = cut(sizes, "languages")
+    each = max(1, min(per_lang, max_sample // max(1, sizes.count())))
+    key = F.xxhash64(F.lit("language"), "doc_id", "text")
+    of = F.when(F.col("_short") > 0, F.col("_short")).otherwise(F.col("_all"))
+    # twice as many as are kept, so that no language comes short; then the first by hash
+    drawn = (rows.join(sizes, "lang").where(F.col("_fits") | (F.col("_short") == 0))
+             .where(hash_share(key, "language") * of < 2 * each + 20)
+             .withColumn("_key", key).withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_key", "doc_id")))
+             .where(F.col("_rank") <= each)
+             .select("doc_id", F.substring("text", 1, max_chars).alias("text"), "lang").toPandas().sort_values(["doc_id", "lang", "text"]))
     return fit(drawn["text"].tolist(), drawn["lang"].tolist())
 
 

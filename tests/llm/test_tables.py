@@ -37,6 +37,18 @@ def test_preferences(spark):
     assert chat.preferences(turns.where("false"), chat.corpus_pairs(turns.where("false"))).count() == 0
 
 
+def test_hot_opening_and_text_ids(spark):
+    turns = spark.range(3_000).selectExpr("cast(id as string) as conv_id", "0 as turn", "'user' as role",
+                                          "if(id % 3 = 0, 'hot', concat('t', id div 2)) as text")
+    turns = turns.unionByName(spark.createDataFrame([("x", 0, "user", "odd")], turns.schema))
+    got = {(r.chosen_id, r.rejected_id) for r in chat.corpus_pairs(turns).collect()}
+    text = {str(i): "hot" if i % 3 == 0 else f"t{i // 2}" for i in range(3_000)} | {"x": "odd"}
+    leader = {}
+    for c in sorted(text):
+        leader.setdefault(text[c], c)
+    assert got == {(leader[t], c) for c, t in text.items() if leader[t] != c} | {(str(i), str(i + 1)) for i in range(0, 3_000, 2)}
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.2, (300, 12)).astype(np.float32)

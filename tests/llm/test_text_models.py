@@ -236,3 +236,15 @@ def test_one_row_of_each_class_with_repeated_and_missing_ids(spark):
     kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_keep", F.lit(0)))
     assert kept.columns == ["doc_id", "text", "_keep"]
     assert Counter((r.text, r.doc_id) for r in kept.collect()) == Counter([(x, 3), (y, 5), (z, None)])
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i * 10 + k, f"{letters[i % 26] * 3} {letters[i // 26] * 4} {letters[(i * 7) % 26] * 2} ", f"l{i:03}") for i in range(60) for k in range(5)]
+    rows += [(9_000 + k, "quux zyzzy " * 9_000, "long") for k in range(3)] + [(None, "aaa", None), (9_100, None, "l000")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True), max_sample=70)
+    assert set(model.lang) == {r[2] for r in rows if r[1] and r[2]}  # one text of each: the sample is spent
+    found = language.identify(docs.where("text is not null and lang is not null"), model).select("lang", "language.lang").toDF("a", "b")
+    assert found.where("a <> b").count() == 0
+    assert language.train(docs.where("false"), F.lit(True)).lang == []
