@@ -291,3 +291,18 @@ def test_pipeline_stages(spark, tiny):
     assert mixed.columns == docs.columns and mixed.count() == sum(times.values())
     last = corpus_pipeline.run(spark, tiny)
     assert last.count() == mixed.count() and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_pipeline_stage_edges(spark, tiny, docs, none, name, stage):
+    got = stage(spark, docs, tiny)
+    assert stage(spark, none, tiny).count() == 0
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert got.columns == docs.columns
+    ids = [r.doc_id for r in got.select("doc_id").collect()]
+    if name in ("PII", "SentencePiece"):
+        assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in docs.collect())
+    if name == "SimHash near-dedup":
+        assert len(ids) == len(set(ids)) and {None, 4} <= set(ids)
+    if name == "source mix":
+        assert not {2, 3, 5} & set(ids)
