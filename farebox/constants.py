@@ -94,6 +94,3 @@ INTERVAL_Z = 1.28155
 # Roles that the driver tables play (see FIXTURES.md section 5).
 FIXTURE_BASELINE_YEAR = 1995
 FIXTURE_REFERENCE_DATE = date(1997, 1, 1)
-
-# Partitions that the forest's rows are dealt to; bootstrap samples depend on it.
-FOREST_TASKS = 4

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farebox.constants import (
-    FEATURE_COLUMNS, FEATURE_TARGET, FOREST_DEPTH, FOREST_SEED, FOREST_TASKS,
-    FOREST_TREES)
+from farebox.constants import FEATURE_COLUMNS, FEATURE_TARGET, FOREST_DEPTH, FOREST_SEED, FOREST_TREES
 from farebox.functions.measures import flag
+from farebox.operators import forest
 from farebox.operators.rows import complete_rows, members_only
 
 
@@ -40,31 +37,27 @@ def feature_rows_complete(src: DataFrame, include_rollup_rows: bool = False) ->
     return complete_rows(feature_rows(src, include_rollup_rows), [*FEATURE_COLUMNS, FEATURE_TARGET])
 
 
-def fit_forest(rows: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
-               seed: int = FOREST_SEED, tasks: int = FOREST_TASKS) -> RandomForestRegressionModel:
-    """Forest over all features at every split.
+def forest_nodes(src: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
+                 seed: int = FOREST_SEED) -> DataFrame:
+    """Nodes of the forest over all features at every split."""
+    return forest.grow_forest(feature_rows_complete(src), FEATURE_COLUMNS, FEATURE_TARGET,
+                              ["Carrier_Name", "Week_Date"], trees, depth, seed)
 
-    Bootstrap samples follow the partitions. Rows are placed by their key into `tasks`
-    partitions, so reruns draw the same samples, whatever the number of rows or cores.
-    """
-    assembled = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features").transform(rows)
-    training = (
-        assembled.select("features", F.col(FEATURE_TARGET).cast("double").alias("label"),
-                         "Week_Date", "Carrier_Name")
-        .repartition(tasks, "Week_Date", "Carrier_Name")
-        .sortWithinPartitions("Week_Date", "Carrier_Name"))
-    forest = RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", maxMemoryInMB=512)
-    return forest.fit(training)
+
+def ranked_importance(nodes: DataFrame) -> DataFrame:
+    """Features by importance, highest first, from the nodes of a forest; importances sum to 1."""
+    return forest.importance(nodes, FEATURE_COLUMNS).orderBy(F.desc("Importance"), "Feature")
 
 
 def feature_importance(src: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
                        seed: int = FOREST_SEED) -> DataFrame:
     """Features by importance, highest first; importances sum to 1."""
-    model = fit_forest(feature_rows_complete(src), trees, depth, seed)
-    pairs = list(zip(FEATURE_COLUMNS, (float(v) for v in model.featureImportances.toArray())))
-    return (src.sparkSession.createDataFrame(pairs, "Feature string, Importance double")
-            .orderBy(F.desc("Importance"), "Feature"))
+    return ranked_importance(forest_nodes(src, trees, depth, seed))
+
+
+def forest_fit(src: DataFrame, nodes: DataFrame, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> DataFrame:
+    """What a forest predicts for each of the rows it was grown from."""
+    return forest.predict(feature_rows_complete(src), nodes, FEATURE_COLUMNS, ["Carrier_Name", "Week_Date"], trees, depth)
 
 
 def _correlation(column: str) -> Column:

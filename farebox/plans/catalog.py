@@ -658,7 +658,17 @@ def rollup_reconciliation(spark, folder):
 
 @query
 def feature_importance(spark, folder):
-    return features.feature_importance(_src(spark, folder))
+    return features.ranked_importance(landing.forest_nodes(spark, folder))
+
+
+@query
+def forest_nodes(spark, folder):
+    return landing.forest_nodes(spark, folder)
+
+
+@query
+def forest_fit(spark, folder):
+    return features.forest_fit(_src(spark, folder), landing.forest_nodes(spark, folder))
 
 
 @query

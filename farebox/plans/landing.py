@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farebox.operators import summaries
+from farebox.operators import features, summaries
 from farebox.operators.dims import DIMENSIONS
 from farebox.operators.fact import load_fact, star_read
 from farebox.schemas import CARRIER_PERFORMANCE, MONTHLY_SUMMARY, PERIOD_SUMMARY, QUARTERLY_SUMMARY, conform
@@ -141,6 +141,12 @@ def warehouse(spark: SparkSession, folder: str,
     return src, dims, land(spark, folder, "fact", lambda: load_fact(src, dims), refresh)
 
 
+def forest_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The forest behind the feature importances."""
+    src = staging(spark, folder)
+    return land(spark, folder, "forest", lambda: features.forest_nodes(src))
+
+
 def summary_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The four summaries as stored, each under its declared schema.
 

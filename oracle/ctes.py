@@ -123,6 +123,63 @@ def _additive(prefix: str, totals: str, key: str) -> dict[str, str]:
     }
 
 
+FEATURES = [
+    "Year_Num", "Quarter", "Month_Num", "Week_Num", "Avg_Temp_F", "Precipitation_Inches",
+    "Is_Severe_Weather", "Is_Holiday", "Is_Tourism_Peak", "Days_Since_Pandemic_Start",
+    "Is_COVID_Period", "Is_High_Inflation", "Is_Summer", "Is_Winter", "Baseline_2019_Passengers"]
+
+
+def _forest(trees: int = 100, depth: int = 10, seed: int = 42, bins: int = 32, cells: int = 4096) -> dict[str, str]:
+    """A forest of binned features, level by level: the rows with their node, then the best split of each node."""
+    bounds = [int(2 ** 32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(11)]
+    numbers = f"range({len(FEATURES)})"
+    steps = {
+        "fr_v": f"""SELECT Carrier_Name, Week_Date, unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in FEATURES)}]) AS x,
+            unnest({numbers}) AS f FROM feat""",
+        "fr_l": "SELECT f, min(x) AS lo, max(x) AS hi FROM fr_v GROUP BY f",
+        "fr_c": f"""SELECT f, CASE WHEN hi > lo THEN least(CAST(floor((x - lo) / (hi - lo) * {cells}) AS BIGINT), {cells - 1})
+            ELSE 0 END AS cell, count(*) AS n, max(x) AS edge FROM fr_v JOIN fr_l USING (f) GROUP BY 1, 2""",
+        "fr_q": f"""SELECT f, edge, CASE WHEN count(*) OVER (PARTITION BY f) <= {bins}
+            THEN row_number() OVER (PARTITION BY f ORDER BY cell)
+            ELSE CAST({bins} * (sum(n) OVER (PARTITION BY f ORDER BY cell) - n) // sum(n) OVER (PARTITION BY f) AS BIGINT) END AS bin
+            FROM fr_c""",
+        "fr_e": "SELECT f, list(edge ORDER BY edge) AS edges FROM (SELECT f, bin, max(edge) AS edge FROM fr_q GROUP BY f, bin) GROUP BY f",
+        "fr_x": """SELECT Carrier_Name, Week_Date, list(len(list_filter(edges, lambda u: u < x)) ORDER BY f) AS x
+            FROM fr_v JOIN fr_e USING (f) GROUP BY Carrier_Name, Week_Date""",
+        "fr_u": f"""SELECT Carrier_Name, Week_Date, CAST(t AS INTEGER) AS Tree, CAST('0x' || substr(md5('{seed}:' || t || ':'
+            || Carrier_Name || ':' || CAST(Week_Date AS VARCHAR)), 1, 8) AS BIGINT) AS u
+            FROM feat, generate_series(1, {trees}) AS g(t)""",
+        "fr_s0": f"""SELECT * FROM (SELECT Tree, 1 AS Node, len(list_filter({bounds}, lambda d: d <= u)) AS w, Passenger_Departures AS y, x
+            FROM fr_u JOIN fr_x USING (Carrier_Name, Week_Date) JOIN feat USING (Carrier_Name, Week_Date)) WHERE w > 0""",
+    }
+    for k in range(depth):
+        steps[f"fr_h{k}"] = f"""SELECT Tree, Node, f, b, CAST(sum(w) AS BIGINT) AS n, CAST(sum(w * y) AS BIGINT) AS s
+            FROM (SELECT Tree, Node, w, y, unnest(x) AS b, unnest({numbers}) AS f FROM fr_s{k}) GROUP BY ALL"""
+        steps[f"fr_b{k}"] = f"""SELECT Tree, Node, f, b, gain, ln, ls, n - ln AS rn, s - ls AS rs FROM (
+            SELECT *, pow2 / (CAST(ln AS DOUBLE) * CAST(n - ln AS DOUBLE)) / CAST(n AS DOUBLE) AS gain FROM (
+              SELECT *, d * d AS pow2 FROM (SELECT *, CAST(ls AS DOUBLE) * CAST(n - ln AS DOUBLE)
+                  - CAST(s - ls AS DOUBLE) * CAST(ln AS DOUBLE) AS d FROM (
+                SELECT Tree, Node, f, b, CAST(sum(n) OVER up AS BIGINT) AS ln, CAST(sum(s) OVER up AS BIGINT) AS ls,
+                  CAST(sum(n) OVER one AS BIGINT) AS n, CAST(sum(s) OVER one AS BIGINT) AS s FROM fr_h{k}
+                WINDOW one AS (PARTITION BY Tree, Node, f), up AS (PARTITION BY Tree, Node, f ORDER BY b)) WHERE ln < n)))
+            WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY Tree, Node ORDER BY gain DESC, f, b) = 1"""
+        steps[f"fr_s{k + 1}"] = f"""SELECT r.Tree, CAST(2 * r.Node + CASE WHEN x[f + 1] > b THEN 1 ELSE 0 END AS INTEGER) AS Node, w, y, x
+            FROM fr_s{k} r JOIN fr_b{k} p ON r.Tree = p.Tree AND r.Node = p.Node"""
+    steps["fr_p"] = "\nUNION ALL ".join(f"SELECT * FROM fr_b{k}" for k in range(depth))
+    names = "[" + ", ".join(f"'{c}'" for c in FEATURES) + "]"
+    steps["fr_n"] = f"""SELECT a.Tree, a.Node, a.n AS Rows, CAST(a.s AS DOUBLE) / a.n AS Prediction, {names}[p.f + 1] AS Feature,
+        edges[p.b + 1] AS Threshold, p.gain AS Gain FROM (
+          SELECT Tree, Node, CAST(sum(w) AS BIGINT) AS n, CAST(sum(w * y) AS BIGINT) AS s FROM fr_s0 GROUP BY Tree, Node
+          UNION ALL SELECT Tree, 2 * Node, ln, ls FROM fr_p UNION ALL SELECT Tree, 2 * Node + 1, rn, rs FROM fr_p) a
+        LEFT JOIN fr_p p ON a.Tree = p.Tree AND a.Node = p.Node LEFT JOIN fr_e e ON e.f = p.f"""
+    place = "SELECT Carrier_Name, Week_Date, Tree, 1 AS Node, x FROM fr_u JOIN fr_x USING (Carrier_Name, Week_Date)"
+    for k in range(depth):
+        place = f"""SELECT Carrier_Name, Week_Date, r.Tree, CASE WHEN p.f IS NULL THEN r.Node WHEN x[p.f + 1] > p.b THEN 2 * r.Node + 1
+            ELSE 2 * r.Node END AS Node, x FROM ({place}) r LEFT JOIN fr_p p ON r.Tree = p.Tree AND r.Node = p.Node"""
+    steps["fr_t"] = place
+    return steps
+
+
 _ROWS = "PARTITION BY Carrier_Name ORDER BY Week_Date"
 W = f"OVER ({_ROWS})"
 R4 = f"OVER ({_ROWS} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
@@ -294,6 +351,7 @@ CTES: dict[str, str] = {
     "qa": """SELECT Year, Quarter, CAST(sum(Passenger_Departures) AS BIGINT) AS Passengers
         FROM cal GROUP BY 1, 2""",
 }
+CTES |= _forest()
 
 
 def with_ctes(body: str) -> str:
@@ -308,5 +366,6 @@ def with_ctes(body: str) -> str:
                     needed.append(name)
 
     visit(body)
-    heads = ",\n".join(f"{name} AS ({CTES[name]})" for name in needed)
+    once = lambda name: "MATERIALIZED " if name.startswith("fr_") else ""
+    heads = ",\n".join(f"{name} AS {once(name)}({CTES[name]})" for name in needed)
     return f"WITH {heads}\n{body}" if heads else body

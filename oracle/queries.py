@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from oracle.ctes import C4, C12, DIGITS, MEAN_RATIO, R4, R12, SUMMARY, TOTALS, W, flag, hu, mean4, sum4, with_ctes
+from oracle.ctes import C4, C12, DIGITS, FEATURES, MEAN_RATIO, R4, R12, SUMMARY, TOTALS, W, flag, hu, mean4, sum4, with_ctes
 
 PASS, FAIL, WARNING = "✓ PASS", "✗ FAIL", "⚠ WARNING"
 PASS_FAIL = f"CASE WHEN {{}} = 0 THEN '{PASS}' ELSE '{FAIL}' END"
 PASS_WARN = f"CASE WHEN {{}} = 0 THEN '{PASS}' ELSE '{WARNING}' END"
 
-FEATURES = [
-    "Year_Num", "Quarter", "Month_Num", "Week_Num", "Avg_Temp_F", "Precipitation_Inches",
-    "Is_Severe_Weather", "Is_Holiday", "Is_Tourism_Peak", "Days_Since_Pandemic_Start",
-    "Is_COVID_Period", "Is_High_Inflation", "Is_Summer", "Is_Winter", "Baseline_2019_Passengers"]
-
 UNIQUE = [
     ("dim_date", "dd", "Date_Key"), ("dim_date", "dd", "Week_Date"),
     ("dim_carrier", "dc", "Carrier_Key"), ("dim_carrier", "dc", "Carrier_Name"),
@@ -304,6 +299,14 @@ _BODIES: dict[str, str] = {
         JOIN (SELECT Week_Date, CAST(sum(Passenger_Departures) AS BIGINT) AS p, CAST(sum(Bus_Departures) AS BIGINT) AS b
               FROM grown WHERE Carrier_Name <> 'Total' GROUP BY Week_Date) m USING (Week_Date)""",
     # forecasts
+    "forest_nodes": "SELECT * FROM fr_n",
+    "feature_importance": "SELECT Feature, round(coalesce(share / k, 0), 9) AS Importance FROM (" + _union([
+        f"SELECT '{c}' AS Feature" for c in FEATURES]) + """) LEFT JOIN (
+          SELECT Feature, sum(g / whole) AS share FROM (SELECT Feature, g, sum(g) OVER (PARTITION BY Tree) AS whole FROM (
+            SELECT Tree, Feature, sum(Gain) AS g FROM fr_n WHERE Feature IS NOT NULL GROUP BY Tree, Feature)) GROUP BY Feature)
+        USING (Feature), (SELECT count(DISTINCT Tree) AS k FROM fr_n WHERE Feature IS NOT NULL)""",
+    "forest_fit": """SELECT Carrier_Name, Week_Date, round(avg(Prediction), 4) AS Fitted
+        FROM fr_t JOIN fr_n USING (Tree, Node) GROUP BY Carrier_Name, Week_Date""",
     "feature_correlation": _union([
         f"SELECT '{c}' AS Feature, round(covar_pop({c}, Passenger_Departures) / nullif(stddev_pop({c}) "
         f"* stddev_pop(Passenger_Departures), 0), 6) AS Correlation FROM feat" for c in FEATURES]),
