@@ -216,7 +216,8 @@ def _in_full_years(forecast: DataFrame, only: bool) -> DataFrame:
     return forecast.join(years, "Year", "left_semi")
 
 
-def busiest_weeks(forecast: DataFrame, full_years_only: bool = True) -> DataFrame:
+def busiest_weeks(forecast: DataFrame, full_years_only: bool = False) -> DataFrame:
+    """Mean volume per ISO week over the whole forecast, partial years included unless left out."""
     return (_in_full_years(forecast, full_years_only).groupBy(F.col("Week").alias("Week_of_Year"))
             .agg(_mean("yhat").alias("Avg_Passengers"))
             .orderBy(F.desc("Avg_Passengers"), "Week_of_Year"))

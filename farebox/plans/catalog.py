@@ -729,7 +729,7 @@ def busiest_months(spark, folder):
 
 @query
 def top_weeks(spark, folder):
-    return forecast.busiest_weeks(_overall(spark, folder)).limit(10)
+    return forecast.busiest_weeks(_overall(spark, folder), full_years_only=True).limit(10)
 
 
 @query
@@ -758,7 +758,7 @@ def carrier_forecast_annual(spark, folder):
 def forecast_findings(spark, folder):
     weekly = _overall(spark, folder)
     return forecast.forecast_findings(
-        forecast.forecast_annual(weekly), forecast.busiest_weeks(weekly),
+        forecast.forecast_annual(weekly), forecast.busiest_weeks(weekly, full_years_only=True),
         forecast.busiest_months(weekly), _src(spark, folder), FIXTURE_BASELINE_YEAR)
 
 

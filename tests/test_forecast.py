@@ -127,6 +127,20 @@ def test_annual_rollup(spark):
     assert full.Upper_Bound_RSS == pytest.approx(520 + 4 * 52 ** 0.5, abs=1e-3)
 
 
+def partial_years(spark):
+    """The last two weeks of 2025, all of 2026 and the first five of 2027, each year at a volume of its own."""
+    volume = {2025: 40.0, 2026: 10.0, 2027: 70.0}
+    df = weekly(spark, date(2025, 12, 21), 59)
+    return df.withColumn("yhat", F.create_map(*[F.lit(v) for kv in volume.items() for v in kv])[F.col("Year")])
+
+
+def test_busiest_weeks_take_every_week_of_the_forecast(spark):
+    got = {r.Week_of_Year: r.Avg_Passengers for r in forecast.busiest_weeks(partial_years(spark)).collect()}
+    assert (got[51], got[52], got[53], got[1], got[4], got[30]) == (25.0, 25.0, 70.0, 40.0, 40.0, 10.0)
+    full = {r.Avg_Passengers for r in forecast.busiest_weeks(partial_years(spark), full_years_only=True).collect()}
+    assert full == {10.0}
+
+
 def test_zero_baseline_gives_null_not_error(spark):
     src = staging(spark, [{"Week_Date": date(2024, 1, 5)}])
     annual = forecast.forecast_annual(weekly(spark, date(2025, 1, 5), 60))
