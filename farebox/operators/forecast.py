@@ -223,7 +223,8 @@ def busiest_weeks(forecast: DataFrame, full_years_only: bool = False) -> DataFra
             .orderBy(F.desc("Avg_Passengers"), "Week_of_Year"))
 
 
-def busiest_months(forecast: DataFrame, full_years_only: bool = True) -> DataFrame:
+def busiest_months(forecast: DataFrame, full_years_only: bool = False) -> DataFrame:
+    """Mean weekly volume per month over the whole forecast, partial years included unless left out."""
     return (_in_full_years(forecast, full_years_only).groupBy("Month")
             .agg(_mean("yhat").alias("Avg_Passengers"))
             .withColumn("Month_Name", F.date_format(

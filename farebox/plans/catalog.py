@@ -759,7 +759,7 @@ def forecast_findings(spark, folder):
     weekly = _overall(spark, folder)
     return forecast.forecast_findings(
         forecast.forecast_annual(weekly), forecast.busiest_weeks(weekly, full_years_only=True),
-        forecast.busiest_months(weekly), _src(spark, folder), FIXTURE_BASELINE_YEAR)
+        forecast.busiest_months(weekly, full_years_only=True), _src(spark, folder), FIXTURE_BASELINE_YEAR)
 
 
 # ---- indicators -----------------------------------------------------------------------------------------

@@ -141,6 +141,15 @@ def test_busiest_weeks_take_every_week_of_the_forecast(spark):
     assert full == {10.0}
 
 
+def test_busiest_months_take_every_week_of_the_forecast(spark):
+    got = {r.Month_Name: r.Avg_Passengers for r in forecast.busiest_months(partial_years(spark)).collect()}
+    # December: two weeks of 2025, four of 2026; January: four of 2026, five of 2027
+    assert len(got) == 12 and (got["December"], got["June"]) == (20.0, 10.0)
+    assert got["January"] == pytest.approx((4 * 10 + 5 * 70) / 9, abs=1e-4)
+    full = {r.Avg_Passengers for r in forecast.busiest_months(partial_years(spark), full_years_only=True).collect()}
+    assert full == {10.0}
+
+
 def test_zero_baseline_gives_null_not_error(spark):
     src = staging(spark, [{"Week_Date": date(2024, 1, 5)}])
     annual = forecast.forecast_annual(weekly(spark, date(2025, 1, 5), 60))
