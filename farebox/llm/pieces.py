@@ -3,13 +3,14 @@
 Greedy merging has two properties (every adjacent pair of a valid encoding is itself a valid
 encoding, and the encoding of a prefix ends in one token only) that allow one pass over the
 text instead of a merge loop: for each position the table keeps the one last token of the
-encoding of the prefix that ends there. An automaton over all pieces names the candidates, a
-test of the pair (token kept at the candidate's start, candidate) picks the right one. The
-ids are then read off backwards.
+encoding of the prefix that ends there. An automaton over all pieces, whose steps are kept as
+they are met, names the candidates, a test of the pair (token kept at the candidate's start,
+candidate) picks the right one. The ids are then read off backwards.
 
 Text is cut where no piece reaches across (before a run of space marks, round line ends, between
 a word and its punctuation), which changes no encoding; equal stretches are then encoded once
-per cache.
+per cache. New ones are encoded in order, so that each goes on from the prefix it shares with
+the one before: the table of a prefix does not depend on what follows.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to ''.
 Texts of any length take linear time. Rows, ties and extra columns pass through untouched.
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -31,8 +32,12 @@ from pyspark.sql import types as T
 from farebox.llm.common import fresh
 
 SPACE = "▁"
-#: Entries of one worker's stretch cache and pair cache; beyond it they start anew.
+#: Entries of one worker's caches of stretches, pairs and steps; beyond it they start anew.
 CACHE = 400_000
+#: Stretches of more characters are not kept.
+LONG = 64
+#: Characters of texts whose stretches are looked up together; a longer text goes by itself.
+TOGETHER = 1 << 21
 
 
 class Vocabulary:
@@ -68,10 +73,16 @@ class Encoder:
                     continue  # no merge order ever makes it
                 self.split[i] = v.ids[last[0]], v.ids[last[1]]
             self.automaton.add_word(piece, (len(piece), i))
-        self.automaton.make_automaton()
         self.stretch = re.compile(self._cuts())
+        self._length = [len(p) for p in v.pieces]
+        self._number = [str(i) for i in range(len(v.pieces))]
+        self._text = ["" if i in v.special else p for i, p in enumerate(v.pieces)]
         self._pairs: dict[int, bool] = {}
+        self._steps: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
         self._stretches: dict[str, tuple[int, ...]] = {}
+        self._written: dict[str, str] = {}
+        self._older: dict[str, str] = {}
+        self._decoded: dict[str, str] = {}
 
     def _cuts(self) -> str:
         """A pattern of stretches that no piece leaves: cut round line ends, before a run of space
@@ -146,31 +157,71 @@ class Encoder:
         self._pairs[pair] = known
         return known
 
-    def encode_stretch(self, text: str) -> tuple[int, ...]:
-        n, pairs = len(text), self._pairs
-        last = [-1] * (n + 1)  # the last token of each prefix; -1: a character without a piece
-        size = [1] * (n + 1)
-        for end, (length, token) in self.automaton.iter(text):
-            end += 1
-            if last[end] >= 0:
-                continue
-            left = last[end - length]
-            if left >= 0 and end > length:
-                fits = pairs.get(left << 32 | token)
-                if not (self._compatible(left, token) if fits is None else fits):
-                    continue
-            last[end], size[end] = token, length
+    def _step(self, key: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """The automaton's state after `key`, a state and the next character, and the pieces that end there.
+
+        A state is the longest end of what was read that begins a piece; the longest piece comes first.
+        """
+        state = key
+        while state and not self.automaton.match(state):
+            state = state[1:]
+        ends = (self.automaton.get(state[k:], None) for k in range(len(state)))
+        if len(self._steps) >= CACHE:
+            self._steps.clear()
+        self._steps[key] = found = state, tuple(e for e in ends if e is not None)
+        return found
+
+    def _extend(self, text: str, at: int, last: list[int], states: list[str]) -> None:
+        """The prefix table and the states of `text`, of which those up to `at` are there."""
+        steps, pairs = self._steps, self._pairs
+        del last[at + 1:], states[at + 1:]
+        state = states[at]
+        for end in range(at + 1, len(text) + 1):
+            key = state + text[end - 1]
+            state, ends = steps.get(key) or self._step(key)
+            states.append(state)
+            kept = -1  # a character without a piece
+            for length, token in ends:
+                left = last[end - length]
+                if left >= 0:
+                    fits = pairs.get(left << 32 | token)
+                    if not (self._compatible(left, token) if fits is None else fits):
+                        continue
+                kept = token
+                break
+            last.append(kept)
+
+    def _read(self, text: str, last: list[int]) -> list[int]:
+        """The ids of `text`, read backwards from its prefix table."""
         out: list[int] = []
-        end = n
+        end, length = len(text), self._length
         while end:
-            if last[end] >= 0:
-                out.append(last[end])
+            token = last[end]
+            if token >= 0:
+                out.append(token)
+                end -= length[token]
             elif text[end - 1] in self.vocab.ids:
                 raise ValueError("the vocabulary's merges do not fit a prefix table")
             else:
                 out.extend(self.vocab.byte_ids[b] for b in reversed(text[end - 1].encode("utf-8")))
-            end -= size[end]
-        return tuple(reversed(out))
+                end -= 1
+        out.reverse()
+        return out
+
+    def encode_stretches(self, texts: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Every stretch with its ids, in order; each goes on from the prefix shared with the one before."""
+        before, last, states = "", [-1], [""]
+        for text in sorted(texts):
+            at = min(len(before), len(text), LONG)
+            while not text.startswith(before[:at]):
+                at -= 1
+            self._extend(text, at, last, states)
+            yield text, self._read(text, last)
+            before = text
+
+    def encode_stretch(self, text: str) -> tuple[int, ...]:
+        ((_, ids),) = self.encode_stretches([text])
+        return tuple(ids)
 
     def stretches(self, text: str | None) -> list[str]:
         """The text with its space marks, cut where no piece reaches across."""
@@ -183,13 +234,40 @@ class Encoder:
             ids = cache.get(part)
             if ids is None:
                 ids = self.encode_stretch(part)
-                if len(part) <= 64:
+                if len(part) <= LONG:
                     if len(cache) >= CACHE:
                         cache.clear()
                     cache[part] = ids
             out.extend(ids)
         return out
 
+    def written(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
+        """The ids of each text, joined by commas, and the text decoded from them.
+
+        The ids of a stretch are kept, and what they decode to where that is not the stretch
+        itself. Half the cache holds the latest, half those before; what is used again moves up.
+        """
+        rows = [self.stretches(t) for t in texts]
+        new = set().union(*rows).difference(self._written)
+        if len(self._written) + len(new) > CACHE // 2:
+            self._older, self._written = self._written, {}
+            self._decoded = {p: t for p, t in self._decoded.items() if p in self._older}
+            new.update(*rows)
+        kept, older, number, surface = self._written, self._older, self._number, self._text
+        kept.update((p, older[p]) for p in new.intersection(older))
+        bytes_, other = self.vocab.id_byte.keys(), self._decoded
+        for part, ids in self.encode_stretches(new.difference(older)):
+            # a stretch ends between characters, so its bytes decode by themselves
+            got = "".join([surface[i] for i in ids]) if bytes_.isdisjoint(ids) else self.surface(ids)
+            kept[part] = ",".join([number[i] for i in ids])
+            if got != part:
+                other[part] = got
+        for row in rows:
+            parts = row if other.keys().isdisjoint(row) else [other.get(p, p) for p in row]
+            yield ",".join(map(kept.__getitem__, row)), "".join(parts).replace(SPACE, " ").removeprefix(" ")
+        for part in [p for p in new if len(p) > LONG]:
+            del kept[part]
+            other.pop(part, None)
     def decode(self, ids: list[int]) -> str:
         """The pieces in order; the first space mark is the encoder's own and goes, specials are silent."""
         return self.surface(ids).removeprefix(SPACE).replace(SPACE, " ")
@@ -203,6 +281,21 @@ class Encoder:
         return out.decode("utf-8", errors="replace")
 
 
+def together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of at most `TOGETHER` characters or one text."""
+    some: list[str | None] = []
+    size = 0
+    for text in texts:
+        n = len(text or "")
+        if some and size + n > TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += n
+    if some:
+        yield some
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -237,29 +330,11 @@ def digest_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
-        written: dict[str, tuple[int, str, str]] = {}
-
-        def one(t: str | None) -> tuple[int, str, str]:
-            n, ids, texts = 0, [], []
-            for part in e.stretches(t):
-                known = written.get(part)
-                if known is None:
-                    # a stretch ends between characters, so its bytes decode by themselves
-                    got = e.encode_stretch(part)
-                    known = len(got), ",".join(map(str, got)), e.surface(got).replace(SPACE, " ")
-                    if len(part) <= 64:
-                        if len(written) >= CACHE:
-                            written.clear()
-                        written[part] = known
-                n += known[0]
-                ids.append(known[1])
-                texts.append(known[2])
-            whole = "".join(texts)
-            return (n, hashlib.sha256(",".join(ids).encode()).hexdigest(),
-                    hashlib.sha256((whole[1:] if whole[:1] == " " else whole).encode("utf-8")).hexdigest())
-
         for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame([
+                (ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
+                 hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                for some in together(texts) for ids, decoded in e.written(some)], columns=kind.names)
 
     (all_,) = fresh(docs, "_digests")
     out = docs.withColumn(all_, run.asNondeterministic()(F.col(text)))

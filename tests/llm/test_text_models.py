@@ -45,6 +45,33 @@ def test_digests_follow_the_ids(docs):
     assert all(r.ids == model.encode(r.text or "") and r.decoded == model.decode(r.ids) for r in full)
 
 
+def test_stretches_go_on_from_a_shared_prefix(texts, monkeypatch):
+    path = tokenizer()
+    ours, theirs = pieces.Encoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(8)
+    some = [*(f"{a}{b}" for a in ("thon", "▁anwher", "ß梦") for b in ("", "e", "ing", "\x00", "梦", "ly")), "the" * 400]
+    made, taken = [], []
+    extend = ours._extend
+    monkeypatch.setattr(ours, "_extend", lambda text, at, *rest: (taken.append(len(text) - at), extend(text, at, *rest)))
+    assert sorted(p for p, _ in ours.encode_stretches(some)) == sorted(some)
+    assert sum(taken) < sum(map(len, some)) - 60  # shared prefixes are not gone through again
+    monkeypatch.undo()
+    alone = pieces.Encoder(path)
+    assert all(tuple(ids) == alone.encode_stretch(p) for p, ids in ours.encode_stretches(some))
+    # small caches: entries move up, fall out and come back; long stretches are not kept
+    monkeypatch.setattr(pieces, "CACHE", 400)
+    monkeypatch.setattr(pieces, "TOGETHER", 500)
+    signs = "aabcdeett hhlo  rsn\n▁éß梦ข\x00<>0x.,😀"
+    cases = [None, "", "the" * 999, *("".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(400)),
+             *texts.text[:20], None, " a", *texts.text[:20]]
+    for group in pieces.together(cases):
+        made += ours.written(group)
+        assert not any(len(p) > pieces.LONG for p in ours._written)
+    want = [theirs.encode(t or "") for t in cases]
+    assert made == [(",".join(map(str, ids)), theirs.decode(ids)) for ids in want]
+    assert [t for group in pieces.together(cases) for t in group] == cases and not [*pieces.together([])]
+
+
 def brute_repeats(words, k=8):
     found = Counter(tuple(words[i:i + k]) for i in range(len(words) - k + 1))
     hit = [False] * len(words)
