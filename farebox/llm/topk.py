@@ -3,12 +3,15 @@
 Rows are dealt to blocks. A block's index holds, per dimension and sign of the query's weight, the rows in
 posting segments of equal quantised impact, where the impact is the distance from the
 dimension's worst value. For a group of queries the segments are processed by descending
-impact; each adds its weight times impact to its rows' accumulators. What a row may still gain
+impact, in bands of levels; each adds its weight times impact to its rows' accumulators. What a row may still gain
 is bounded by the weights times the impact reached, so rows whose sum plus that bound stays
 below the k-th largest sum cannot be members. A query stops once the possible members are few,
 and those are scored again exactly; nothing is dropped without that proof.
 
-Every query group meets every block in a task of its own; only k rows a query leave a block.
+Blocks are written once, each to a file of its own. Queries come in rounds of as many groups as `ROUND` bytes hold,
+whatever their number: the driver hands the vectors of one round to all tasks, each task builds the index of its blocks
+once and searches it for every group, and only k rows a query leave a task. No vector is copied for each pair of a block
+and a group.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without
 vec_id, take no part. Of repeated vec_ids the smallest vector counts. Vectors of unequal length are filled up by
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 from farebox.llm.common import cut
 
 K, SCALE = 5, 256
-BLOCK, GROUP, LANES, LEVELS = 4096, 512, 64, 24
+BLOCK, GROUP, LEVELS = 4096, 512, 24
+#: Bytes of queries and their best rows that a task holds at once, and of an index's bands that it keeps.
+ROUND, BANDS = 1 << 24, 1 << 26
 #: Width times the square of the largest component up to which the index and its sums are exact.
 EXACT = 1 << 51
 _DIGITS = 10 ** 38 - 1
@@ -59,55 +65,63 @@ class Index:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, levels: int = LEVELS):
         order = np.argsort(ids)
-        self.ids, self.x = ids[order], x[order]
-        self.low, self.high = self.x.min(axis=0), self.x.max(axis=0)
-        self.step = int(max((self.high - self.low).max() // levels + 1, 1))
-        self.levels = int((self.high - self.low).max() // self.step)
-        # rows by quantised impact, for positive and for negative weights
-        self.up = self._segments((self.x - self.low) // self.step)
-        self.down = self._segments((self.high - self.x) // self.step)
-
-    def _segments(self, impact: np.ndarray) -> list[list[np.ndarray]]:
+        x = x[order]
+        self.ids, self.x = ids[order], x.astype(np.float64)
+        low, high = x.min(axis=0), x.max(axis=0)
+        self.step = int(max((high - low).max() // levels + 1, 1))
+        self.levels = int((high - low).max() // self.step)
+        # rows by quantised impact, for positive and then for negative weights
+        self.segments = self._segments((x - low) // self.step) + self._segments((high - x) // self.step)
+        self.bands: dict[int, np.ndarray] = {}
+
+    def _segments(self, impact: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each dimension the rows by rising impact, their impact, and where each level begins."""
         out = []
-        for d in range(impact.shape[1]):
-            by = np.argsort(impact[:, d], kind="stable")
-            edge = np.searchsorted(impact[by, d], np.arange(self.levels + 2))
-            out.append([by[a:b] for a, b in zip(edge, edge[1:])])
+        for column in impact.T:
+            by = np.argsort(column, kind="stable")
+            out.append((by, column[by] * float(self.step), np.searchsorted(column[by], np.arange(self.levels + 2))))
         return out
 
+    def band(self, level: int, end: int) -> np.ndarray:
+        """Impact by dimension and row of the segments of the levels from `level` to below `end`, 0 elsewhere."""
+        if level not in self.bands:
+            held = np.zeros((len(self.segments), len(self.ids)))
+            for of, (rows, impact, begin) in zip(held, self.segments):
+                some = slice(begin[level], begin[end])
+                of[rows[some]] = impact[some]
+            if held.nbytes * (self.levels.bit_length() + 1) > BANDS:
+                return held
+            self.bands[level] = held
+        return self.bands[level]
+
     def search(self, queries: np.ndarray, own: np.ndarray, k: int = K) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(query row, ids, scores) of each query's best k rows, without the row of its own id."""
         n, q = len(self.ids), len(queries)
-        up, down = np.maximum(queries, 0).astype(np.float64), np.maximum(-queries, 0).astype(np.float64)
-        weight = (up + down).sum(axis=1)
-        sums = np.zeros((n, q))
+        weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(np.float64)
+        weight = weights.sum(axis=1)
+        sums = np.zeros((q, n))
         is_own = np.searchsorted(self.ids, own)
         has_own = (is_own < n) & (self.ids[np.minimum(is_own, n - 1)] == own)
         possible: list[np.ndarray | None] = [None] * q
-        for level in range(self.levels, -1, -1):
-            for d in range(queries.shape[1]):
-                for segments, w in ((self.up, up), (self.down, down)):
-                    rows = segments[d][level]
-                    if level and len(rows) and w[:, d].any():
-                        sums[rows] += w[:, d] * (level * self.step)
+        left, end, level = np.arange(q), self.levels + 1, self.levels // 2
+        while len(left):
+            if end > 1:  # segments of level 0 add nothing
+                sums[left] += weights[left] @ self.band(level, end)
             gain = weight * max(level * self.step - 1, self.step - 1)  # of rows not reached, or cut off by quantising
-            if level * 2 > self.levels and level:
-                continue
-            for j in [j for j in range(q) if possible[j] is None]:
-                column = sums[:, j]
+            for j in left:
+                column = sums[j]
                 if has_own[j]:
-                    column = column.copy()
                     column[is_own[j]] = -1
                 least = np.partition(column, n - k)[n - k] if n > k else -1.0
-                members = np.flatnonzero(column + gain[j] >= least)
+                members = np.flatnonzero(column >= least - gain[j])
                 if level == 0 or len(members) * 16 <= max(n, 16 * k):
                     possible[j] = members
-            if all(p is not None for p in possible):
-                break
+            left = np.array([j for j in left if possible[j] is None], dtype=np.int64)
+            end, level = level, level // 2
         out = []
         for j, members in enumerate(possible):
             members = members[self.ids[members] != own[j]]
-            score = self.x[members] @ queries[j]
+            score = (self.x[members] @ queries[j].astype(np.float64)).astype(np.int64)
             best = np.lexsort((self.ids[members], -score))[:k]
             out.append((j, self.ids[members[best]], score[best]))
         return out
@@ -124,10 +138,6 @@ def compare(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, own: np.ndarray
     return out
 
 
-def _matrix(flat: np.ndarray, width: int) -> np.ndarray:
-    return np.asarray(flat, dtype=np.int64).reshape(-1, width)
-
-
 def top_k(rows: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each row of `rows` (vec_id, v) with `is_query`."""
     rows = cut(rows, "vectors")
@@ -141,50 +151,57 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, gro
         return (-(-r["n"] // block) or 1, -(-r["asked"] // group) or 1) if r else (1, 1)
 
     small = rows.where("small")
-    best = _best(small, small.where(is_query), *pieces(True), width, k, exact=False)
+    best = _best(small, small.where(is_query), *pieces(True), width, k, group, exact=False)
     if False in sizes:  # vectors whose sums need unbounded numbers
         large = rows.where("not small")
         every = pieces(True)[1] + pieces(False)[1]
         best = best.withColumn("score", F.col("score").cast("decimal(38,0)")).unionByName(
-            _best(large, rows.where(is_query), pieces(False)[0], every, width, k, exact=True)).unionByName(
-            _best(small, large.where(is_query), pieces(True)[0], pieces(False)[1], width, k, exact=True))
+            _best(large, rows.where(is_query), pieces(False)[0], every, width, k, group, exact=True)).unionByName(
+            _best(small, large.where(is_query), pieces(True)[0], pieces(False)[1], width, k, group, exact=True))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").try_cast("bigint").alias("score"))
 
 
-def _best(rows: DataFrame, queries: DataFrame, blocks: int, groups: int, width: int, k: int, exact: bool) -> DataFrame:
-    """query_id, vec_id and score of the k best of each block of `rows` for each of `queries`."""
+def _best(rows: DataFrame, queries: DataFrame, blocks: int, groups: int, width: int, k: int, group: int, exact: bool) -> DataFrame:
+    """query_id, vec_id and score for each of `queries`; the k best of `rows` are among them."""
     kind = "double" if exact else "bigint"
     filled = F.concat(F.col("v").cast(f"array<{kind}>"), F.array_repeat(F.lit(0).cast(kind), F.lit(width) - F.size("v")))
 
-    def packed(df: DataFrame, pieces: int, name: str) -> DataFrame:
-        of = df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(pieces)).alias(name)).agg(
+    def packed(df: DataFrame, pieces: int, **options: int) -> DataFrame:
+        of = df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(pieces)).alias("piece")).agg(
             F.collect_list(F.struct("vec_id", filled.alias("v"))).alias("rows"))
-        return of.select(name, F.transform("rows", lambda r: r["vec_id"]).alias(f"{name}_ids"),
-                         F.flatten(F.transform("rows", lambda r: r["v"])).alias(f"{name}_v"))
+        return cut(of.select("piece", F.transform("rows", lambda r: r["vec_id"]).alias("ids"),
+                             F.flatten(F.transform("rows", lambda r: r["v"])).alias("flat")), "vectors-packed", **options)
 
-    # each pair of a block and a group is a key of its own
-    left = packed(rows, blocks, "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
-    right = packed(queries, groups, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    of_rows, of_queries = packed(rows, blocks, maxRecordsPerFile=1), packed(queries, groups)
+    size = max(ROUND // (8 * (width + 24 * k) * group), 1)
+    return reduce(DataFrame.unionByName, [
+        _round(of_rows, of_queries.where(F.col("piece").between(at, at + size - 1)), width, k, exact) for at in range(0, groups, size)])
+
+
+def _round(blocks: DataFrame, asked: DataFrame, width: int, k: int, exact: bool) -> DataFrame:
+    """Of the queries of a few groups, which are held at once, the k best rows of each task."""
+    kind = np.float64 if exact else np.int64
+    held = [(np.asarray(ids.as_py(), dtype=np.int64), flat.values.to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width))
+            for ids, flat in zip(*asked.select("ids", "flat").toArrow().columns)]
+    shared = blocks.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[list[list]] = [[[] for _ in who] for who, _ in shared.value]
         for b in batches:
-            for ids, flat, asked_ids, asked_flat in zip(b["block_ids"], b["block_v"], b["group_ids"], b["group_v"]):
-                who = np.asarray(asked_ids)
-                if exact:
-                    x, what = (np.asarray(f, dtype=float).reshape(-1, width) for f in (flat, asked_flat))
-                    found = compare(np.asarray(ids), x, what, who, k)
-                    shown = [(who[j], int(i), Decimal(min(max(s, -_DIGITS), _DIGITS))) for j, some, score in found for i, s in zip(some, score)]
-                    yield pd.DataFrame(shown, columns=["query_id", "vec_id", "score"])
-                    continue
-                index, what = Index(np.asarray(ids), _matrix(flat, width)), _matrix(asked_flat, width)
-                for at in range(0, len(who), LANES):
-                    found = index.search(what[at:at + LANES], who[at:at + LANES], k)
-                    yield pd.DataFrame({
-                        "query_id": np.concatenate([np.full(len(i), who[at + j]) for j, i, _ in found]),
-                        "vec_id": np.concatenate([i for _, i, _ in found]),
-                        "score": np.concatenate([s for _, _, s in found])})
-
-    return left.join(right, ["block", "group"]).select("block_ids", "block_v", "group_ids", "group_v").mapInPandas(
-        run, f"query_id long, vec_id long, score {'decimal(38,0)' if exact else 'long'}")
+            for ids, flat in zip(b["ids"], b["flat"]):
+                ids, x = np.asarray(ids), np.asarray(flat, dtype=kind).reshape(-1, width)
+                index = None if exact else Index(ids, x)
+                for kept, (who, what) in zip(best, shared.value):
+                    for j, some, score in compare(ids, x, what, who, k) if exact else index.search(what, who, k):
+                        kept[j] = sorted([*kept[j], *((-s, i) for s, i in zip(score if exact else score.tolist(), some.tolist()))])[:k]
+        for kept, (who, _) in zip(best, shared.value):
+            found = [(q, i, Decimal(min(max(-s, -_DIGITS), _DIGITS)) if exact else -s) for q, some in zip(who.tolist(), kept) for s, i in some]
+            if found:
+                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+
+    out = cut(blocks.select("ids", "flat").mapInPandas(
+        run, f"query_id long, vec_id long, score {'decimal(38,0)' if exact else 'long'}"), "vectors-found")
+    shared.destroy()
+    return out

@@ -67,6 +67,43 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(topk.vectors(df.where("false")), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_hands_out_queries_in_bounded_rounds(spark, monkeypatch):
+    """The driver holds the queries of one round; no vector is copied for the pairs of a block and a group."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-90, 90, (400, 8))
+    x[100:140] = x[100]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(float).tolist())], "vec_id long, v array<double>")
+    context, handed = type(spark.sparkContext), []
+    send = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: handed.append(sum(len(who) for who, _ in value)) or send(self, value))
+    monkeypatch.setattr(topk, "ROUND", 2 * 10 * 8 * (8 + 24 * topk.K))  # of groups of ten queries, two are held at once
+    best = topk.top_k(df, F.col("vec_id") % 4 == 0, block=64, group=10)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert len(handed) == 5 and sum(handed) == 100
+    want = []
+    for q in range(0, 400, 4):
+        s = x @ x[q]
+        order = sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:topk.K]
+        want += [(q, rank, i, int(s[i])) for rank, i in enumerate(order, 1)]
+    assert sorted(tuple(r) for r in best.collect()) == want
+
+
+def test_bands_stop_on_proof_with_the_rows_of_a_full_scan():
+    """Clustered rows stop early, spread ones go through every band, and neither misses a row."""
+    rng = np.random.default_rng(6)
+    spread = rng.integers(-120, 120, (900, 16))
+    near = np.repeat(rng.integers(-2000, 2000, (30, 16)), 30, axis=0) + rng.integers(-2, 3, (900, 16))
+    for x in (spread, near, np.zeros((9, 3), dtype=np.int64), spread[:4]):
+        ids = rng.permutation(len(x)) * 3
+        index = topk.Index(ids, x)
+        asked, own = x[::7], np.where(np.arange(len(x))[::7] % 2, ids[::7], -1)
+        for j, some, score in index.search(asked, own):
+            s = x @ asked[j]
+            want = sorted((-int(v), int(i)) for v, i in zip(s, ids) if i != own[j])[:topk.K]
+            assert [(-int(v), int(i)) for v, i in zip(score, some)] == want
+
+
 def test_scores_of_any_finite_vector_are_exact(spark):
     """A component of 5e6 beside small ones, sums beyond 64 bits, and 32-bit floats near their end."""
     rng = np.random.default_rng(11)
