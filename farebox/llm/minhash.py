@@ -15,7 +15,7 @@ Links are confirmed on full sets, in two steps, so that no group of near copies
 2. under every key, nodes whose classes still differ meet in tiles: signatures first, then full sets of the
    nodes that have a partner in reach. Of each key the largest class is compared with the rest only.
 A task reports a spanning forest of its links. Full sets are made again from the text where they are needed,
-and are never stored for documents without a candidate.
+and are never stored for documents without a candidate. Both sides of every join grow with the input, so large ones are never broadcast.
 
 Defined results: words are cut at ASCII white space and A-Z lower-cased; fewer words than a shingle make one
 shingle, none make an empty set that links with nothing. Rows with equal sets are linked, repeated rows included.
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farebox.llm.common import cut
+from farebox.llm.common import cut, merged
 from farebox.llm.simhash import components
 
 SHINGLE, PERCENT = 4, 80
@@ -165,7 +165,7 @@ def confirmed(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
 
     A tile links its first side with the other; within the first side too where x = y. `sets` has (node, hashes).
     """
-    tiles = (members.join(sets, "node").groupBy("key", "x", "y")
+    tiles = (members.join(merged(sets), "node").groupBy("key", "x", "y")
              .agg(F.collect_list(F.struct("first", "node", "hashes")).alias("held")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +210,10 @@ def _in_reach(sign: np.ndarray, size: np.ndarray, kind: np.ndarray, first: np.nd
     return hit
 
 
-def _contested(shared: DataFrame, nodes: DataFrame, classes: DataFrame, radius: int, percent: int, tile: int) -> DataFrame:
+def _contested(shared: DataFrame, nodes: DataFrame, classes: DataFrame, count: int, radius: int, percent: int, tile: int) -> DataFrame:
     """Members (key, x, y, first, node) of tiles that hold a pair of nodes in reach whose classes differ."""
-    kinds = nodes.select("node", "n").join(classes, "node", "left").select("node", "n", F.coalesce("root", "node").alias("kind"))
-    held = cut(shared.select("key", "node").join(kinds, "node"), "minhash-held")
+    kinds = nodes.select("node", "n").join(merged(classes, count), "node", "left").select("node", "n", F.coalesce("root", "node").alias("kind"))
+    held = cut(shared.select("key", "node").join(merged(kinds, count), "node"), "minhash-held")
     by_kind = held.groupBy("key", "kind").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     pieces = lambda c, w: F.ceil(F.greatest(c / tile, w / TILE_SHINGLES)).cast("int")
     main = (by_kind.groupBy("key").agg(F.max_by("kind", F.struct("c", "kind")).alias("main"), F.max("c").alias("most"),
@@ -228,13 +228,13 @@ def _contested(shared: DataFrame, nodes: DataFrame, classes: DataFrame, radius:
         'x', least(i, piece), 'y', greatest(i, piece), 'first', piece <= i))""")
     meets_main = F.expr("transform(sequence(0, pm - 1), j -> named_struct('x', piece, 'y', -1 - j, 'first', true))")
     as_main = F.expr("transform(sequence(0, pr - 1), i -> named_struct('x', i, 'y', -1 - piece, 'first', false))")
-    dealt = (held.join(main, "key").withColumn("first", F.col("kind") != F.col("main"))
+    dealt = (held.join(merged(main), "key").withColumn("first", F.col("kind") != F.col("main"))
              .withColumn("piece", F.pmod(F.xxhash64("node"), F.when(F.col("first"), F.col("pr")).otherwise(F.col("pm"))).cast("int"))
              .withColumn("to", F.explode(F.when(F.col("p") <= 1, F.array(place))
                                          .when(F.col("first"), F.concat(meets_rest, meets_main)).otherwise(as_main)))
              .select("key", "to.x", "to.y", "to.first", "node", "n", "kind"))
     # dealt anew by tile, so that the joins before may split a key
-    tiles = (dealt.join(nodes.select("node", "sign"), "node").repartition("key", "x", "y").groupBy("key", "x", "y")
+    tiles = (dealt.join(merged(nodes.select("node", "sign")), "node").repartition("key", "x", "y").groupBy("key", "x", "y")
              .agg(F.collect_list(F.struct("first", "node", "n", "kind", "sign")).alias("held")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +264,7 @@ def _places(name: Column) -> list[Column]:
 def _maybe(wanted: DataFrame, name: Column) -> Column:
     """False for names that are surely not among the wanted ones: a Bloom filter of fixed size, two bits a name."""
     words = (wanted.select(F.explode(F.array(*_places(F.col("name")))).alias("bit"))
-             .groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas())
+             .groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow())
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
     shared = wanted.sparkSession.sparkContext.broadcast(table)  # 2^FILTER_BITS bits
@@ -279,15 +279,15 @@ def _maybe(wanted: DataFrame, name: Column) -> Column:
     return run(*_places(name))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(node, hashes) of the wanted (node, name): the sets of these texts, made from the text again."""
+def full_sets(docs: DataFrame, wanted: DataFrame, count: int, size: int = SHINGLE) -> DataFrame:
+    """(node, hashes) of the wanted (node, name), at most `count`: the sets of these texts, made from the text again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [shingles(t, size).tobytes() for t in _texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.binary())], names=["node", "hashes"])
 
     named = docs.select("text", _name(F.col("text")))
-    found = named.where(_maybe(wanted, F.col("name"))).join(wanted, "name").select("node", "text")
+    found = named.where(_maybe(wanted, F.col("name"))).join(merged(wanted, count), "name").select("node", "text")
     # copies of a text make equal sets
     return found.mapInArrow(run, "node bigint, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
 
@@ -305,40 +305,41 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     nodes = cut(rows.where("n > 0").groupBy("set").agg(
         F.min("doc_id").alias("least"), F.min("name").alias("name"), F.any_value("n").alias("n"), F.any_value("sign").alias("sign"))
         .withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    count = nodes.count()
     keyed = keys(nodes)
     leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = cut(keyed.join(leaders, "key"), "minhash-keys")
+    shared = cut(keyed.join(merged(leaders), "key"), "minhash-keys")
 
     # the short cut: each node against the one it shares most keys with
     tries = (shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c")).where(F.col("c") >= TRY_FROM)
              .groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader")))
     tries = cut(tries, "minhash-tries")
-    weights = tries.join(nodes.select("node", "n"), "node")
+    weights = tries.join(merged(nodes.select("node", "n"), count), "node")
     parts = (weights.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / TILE_SHINGLES)).cast("int").alias("p")))
-    stars = tries.join(parts, "leader").select(
+    stars = tries.join(merged(parts, count), "leader").select(
         F.col("leader").alias("key"), F.pmod(F.xxhash64("node"), F.col("p")).cast("int").alias("x"), F.lit(-1).alias("y"),
         F.lit(False).alias("first"), "node")
     heads = parts.select(F.col("leader").alias("key"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("x"), F.lit(-1).alias("y"),
                          F.lit(True).alias("first"), F.col("leader").alias("node"))
     stars = cut(stars.union(heads), "minhash-stars")
-    sets = _sets(docs, nodes, stars, size)
+    sets = _sets(docs, nodes, stars, count, size)
     tied = cut(confirmed(stars, sets, percent).distinct(), "minhash-tied")
     classes = components(tied, "minhash-classes")
 
     # the exact rest: pairs in reach whose classes differ
-    contested = cut(_contested(shared, nodes, classes, radius, percent, tile), "minhash-contested")
-    more = _sets(docs, nodes, contested.join(sets, "node", "left_anti"), size)
+    contested = cut(_contested(shared, nodes, classes, count, radius, percent, tile), "minhash-contested")
+    more = _sets(docs, nodes, contested.join(merged(sets, count), "node", "left_anti"), count, size)
     linked = confirmed(contested, sets.union(more), percent).distinct()
     roots = components(cut(tied.union(linked), "minhash-links"), "minhash-components")
-    rooted = nodes.join(roots, "node", "left").select("set", "least", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(merged(roots, count), "node", "left").select("set", "least", F.coalesce("root", "node").alias("root"))
     rooted = cut(rooted, "minhash-rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
-    found = rows.join(named, "set", "left").select(
+    named = rooted.join(merged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), count), "root").select("set", "component_id")
+    found = rows.join(merged(named, count), "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """The full sets of all nodes among `members`."""
-    wanted = nodes.select("node", "name").join(members.select("node").distinct(), "node", "left_semi")
-    return cut(full_sets(docs, cut(wanted, "minhash-wanted"), size), "minhash-sets")
+def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, count: int, size: int) -> DataFrame:
+    """The full sets of all nodes among `members`, at most `count`."""
+    wanted = nodes.select("node", "name").join(merged(members.select("node").distinct(), count), "node", "left_semi")
+    return cut(full_sets(docs, cut(wanted, "minhash-wanted"), count, size), "minhash-sets")

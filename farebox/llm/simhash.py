@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farebox.llm.common import cut, fresh
+from farebox.llm.common import cut, fresh, merged
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of one block value that are compared in one piece.
@@ -167,13 +167,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     now = cut(ordered(edges.toDF("u", "v")), name)
     was = mark(now)
+    count = was[0]  # no turn makes more edges
     while was[0]:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = ordered(both.join(merged(least, count), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         large = cut(large, name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = large.join(merged(low, count), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = cut(ordered(small), name)
         is_ = mark(now)
         if is_ == was:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from farebox.llm import centroids, fim, minhash
+from farebox.llm import centroids, common, fim, minhash
 
 UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]")
 
@@ -235,6 +235,24 @@ def test_minhash_on_edge_rows_and_empty_tables(docs, none):
     assert minhash.near_duplicates(none).collect() == []
 
 
+@pytest.mark.parametrize("merge_from", [0, common.MERGE_FROM])
+def test_minhash_broadcasts_no_large_table(spark, copies, monkeypatch, merge_from):
+    """Whatever a table's size is taken for: after an explode, or by its files, it looks many times too small."""
+    plans, cut = {}, minhash.cut
+
+    def noted(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    monkeypatch.setattr(minhash, "cut", noted)
+    monkeypatch.setattr(common, "MERGE_FROM", merge_from)
+    out = minhash.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string"), tile=4)
+    noted(out, "result")
+    exploded = {"minhash-keys", "minhash-contested", "minhash-tied", "minhash-links"}
+    assert all("SortMergeJoin" in plan for name in exploded for plan in plans[name])
+    assert [name for name in (exploded if merge_from else plans) if any("Broadcast" in plan for plan in plans[name])] == []
+
+
 def test_a_radius_beyond_the_guarantee_is_refused(docs):
     with pytest.raises(ValueError):
         minhash.near_duplicates(docs, radius=minhash.RADIUS + 1)
